@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaykit.llm.decontaminate import OP3_SQL, op3_decontamination
 from assaykit.llm.langid import op4_language_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": OP3_SQL}
