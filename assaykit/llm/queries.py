@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assaykit.llm.decontaminate import OP3_SQL, op3_decontamination
 from assaykit.llm.langid import op4_language_id
+from assaykit.llm.simhash import op8_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
+        "op8_simhash": op8_simhash,
     }
 
 
