@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from assaykit.llm.decontaminate import OP3_SQL, op3_decontamination
 from assaykit.llm.langid import op4_language_id
+from assaykit.llm.quality import op10_quality_rules
 from assaykit.llm.simhash import op8_simhash
 
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op8_simhash": op8_simhash,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
