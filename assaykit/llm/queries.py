@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaykit.llm.attribution import op1_token_counts
+from assaykit.llm.binary import op5_token_binary
 from assaykit.llm.decontaminate import OP3_SQL, op3_decontamination
 from assaykit.llm.langid import op4_language_id
 from assaykit.llm.quality import op10_quality_rules
@@ -15,8 +17,10 @@ from assaykit.llm.vectorpack import op9_best_fit_packing
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
+        "op5_token_binary": op5_token_binary,
         "op8_simhash": op8_simhash,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_quality_rules": op10_quality_rules,
