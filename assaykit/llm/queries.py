@@ -12,6 +12,7 @@ from assaykit.llm.decontaminate import OP3_SQL, op3_decontamination
 from assaykit.llm.langid import op4_language_id
 from assaykit.llm.quality import op10_quality_rules
 from assaykit.llm.simhash import op8_simhash
+from assaykit.llm.toxicity import op7_toxicity
 from assaykit.llm.vectorpack import op9_best_fit_packing
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_token_binary": op5_token_binary,
+        "op7_toxicity": op7_toxicity,
         "op8_simhash": op8_simhash,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_quality_rules": op10_quality_rules,
