@@ -10,6 +10,7 @@ from assaykit.llm.attribution import op1_token_counts
 from assaykit.llm.binary import op5_token_binary
 from assaykit.llm.decontaminate import OP3_SQL, op3_decontamination
 from assaykit.llm.langid import op4_language_id
+from assaykit.llm.licences import OP6_SQL, op6_license_scan
 from assaykit.llm.quality import op10_quality_rules
 from assaykit.llm.simhash import op8_simhash
 from assaykit.llm.toxicity import op7_toxicity
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_token_binary": op5_token_binary,
+        "op6_license_scan": op6_license_scan,
         "op7_toxicity": op7_toxicity,
         "op8_simhash": op8_simhash,
         "op9_best_fit_packing": op9_best_fit_packing,
@@ -30,4 +32,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL}
+    return {"op3_decontamination": OP3_SQL, "op6_license_scan": OP6_SQL}
