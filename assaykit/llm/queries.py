@@ -11,6 +11,7 @@ from assaykit.llm.binary import op5_token_binary
 from assaykit.llm.decontaminate import OP3_SQL, op3_decontamination
 from assaykit.llm.langid import op4_language_id
 from assaykit.llm.licences import OP6_SQL, op6_license_scan
+from assaykit.llm.lm import op2_lm_scoring
 from assaykit.llm.quality import op10_quality_rules
 from assaykit.llm.simhash import op8_simhash
 from assaykit.llm.toxicity import op7_toxicity
@@ -20,6 +21,7 @@ from assaykit.llm.vectorpack import op9_best_fit_packing
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_token_binary": op5_token_binary,

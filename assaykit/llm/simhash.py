@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import golay
@@ -67,17 +67,18 @@ def fingerprint_many(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): a row per row of ``docs``; fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, keep: tuple[Column, ...] | None = None) -> DataFrame:
+    """(*keep, fp): a row per row of ``docs``; fp is the fingerprint's bits as a signed long."""
+    source = docs.select(*(keep or (F.col("doc_id"),)), utf8(F.col("text")).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [fingerprint_many(part) for _, part in chunks(b.column("_text").to_pylist(), 1 << 19)]
             fp = np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*b.schema.names[:-1], "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8(F.col("text")).alias("_text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    return source.mapInArrow(run, f"{fields}, fp long")
 
 
 def _segments(fp: np.ndarray) -> list[np.ndarray]:
@@ -234,11 +235,16 @@ def dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` with one row of each component left: that of the least doc_id.
 
     Texts without words are one component, as they have one fingerprint.  Of rows that
-    repeat the least doc_id, one stays.  Rows with a null doc_id stay only if
-    their component has no other.
+    repeat the least doc_id, one stays.  Rows with a null doc_id go if their component has
+    another; else one of each fingerprint stays.
     """
-    firsts = near_duplicates(docs, p).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(firsts, docs["doc_id"].eqNullSafe(firsts["_first"]), "left_semi").dropDuplicates(["doc_id"])
+    near = cut(near_duplicates(docs, p).select("doc_id", "fp", "component_id"))
+    firsts = near.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = near.where(F.col("component_id").isNull()).select("fp").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rest = fingerprints(docs.where(F.col("doc_id").isNull()), (row,)).join(nameless, "fp", "left_semi").dropDuplicates(["fp"])
+    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(rest.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
