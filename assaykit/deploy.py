@@ -22,7 +22,7 @@ def ship(spark: SparkSession) -> None:
     os.close(handle)
     with zipfile.ZipFile(name, "w") as z:
         for p in sorted(root.rglob("*")):
-            if p.suffix in (".py", ".json"):
+            if p.suffix in (".py", ".tsv"):
                 z.write(p, p.relative_to(root.parent))
     sc.addPyFile(name)
     _sent.add(sc.applicationId)
