@@ -6,6 +6,8 @@ element emits its amount times the top.  Nothing here is a Python UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ _AMOUNTS = "array<struct<el:string,n:double>>"
 _VALENCE = r"II+|^IV$|^VI$|[(]IV[)]|[(]V?I{0,3}[)]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, so that expressions don't multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_element(symbol: Column) -> Column:
     return is_in(symbol, ELEMENTS)
 
@@ -74,25 +81,30 @@ def gcd(amounts: Column, tolerance: float = 1e-3) -> Column:
 
 def integer_formula(amounts: Column, max_denominator: int = 1000) -> Column:
     """Amounts as the smallest whole numbers, symbols in alphabetical order, ones not written and zeros left out."""
-    g = gcd(F.transform(amounts, lambda x: x["n"]), 1.0 / max_denominator)
-    whole = F.transform(amounts, lambda x: F.struct(x["el"].alias("el"), F.rint(x["n"] / g).cast("long").alias("n")))
-    shown = F.transform(
-        F.array_sort(F.filter(whole, lambda x: x["n"] != 0)), lambda x: F.concat(x["el"], F.when(x["n"] > 1, x["n"].cast("string")).otherwise(F.lit("")))
-    )
-    return F.when(g > 0, F.array_join(shown, ""))
+
+    def shown(x: Column, g: Column) -> Column:
+        n = F.rint(x["n"] / g).cast("long")
+        return F.when(n == 0, F.lit("")).otherwise(F.concat(x["el"], F.when(n > 1, n.cast("string")).otherwise(F.lit(""))))
+
+    def of(own: Column) -> Column:
+        g = gcd(F.transform(own, lambda x: x["n"]), 1.0 / max_denominator)
+        return let(g, lambda k: F.when(k > 0, F.array_join(F.transform(F.array_sort(own), lambda x: shown(x, k)), "")))
+
+    return let(amounts, of)
+
+
+def _of_elements(amounts: Column) -> Column:
+    return F.coalesce(F.forall(amounts, lambda x: is_element(x["el"])), F.lit(False))
 
 
 def normalized_formula(text: Column, max_denominator: int = 1000) -> Column:
     """The integer formula, or the text if it is none or has symbols that are no elements."""
-    amounts = parse(text)
-    known = F.forall(amounts, lambda x: is_element(x["el"]))
-    return F.coalesce(F.when(known, integer_formula(amounts, max_denominator)), text)
+    return F.coalesce(let(parse(text), lambda a: F.when(_of_elements(a), integer_formula(a, max_denominator))), text)
 
 
 def is_simple_formula(text: Column) -> Column:
     """Whether a token reads as a compound: no valence sign, a digit or small letter, at least two elements or a diatomic one."""
-    amounts = parse(text)
-    compound = F.coalesce((F.size(amounts) > 1) & F.forall(amounts, lambda x: is_element(x["el"])), F.lit(False))
+    compound = let(parse(text), lambda a: F.coalesce(F.size(a) > 1, F.lit(False)) & _of_elements(a))
     diatomic = is_in(text, tuple(f"{e}2" for e in DIATOMIC))
     return F.when(text.rlike(_VALENCE) | ~text.rlike(r"[0-9\p{Ll}]"), F.lit(False)).otherwise(diatomic | compound)
 
@@ -103,10 +115,8 @@ def alphabetize(formula: Column) -> Column:
 
 def reduced_formula(formula: Column) -> Column:
     """Canonical form by reduction: whole amounts without a common divisor, diatomic elements as X2; null if it is no formula of elements."""
-    amounts = parse(formula)
-    known = F.forall(amounts, lambda x: is_element(x["el"]))
-    whole = integer_formula(amounts)
-    return F.when(known, F.when(is_in(whole, DIATOMIC), F.concat(whole, F.lit("2"))).otherwise(whole))
+    whole = let(parse(formula), lambda a: F.when(_of_elements(a), integer_formula(a)))
+    return let(whole, lambda w: F.when(is_in(w, DIATOMIC), F.concat(w, F.lit("2"))).otherwise(w))
 
 
 def first_parsed(text: Column, *parsers) -> Column:
@@ -130,8 +140,8 @@ def parentheses_balanced(formula: Column) -> Column:
     return F.aggregate(signs, start, step, lambda s: s["ok"] & (s["depth"] == 0))
 
 
-def _unmatched(formula: Column) -> tuple[Column, Column]:
-    """Numbers of ) without a ( before, and of ( without a ) after."""
+def _unmatched(formula: Column) -> Column:
+    """struct(close, open): numbers of ) without a ( before, and of ( without a ) after."""
     signs = F.regexp_extract_all(formula, F.lit("[()]"), F.lit(0))
     start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("close"))
 
@@ -142,22 +152,26 @@ def _unmatched(formula: Column) -> tuple[Column, Column]:
             F.when(up, s["open"] + 1).otherwise(F.greatest(s["open"] - 1, F.lit(0))).alias("open"), (s["close"] + F.when(lost, 1).otherwise(0)).alias("close")
         )
 
-    got = F.aggregate(signs, start, step)
-    return got["close"], got["open"]
+    return F.aggregate(signs, start, step)
 
 
 def check_parentheses(formula: Column) -> Column:
     """Brackets unified, a useless outer or lone parenthesis dropped, then missing ones added at the ends."""
+
+    def cut(pattern: str, first: int, dropped: int) -> Callable[[Column], Column]:
+        def of(f: Column) -> Column:
+            inner = f.substr(F.lit(first), F.greatest(F.length(f) - dropped, F.lit(0)))
+            return let(inner, lambda i: F.when(f.rlike(pattern) & parentheses_balanced(i), i).otherwise(f))
+
+        return of
+
+    def repaired(f: Column) -> Column:
+        return let(_unmatched(f), lambda u: F.concat(F.repeat(F.lit("("), u["close"]), f, F.repeat(F.lit(")"), u["open"])))
+
     f = unify_brackets(formula)
-    n = F.length(f)
-    inner = f.substr(F.lit(2), F.greatest(n - 2, F.lit(0)))
-    f = F.when(f.rlike(r"^[(].*[)]$") & parentheses_balanced(inner), inner).otherwise(f)
-    tail = f.substr(F.lit(2), F.length(f))
-    f = F.when(f.startswith("(") & parentheses_balanced(tail), tail).otherwise(f)
-    head = f.substr(F.lit(1), F.length(f) - 1)
-    f = F.when(f.endswith(")") & parentheses_balanced(head), head).otherwise(f)
-    close, open_ = _unmatched(f)
-    return F.concat(F.repeat(F.lit("("), close), f, F.repeat(F.lit(")"), open_))
+    for pattern, first, dropped in (("^[(].*[)]$", 2, 2), ("^[(]", 2, 1), ("[)]$", 1, 1)):
+        f = let(f, cut(pattern, first, dropped))
+    return let(f, repaired)
 
 
 def combine_parts(text: Column) -> Column:
