@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import pkgutil
 from functools import lru_cache
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +85,7 @@ def literal_map(values: dict[str, str]) -> Column:
 @lru_cache
 def resource(name: str) -> tuple[dict[str, str], ...]:
     """Rows of a dictionary table that is part of the package."""
-    lines = (Path(__file__).parent / "data" / f"{name}.tsv").read_text(encoding="utf-8").splitlines()
+    lines = pkgutil.get_data(__package__, f"data/{name}.tsv").decode("utf-8").splitlines()
     head = lines[0].split("\t")
     return tuple(dict(zip(head, line.split("\t"))) for line in lines[1:])
 
