@@ -281,7 +281,7 @@ def get_dopants(name: Column) -> Column:
     got = separate_additives(name)
     whole = F.regexp_replace(name, "co-?doped", "doped")
     with_ = F.regexp_extract(whole, rf"{_ADDED} with (.*)$", 1)
-    before = F.regexp_extract(whole, rf"^(.*)[-\s]{_ADDED} ", 1)
+    before = F.when(with_ == "", F.regexp_extract(whole, rf"^(.*)[-\s]{_ADDED} ", 1)).otherwise(F.lit(""))
     phrase = F.filter(F.array(F.trim(with_), F.trim(before)), lambda p: p != "")
     return F.struct(got["material"].alias("material"), F.when(F.size(phrase) > 0, phrase).otherwise(got["additives"]).alias("dopants"))
 

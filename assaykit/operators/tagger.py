@@ -118,11 +118,11 @@ def train_tagger(sentences: DataFrame, dev: DataFrame | None = None, epochs: int
     rows = sentences.where(F.size("words") > 0).select(F.pmod(F.xxhash64("words"), F.lit(shards)).alias("_shard"), "words", "tags")
     best, best_score, bad, rate = model, -1.0, 0, 1.0
     for _ in range(epochs):
-        held = spark.sparkContext.broadcast(model)
+        held, now = spark.sparkContext.broadcast(model), rate
 
-        def fit(key: tuple, t: pa.Table, held=held, rate=rate) -> pa.Table:
+        def fit(key: tuple, t: pa.Table) -> pa.Table:
             data = sorted(zip(t["words"].to_pylist(), t["tags"].to_pylist()))
-            got = _epoch(held.value, data, rate)
+            got = _epoch(held.value, data, now)
             delta = got.weights - held.value.weights
             at = np.flatnonzero(delta.any(1))
             rest = np.concatenate([x.ravel() for x in (got.moves, got.start, got.stop)])
