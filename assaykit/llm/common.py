@@ -7,8 +7,9 @@ conversion: ASCII case folding and white-space splitting are then single C calls
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,36 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {kind(f.type)}" for f in schema)
 
 
+def texts(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """A column's values, a few rows at a time: a batch's texts are never all held twice."""
+    for s in range(0, len(column), rows):
+        yield from column.slice(s, rows).to_pylist()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for ``mapInArrow``, with memory handed back after every batch: workers live on between stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                del b
+                _trim()
+
+        yield from f(each())
+        _trim()
+
+    return run
+
+
 def offsets_of(lengths: np.ndarray) -> np.ndarray:
     """Where each of consecutive runs starts, and the end of the last."""
     out = np.zeros(len(lengths) + 1, np.int64)

@@ -10,16 +10,18 @@ labelled rows turns evidence into a probability.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, table, utf8
+from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, table, texts, tidy, utf8
 
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -70,7 +72,7 @@ def _count_terms(docs: DataFrame, p: Params) -> DataFrame:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, by = Counter(), (Counter(), Counter())
         for b in batches:
-            for t, label in zip(b.column("_text").to_pylist(), b.column("toxic").to_pylist()):
+            for t, label in zip(texts(b.column("_text")), b.column("toxic").to_pylist()):
                 own = {b"", *terms(t, p)}
                 seen.update(own)
                 if label is not None:
@@ -79,7 +81,7 @@ def _count_terms(docs: DataFrame, p: Params) -> DataFrame:
                 yield _term_rows(seen, by)
         yield _term_rows(seen, by)
 
-    got = docs.mapInArrow(fold, ddl(_TERMS))
+    got = docs.mapInArrow(tidy(fold), ddl(_TERMS))
     return got.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
 
 
@@ -98,9 +100,9 @@ def _count_pairs(docs: DataFrame, vocabulary: dict[bytes, int], p: Params) -> np
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = held.value.get
-        total = np.zeros(v * v, np.int32)
+        total = np.zeros(v * v, np.int64)
         for b in batches:
-            for _, part in chunks(b.column("_text").to_pylist()):
+            for _, part in chunks(texts(b.column("_text"))):
                 ids: list[int] = []
                 for t in part:
                     ids += [i for i in map(get, terms(t, p)) if i is not None]
@@ -110,21 +112,43 @@ def _count_pairs(docs: DataFrame, vocabulary: dict[bytes, int], p: Params) -> np
                     a, c = x[:-d], x[d:]
                     ok = (a >= 0) & (c >= 0)
                     code, n = np.unique(np.minimum(a, c)[ok] * v + np.maximum(a, c)[ok], return_counts=True)
-                    total[code] += n.astype(np.int32)
-        at = np.flatnonzero(total)
-        for s in range(0, len(at), 100_000):
-            some = at[s : s + 100_000]
-            yield arrow(_PAIRS, i=(some // v).astype(np.int32), j=(some % v).astype(np.int32), n=total[some].astype(np.int64))
+                    total[code] += n
+        if total.any():
+            yield _blocks(total.reshape(v, v), TaskContext.get().partitionId() // 256)
 
-    counts = docs.mapInArrow(fold, ddl(_PAIRS)).groupBy("i", "j").agg(F.sum("n").alias("n"))
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        total = sum(_unpacked(x) for x in t["n"].to_pylist())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "n": pa.array([_packed(total)], pa.binary())})
+
+    # partial matrices are added in groups of 256 tasks, then all: no group grows with both
+    sums = docs.mapInArrow(tidy(fold), ddl(_BLOCKS)).groupBy("block", "part").applyInArrow(add, ddl(_BLOCKS)).groupBy("block").applyInArrow(add, ddl(_BLOCKS))
     out = np.zeros((v, v), np.float32)
-    # a row of the matrix per record: at most max_terms records of max_terms entries
-    by_row = counts.groupBy("i").agg(F.collect_list("j").alias("j"), F.collect_list(F.col("n").cast("float")).alias("n"))
-    for r in by_row.toLocalIterator():
-        out[r.i, r.j] = r.n
+    for r in sums.toLocalIterator():
+        at = r.block * _ROWS
+        own = _unpacked(bytes(r.n)).reshape(-1, v)
+        out[at : at + len(own)] = own
     return out + np.triu(out, 1).T
 
 
+_BLOCKS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("n", pa.binary())])
+_ROWS = 64
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Counts as compressed little-endian bytes; planes of equal significance lie together."""
+    planes = np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
+
+
+def _blocks(m: np.ndarray, part: int) -> pa.RecordBatch:
+    cuts = [m[s : s + _ROWS] for s in range(0, len(m), _ROWS)]
+    return arrow(_BLOCKS, block=list(range(len(cuts))), part=[part] * len(cuts), n=[_packed(c.ravel()) for c in cuts])
+
+
 @dataclass(frozen=True)
 class Lexicon:
     weights: dict[bytes, float]
@@ -203,12 +227,12 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Lexicon:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for x in batches:
-            for t, label in zip(x.column("_text").to_pylist(), x.column("toxic").to_pylist()):
+            for t, label in zip(texts(x.column("_text")), x.column("toxic").to_pylist()):
                 seen[min(p.bins - 1, int(evidence(t, held.value, p) / p.bin_width)), int(label > 0)] += 1
         yield arrow(_PAIRS, i=[i for i, _ in seen], j=[j for _, j in seen], n=list(seen.values()))
 
     bins = np.zeros((2, p.bins))
-    for r in marked.where(F.col("toxic").isNotNull()).mapInArrow(fold, ddl(_PAIRS)).groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in marked.where(F.col("toxic").isNotNull()).mapInArrow(tidy(fold), ddl(_PAIRS)).groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         bins[r.j, r.i] = r.n
     return Lexicon(weights, monotone(bins[0], bins[1]))
 
@@ -225,14 +249,14 @@ def score(docs: DataFrame, lexicon: Lexicon, p: Params = Params(), keep: tuple[C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = held.value
         for b in batches:
-            e = np.array([evidence(t, lex.weights, p) for t in b.column("_text").to_pylist()], np.float64)
+            e = np.array([evidence(t, lex.weights, p) for t in texts(b.column("_text"))], np.float64)
             s = lex.probability[np.minimum(p.bins - 1, (e / p.bin_width).astype(np.int64))]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(e), pa.array(s), pa.array((s >= p.threshold).astype(np.int32))], names=[*b.schema.names[:-1], "evidence", "score", "predicted"]
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{fields}, evidence double, score double, predicted int")
+    return source.mapInArrow(tidy(run), f"{fields}, evidence double, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, p: Params = Params()) -> DataFrame:
