@@ -106,7 +106,9 @@ def is_simple_formula(text: Column) -> Column:
     """Whether a token reads as a compound: no valence sign, a digit or small letter, at least two elements or a diatomic one."""
     compound = let(parse(text), lambda a: F.coalesce(F.size(a) > 1, F.lit(False)) & _of_elements(a))
     diatomic = is_in(text, tuple(f"{e}2" for e in DIATOMIC))
-    return F.when(text.rlike(_VALENCE) | ~text.rlike(r"[0-9\p{Ll}]"), F.lit(False)).otherwise(diatomic | compound)
+    # most tokens of a text end here: no second capital or digit after a first capital
+    hopeless = ~text.rlike(r"[A-Z].*[A-Z0-9]") | ~text.rlike(r"[0-9\p{Ll}]") | text.rlike(_VALENCE)
+    return F.when(hopeless, F.lit(False)).otherwise(diatomic | compound)
 
 
 def alphabetize(formula: Column) -> Column:

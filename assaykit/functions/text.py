@@ -81,7 +81,7 @@ def remove_accent(token: Column) -> Column:
     out = strip_accents(token)
     for a, b in _LIGATURES.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    return F.when(F.length(token) > 1, out).otherwise(token)
+    return F.when((F.length(token) > 1) & (F.octet_length(token) > F.length(token)), out).otherwise(token)
 
 
 def _is_lowered(token: Column) -> Column:
@@ -109,25 +109,36 @@ def process(
     tokens and none beyond their ends; an element's name is lower-cased and a material; a
     simple formula is a material and put in its normal form; else selective lower case.
     """
+    return fm.let(tokens, lambda own: _processed(own, exclude_punct, convert_num, normalize_materials, remove_accents))
+
+
+def _processed(tokens: Column, exclude_punct: bool, convert_num: bool, normalize_materials: bool, remove_accents: bool) -> Column:
     symbols = literal_map(NAME_TO_SYMBOL)
 
     def step(t: Column, i: Column) -> Column:
         before, after = F.get(tokens, i - 1), F.get(tokens, i + 1)
         direction = F.coalesce(((before == "(") & (after == ")")) | ((before == "〈") & (after == "〉")), F.lit(False))
-        number = is_number(t) if convert_num else F.lit(False)
-        name, simple = _is_name(t), fm.is_simple_formula(t)
-        normal = fm.normalized_formula(t)
         none = F.lit(None).cast("string")
-        kind = F.when(number, F.lit(1)).when(name, F.lit(2)).when(simple, F.lit(3)).otherwise(F.lit(4))
-        shown = (
-            F.when(kind == 1, F.when(direction, t).otherwise(F.lit(NUMBER_TOKEN)))
-            .when(kind == 2, F.lower(t))
-            .when(kind == 3, normal if normalize_materials else t)
-            .otherwise(selective_lower(t))
-        )
-        shown = remove_accent(shown) if remove_accents else shown
-        found = F.when(kind == 2, symbols[F.lower(t)]).when(kind == 3, normal).otherwise(none)
-        return F.struct(shown.alias("token"), t.alias("surface"), found.alias("formula"), is_punctuation(t).alias("punct"))
+        number = is_number(t) if convert_num else F.lit(False)
+        kind = F.when(number, F.lit(1)).when(_is_name(t), F.lit(2)).when(fm.is_simple_formula(t), F.lit(3)).otherwise(F.lit(4))
+
+        def of(k: Column) -> Column:
+            normal = F.when(k == 3, fm.normalized_formula(t))
+
+            def row(formula: Column) -> Column:
+                shown = (
+                    F.when(k == 1, F.when(direction, t).otherwise(F.lit(NUMBER_TOKEN)))
+                    .when(k == 2, F.lower(t))
+                    .when(k == 3, formula if normalize_materials else t)
+                    .otherwise(selective_lower(t))
+                )
+                shown = fm.let(shown, remove_accent) if remove_accents else shown
+                found = F.when(k == 2, symbols[F.lower(t)]).when(k == 3, formula).otherwise(none)
+                return F.struct(shown.alias("token"), t.alias("surface"), found.alias("formula"), is_punctuation(t).alias("punct"))
+
+            return fm.let(normal, row)
+
+        return fm.let(kind, of)
 
     rows = F.transform(tokens, step)
     if exclude_punct:
