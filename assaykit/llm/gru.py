@@ -109,19 +109,16 @@ class Gru:
         return [(c, at[edge[c] : edge[c + 1]]) for c in range(len(self.bounds) - 1) if edge[c] < edge[c + 1]]
 
     def log_probabilities(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
-        top = self._top(hs)
-        out = top[np.arange(len(y)), self._targets(y)].astype(np.float64)
+        out = _picked(hs @ self.p["Wc"] + self.p["bc"], self._targets(y))
         for c, at in self._by_class(y):
             a, b = self.bounds[c], self.bounds[c + 1]
             if b - a > 1:
-                s = hs[at] @ self.p["Ww"][a:b].T + self.p["bw"][a:b]
-                s -= s.max(1, keepdims=True)
-                out[at] += s[np.arange(len(at)), y[at] - a] - np.log(np.exp(s).sum(1))
+                out[at] += _picked(hs[at] @ self.p["Ww"][a:b].T + self.p["bw"][a:b], y[at] - a)
         return out
 
     # documents ------------------------------------------------------------------------
 
-    def score(self, docs: list[np.ndarray], streams: int = 256, window: int = 32) -> np.ndarray:
+    def score(self, docs: list[np.ndarray], streams: int = 512, window: int = 32) -> np.ndarray:
         """Natural log-probability of each whole document (its symbols, the end last)."""
         total = np.zeros(len(docs))
         table = self.p["E"] @ self.p["Wx"] + self.p["b"]
@@ -191,28 +188,40 @@ class Gru:
         d_hs = np.zeros_like(flat)
         d_hs[at] = d_out
         d_hs = d_hs.reshape(hs.shape)
-        dU, d_bn, d_x = np.zeros_like(p["U"]), np.zeros_like(p["bn"]), np.empty((*x.shape, 3 * n), np.float32)
-        dh = np.zeros_like(h)
+        before, r, z, c, hn = (np.array(own) for own in zip(*tape))
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), hn * r * (1 - r)
+        d_a, d_c = np.empty((*x.shape, 3 * n), np.float32), np.empty_like(hs)
+        dh, across = np.zeros_like(h), np.ascontiguousarray(p["U"].T)
         for i in range(len(x) - 1, -1, -1):
-            before, r, z, c, hn = tape[i]
-            dh = dh + d_hs[i]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * hn * r * (1 - r)
-            d_hn = dc * r
-            d_a = np.concatenate([dr, dz, d_hn], 1)
-            d_x[i] = np.concatenate([dr, dz, dc], 1)
-            dU += before.T @ d_a
-            d_bn += d_hn.sum(0)
-            dh = dh * z + d_a @ p["U"].T
-            dh *= ~fresh[i][:, None]
-        d_x = d_x.reshape(-1, 3 * n)
+            dh += d_hs[i]
+            dc, own = d_c[i], d_a[i]
+            np.multiply(dh, to_c[i], out=dc)
+            np.multiply(dc, to_r[i], out=own[:, :n])
+            np.multiply(dh, to_z[i], out=own[:, n : 2 * n])
+            np.multiply(dc, r[i], out=own[:, 2 * n :])
+            dh = dh * z[i]
+            dh += own @ across
+            if fresh[i].any():
+                dh *= ~fresh[i][:, None]
+        d_a = d_a.reshape(-1, 3 * n)
+        dU, d_bn = before.reshape(-1, n).T @ d_a, d_a[:, 2 * n :].sum(0)
+        d_x = d_a.copy()
+        d_x[:, 2 * n :] = d_c.reshape(-1, n)
         ids = x.ravel()
         g |= {"U": dU, "bn": d_bn, "b": d_x.sum(0), "Wx": p["E"][ids].T @ d_x, "E": np.zeros_like(p["E"])}
         np.add.at(g["E"], ids, d_x @ p["Wx"].T)
         return g, hs[-1]
 
 
+def _picked(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax of each row of logits at one place; ``s`` is overwritten."""
+    if len(s) and s.max() > 60:  # else exp cannot overflow, nor a row's sum vanish beside its largest term
+        s -= s.max(1, keepdims=True)
+    out = s[np.arange(len(at)), at].astype(np.float64)
+    np.exp(s, out=s)
+    return out - np.log(s.sum(1))
+
+
 def _streams(docs: list[np.ndarray], streams: int, budget: int = 1 << 20):
     """([step, stream] inputs, targets, document starts, document numbers or -1) in blocks of about ``budget`` symbols.
 

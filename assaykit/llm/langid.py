@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import CHUNK_BYTES, arrow, chunks, ddl, id_remainder, table, utf8
+from assaykit.llm.common import CHUNK_BYTES, arrow, chunks, ddl, id_remainder, table, texts, tidy, utf8
 
 UNDETERMINED = "und"
 
@@ -102,7 +102,7 @@ def count_ngrams(docs: DataFrame, p: Params = Params()) -> DataFrame:
             yield arrow(_COUNTS, lang=[lang] * (len(at) + 1), bucket=np.append(at, -1), n=np.append(total[at], rows[lang]))
 
     had = docs.where(F.col("lang").isNotNull()).select("lang", utf8(F.col("text")).alias("text"))
-    return had.mapInArrow(fold, ddl(_COUNTS)).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    return had.mapInArrow(tidy(fold), ddl(_COUNTS)).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model, p: Params = Params(), keep: tuple[Co
         for b in batches:
             names: list[str] = []
             scores: list[np.ndarray] = []
-            for _, part in chunks(b.column("_text").to_pylist(), CHUNK_BYTES):
+            for _, part in chunks(texts(b.column("_text")), CHUNK_BYTES):
                 n, s = predict(part, held.value, p)
                 names += n
                 scores.append(s)
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, model: Model, p: Params = Params(), keep: tuple[Co
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema)
-    return source.mapInArrow(score, f"{fields}, lang_pred string, score double")
+    return source.mapInArrow(tidy(score), f"{fields}, lang_pred string, score double")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

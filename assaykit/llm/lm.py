@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, cut, ddl, id_remainder, table, utf8
+from assaykit.llm.common import arrow, cut, ddl, id_remainder, table, tidy, utf8
 from assaykit.llm.gru import Gru, Shape
 
 END = b""
@@ -79,7 +79,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     seen.clear()
         yield arrow(_COUNTS, word=list(seen), n=list(seen.values()))
 
-    return docs.select(utf8(F.col("text")).alias("_text")).mapInArrow(fold, ddl(_COUNTS)).groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(utf8(F.col("text")).alias("_text")).mapInArrow(tidy(fold), ddl(_COUNTS)).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,15 @@ class Unigram:
 
 def _statistics(counts: DataFrame, p: Params) -> Unigram:
     total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = counts.where(F.length("word") > 0).orderBy(F.desc("n"), "word").limit(max(p.known_words, p.words)).toPandas()
+    words = counts.where(F.length("word") > 0)
+    # the least count, by eighths of a power of two, that at most known_words words reach
+    sizes = words.groupBy(F.floor(8 * F.log2("n")).alias("bin")).agg(F.min("n").alias("least"), F.count("*").alias("k")).orderBy(F.desc("bin")).collect()
+    least, held_words = 1 << 62, 0
+    for r in sizes:
+        if (held_words := held_words + r.k) > p.known_words:
+            break
+        least = r.least
+    top = words.where(F.col("n") >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     known = dict(zip(map(bytes, top["word"]), top["n"].astype(int)))
     ends = counts.where(F.length("word") == 0).first()
     symbols = {w: i for i, w in enumerate([END, *list(known)[: p.words - 1]])}
@@ -120,7 +128,7 @@ def _statistics(counts: DataFrame, p: Params) -> Unigram:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(p.shapes)), pa.array(n), pa.array(v)], names=["shape", "n", "v"])
 
     n, v = np.zeros(p.shapes), np.zeros(p.shapes)
-    for r in counts.mapInArrow(fold, "shape long, n long, v long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+    for r in counts.mapInArrow(tidy(fold), "shape long, n long, v long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         n[r["shape"]], v[r["shape"]] = r.n, r.v
     return Unigram(int(total.n or 0), int(total.v or 0), symbols, known, n, v)
 
@@ -149,7 +157,7 @@ def train(docs: DataFrame, uni: Unigram, p: Params = Params()) -> Gru:
 
     text = utf8(F.col("text"))
     chosen = docs.select(text.alias("_text")).where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    coded = chosen.mapInArrow(encode, "place long, ids binary")
+    coded = chosen.mapInArrow(tidy(encode), "place long, ids binary")
     coded = cut(coded.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "place"))
     for number in range(p.rounds):
         held = spark.sparkContext.broadcast(model)
@@ -173,7 +181,7 @@ def train(docs: DataFrame, uni: Unigram, p: Params = Params()) -> Gru:
             total = sum(n * np.frombuffer(x, np.float32) for n, x in zip(w, t["weights"].to_pylist())) / w.sum()
             return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        got = coded.mapInArrow(fit, ddl(_SUMS)).groupBy("piece").applyInArrow(mean, "piece int, weights binary").collect()
+        got = coded.mapInArrow(tidy(fit), ddl(_SUMS)).groupBy("piece").applyInArrow(mean, "piece int, weights binary").collect()
         if got:
             model = model.with_flat(np.concatenate([np.frombuffer(bytes(r.weights), np.float32) for r in sorted(got, key=lambda r: r.piece)]))
     return model
@@ -236,7 +244,7 @@ def score(docs: DataFrame, counts: DataFrame, uni: Unigram, model: Gru, p: Param
                 first = last
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    scored = cut(source.mapInArrow(run, f"{fields}, _place long, n_tokens long, _known long, _base double, _model double, _rare array<binary>"))
+    scored = cut(source.mapInArrow(tidy(run), f"{fields}, _place long, n_tokens long, _known long, _base double, _model double, _rare array<binary>"))
     rare = scored.select("_place", F.explode("_rare").alias("word")).groupBy("_place", "word").agg(F.count("*").alias("k"))
     sums = (
         rare.join(counts, "word", "left")
