@@ -53,9 +53,10 @@ ENTITY_TYPES: tuple[str, ...] = ("APL", "CMT", "DSC", "MAT", "PRO", "PUT", "PVL"
 #: Types whose entities have dictionaries of normal forms.
 DICTIONARY_TYPES: tuple[str, ...] = ("APL", "CMT", "DSC", "PRO", "SMT", "SPL")
 NUMBER_PREFIXES: dict[str, int] = {
-    "mono": 1, "di": 2, "tri": 3, "tetra": 4, "penta": 5, "pent": 5, "hexa": 6, "hepta": 7, "octa": 8, "nona": 9, "nano": 9, "ennea": 9,
-    "deca": 10, "undeca": 11, "dodeca": 12,
-}
+    p: i
+    for i, own in enumerate("mono|di|tri|tetra|penta pent|hexa|hepta|octa|nona nano ennea|deca|undeca|dodeca".split("|"), 1)
+    for p in own.split()
+}
 ROMAN: dict[str, int] = {r: i for i, r in enumerate("I II III IV V VI VII VIII IX X".split(), 1)}
 #: Materials that are known by their names alone.
 NAMED_MATERIALS: tuple[str, ...] = tuple(
@@ -99,14 +100,19 @@ def ions() -> dict[str, dict[str, dict]]:
     return out
 
 
+def _written(formula: str) -> str:
+    """A formula of the tables, which have braces for parentheses."""
+    return formula.translate(str.maketrans("{}", "()"))
+
+
 @lru_cache
 def compounds() -> dict[str, str]:
-    return {r["name"]: r["formula"] for r in resource("compounds")}
+    return {r["name"]: _written(r["formula"]) for r in resource("compounds")}
 
 
 @lru_cache
 def abbreviations() -> dict[str, str]:
-    return {r["abbreviation"]: r["formula"] for r in resource("abbreviations")}
+    return {r["abbreviation"]: _written(r["formula"]) for r in resource("abbreviations")}
 
 
 @lru_cache
@@ -117,7 +123,7 @@ def emoji() -> dict[str, str]:
 def dimension(spark: SparkSession, name: str) -> DataFrame:
     """A packaged dictionary as a DataFrame: ions, compounds, abbreviations or emoji.  Its size is fixed."""
     rows = resource(name)
-    return spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0]))
+    return spark.createDataFrame([tuple(_written(v) if k == "formula" else v for k, v in r.items()) for r in rows], list(rows[0]))
 
 
 def elements(spark: SparkSession) -> DataFrame:

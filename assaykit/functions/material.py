@@ -342,14 +342,14 @@ def stoichiometric_values(variable: Column, sentence: Column, count: int = 10) -
         F.transform(F.split(listed, r"[,\s]+|and"), lambda v: F.round(_value(v), 4)), lambda v: v.isNotNull()
     )
     ranges = [
-        (F.concat(variable, F.lit(r"\s*=\s*([0-9.]+)\s*[-–]\s*([0-9.]+)"))),
+        (F.concat(variable, F.lit(r"\s*=\s*([0-9.]+)\s*[–-]\s*([0-9.]+)"))),
         (F.concat(F.lit(r"([0-9.]+)\s*[<≤⩽]\s*"), variable, F.lit(r"\s*[<≤⩽]\s*([0-9.]+)"))),
-        (F.concat(variable, F.lit(r"[a-z\s]*from\s([0-9./]+)\sto\s([0-9./]+)"))),
+        (F.concat(variable, F.lit(r"[\sa-z]*from[ ]+([/.0-9]+)[ ]+to[ ]+([/.0-9]+)"))),
     ]
     low = F.coalesce(*[_value(_extract(s, r, 1)) for r in ranges])
     high = F.coalesce(*[_value(_extract(s, r, 2)) for r in ranges])
     steps = F.concat(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.round(low + i * (high - low) / count, 4)), F.array(F.round(high, 4)))
-    is_range = low.isNotNull() & high.isNotNull() & ((F.size(values) <= 0) | values.isNull() | s.rlike(r"=\s*[0-9.]+\s*[-–]\s*[0-9.]"))
+    is_range = low.isNotNull() & high.isNotNull() & ((F.size(values) <= 0) | values.isNull() | s.rlike(r"=\s*[0-9.]+\s*[–-]\s*[0-9.]"))
     is_list = ~is_range & (F.size(values) > 0)
     got = F.when(is_range, steps).when(is_list, values).otherwise(F.array().cast("array<double>"))
     return F.struct(

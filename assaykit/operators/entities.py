@@ -14,7 +14,7 @@ from assaykit.functions import symbolic as sy
 from assaykit.functions import text as tx
 from assaykit.functions.lexicon import DICTIONARY_TYPES, GREEK, NAMED_MATERIALS
 
-_FORMULA_LIKE = rf"((?:[A-Z][a-z]?[0-9]*[A-Za-z0-9{GREEK}()+-]*){{2,}})"
+_FORMULA_LIKE = rf"((?:[A-Z][0-9A-Za-z{GREEK}()+-]*){{2,}})"
 
 
 def dictionary_normal(entities: DataFrame, forms: DataFrame) -> DataFrame:

@@ -508,7 +508,7 @@ def abbreviations_substituted(spark, d):
 def materials_normalized(spark, d):
     p = read(spark, d, "part")
     m = F.get(F.lit(["graphene", "Ni(CO)4", "wustite_rock", "AO2", "BaxSr(1-x)TiO3", "unknown_stuff"]), (F.col("p_partkey") % 6).cast("int"))
-    text = F.lit("AO2 (A = Ti, Zr) films. BaxSr(1-x)TiO3 (x = 0.25, 0.5) too.")
+    text = F.lit("AO2 (A = Ti, Zr) films. BaxSr(1-x)TiO3 with x = 0.25, 0.5 too.")
     rows = p.select(F.col("p_partkey").cast("string").alias("mention_id"), F.col("p_partkey").alias("doc_id"), m.alias("material"), text.alias("text"))
     lookup = spark.createDataFrame([("wustite rock", "FeO")], "material string, formula string")
     out = entities.normalize_materials(rows, lookup)

@@ -81,7 +81,7 @@ def test_summary_keeps_all_types(spark):
 
 
 def test_material_cascade(spark):
-    text = "AO2 (A = Ti, Zr) was made. BaxSr(1-x)TiO3 (x = 0.25, 0.5) films."
+    text = "AO2 (A = Ti, Zr) was made. BaxSr(1-x)TiO3 with x = 0.25, 0.5 films."
     rows = [("1", 1, "AO2", text), ("2", 1, "BaxSr(1-x)TiO3", text), ("3", 2, "STO", "x"), ("4", 2, "graphene", None), ("5", 2, "foo_bar", "x"), ("6", 2, "nothing", "")]
     m = spark.createDataFrame(rows, "mention_id string, doc_id int, material string, text string")
     mats = spark.createDataFrame([(2, 0, "STO"), (2, 1, "SrTiO3"), (2, 2, "PZT"), (2, 3, "STO-PZT")], "doc_id int, pos int, material string")
