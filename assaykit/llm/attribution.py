@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import tokens
-from assaykit.llm.common import table, utf8
+from assaykit.llm.common import table, tidy, utf8
 
 RULES = ("majority", "start", "split")
 
@@ -93,7 +93,7 @@ def section_tokens(docs: DataFrame, p: Params = Params()) -> DataFrame:
                     )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8(F.col("text")).alias("_text")).mapInArrow(run, f"doc_id {kind}, section int, start long, end long, n_tokens double")
+    return docs.select("doc_id", utf8(F.col("text")).alias("_text")).mapInArrow(tidy(run), f"doc_id {kind}, section int, start long, end long, n_tokens double")
 
 
 def field_tokens(docs: DataFrame, fields: list[str], p: Params = Params(), separator: str = "\n") -> DataFrame:
@@ -126,7 +126,7 @@ def field_tokens(docs: DataFrame, fields: list[str], p: Params = Params(), separ
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = [utf8(F.col(f"`{c}`").cast("string")).alias(f"_{i}") for i, c in enumerate(fields)]
-    return docs.select("doc_id", *texts).mapInArrow(run, f"doc_id {kind}, field string, n_tokens double")
+    return docs.select("doc_id", *texts).mapInArrow(tidy(run), f"doc_id {kind}, field string, n_tokens double")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

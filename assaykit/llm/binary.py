@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import tokens
-from assaykit.llm.common import chunks, table, utf8
+from assaykit.llm.common import chunks, table, texts, tidy, utf8
 
 
 @dataclass(frozen=True)
@@ -106,7 +106,7 @@ def packed_sequences(docs: DataFrame, p: Params = Params()) -> DataFrame:
         end = np.array([bpe.end], np.uint16)
         for b in batches:
             ids = b.column("doc_id")
-            for first, part in chunks(b.column("_text").to_pylist()):
+            for first, part in chunks(texts(b.column("_text"))):
                 row, out = [], []
                 for i, t in enumerate(part, first):
                     own = np.concatenate([bpe.encode(t).astype(np.uint16), end])
@@ -138,7 +138,7 @@ def packed_sequences(docs: DataFrame, p: Params = Params()) -> DataFrame:
         kinds = [pa.int64(), pa.list_(t.schema.field("doc_id").type), *[pa.list_(pa.int32())] * 3, pa.int32(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    made = docs.select("doc_id", utf8(F.col("text")).alias("_text")).mapInArrow(encode, f"doc_id {kind}, place long, piece int, n int, ids binary")
+    made = docs.select("doc_id", utf8(F.col("text")).alias("_text")).mapInArrow(tidy(encode), f"doc_id {kind}, place long, piece int, n int, ids binary")
     dealt = made.withColumn("_shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
     return dealt.groupBy("_shard").applyInArrow(pack, _SCHEMA.format(id=kind))
 
@@ -171,7 +171,7 @@ def write_binary(sequences: DataFrame, folder: str, p: Params = Params()) -> Dat
             d.rename(base / f"{name}.{k}")
         yield pa.RecordBatch.from_pylist([{"file": name, "sequences": sequences, "segments": segments}], schema=pa.schema([("file", pa.string()), ("sequences", pa.int64()), ("segments", pa.int64())]))
 
-    return sequences.select("input_ids", "cu_seqlens").mapInArrow(write, "file string, sequences long, segments long")
+    return sequences.select("input_ids", "cu_seqlens").mapInArrow(tidy(write), "file string, sequences long, segments long")
 
 
 def op5_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

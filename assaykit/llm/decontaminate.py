@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import chunks, offsets_of, table, utf8
+from assaykit.llm.common import chunks, offsets_of, table, texts, tidy, utf8
 
 #: Folds A-Z and turns every separator byte into a blank; byte positions are kept.
 FOLD = bytes(
@@ -231,7 +231,7 @@ def find(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), keep: tupl
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 spans, items = b.column("_spans").to_pylist(), b.column("_items").to_pylist()
-                for first, part in chunks(b.column("_text").to_pylist()):
+                for first, part in chunks(texts(b.column("_text"))):
                     for i, (s, own) in enumerate(held.value.scan([words(t) for t in part]), first):
                         if s:
                             merged: list[tuple[int, int]] = []
@@ -244,7 +244,7 @@ def find(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), keep: tupl
                     [*cols, pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=b.schema.names
                 )
 
-        out = out.mapInArrow(scan, fields)
+        out = out.mapInArrow(tidy(scan), fields)
     return out
 
 
@@ -271,16 +271,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, texts = [], []
-            for t, s in zip(b.column("_text").to_pylist(), b.column("_spans").to_pylist()):
+            keep, cleaned = [], []
+            for t, s in zip(texts(b.column("_text")), b.column("_spans").to_pylist()):
                 hit = sum(s[1::2]) - sum(s[::2])
                 keep.append(not s or hit <= p.max_coverage * len(words(t)))
-                texts.append(strip(t, s).decode("utf-8", "replace") if s and keep[-1] else None)
+                cleaned.append(strip(t, s).decode("utf-8", "replace") if s and keep[-1] else None)
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(texts, pa.string())], names=["_row", "_cut"]).filter(mask)
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(cleaned, pa.string())], names=["_row", "_cut"]).filter(mask)
 
     row = dict(zip(found.columns, found.schema))["_row"].dataType.simpleString()
-    cut = found.mapInArrow(clean, f"_row {row}, _cut string")
+    cut = found.mapInArrow(tidy(clean), f"_row {row}, _cut string")
     renewed = {"text": F.coalesce(F.col("_cut"), F.col("_row.text"))}
     if "n_chars" in names:
         renewed["n_chars"] = F.when(F.col("_cut").isNull(), F.col("_row.n_chars")).otherwise(F.length("_cut")).cast(docs.schema["n_chars"].dataType)
@@ -296,7 +296,7 @@ def report(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataF
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words = [len(words(t)) for t in b.column("_text").to_pylist()]
+            n_words = [len(words(t)) for t in texts(b.column("_text"))]
             n_hit = [sum(s[1::2]) - sum(s[::2]) for s in b.column("_spans").to_pylist()]
             items = b.column("_items").to_pylist()
             yield pa.RecordBatch.from_arrays(
@@ -308,7 +308,7 @@ def report(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataF
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(count, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.mapInArrow(tidy(count), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, table, utf8
+from assaykit.llm.common import arrow, table, texts, tidy, utf8
 
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 or b == 10 else 0x20 for b in range(256))
 
@@ -106,7 +106,7 @@ def scan(docs: DataFrame, p: Params = Params()) -> DataFrame:
         m = matcher.value
         for b in batches:
             rows: list[tuple] = []
-            for t in b.column("_text").to_pylist():
+            for t in texts(b.column("_text")):
                 lines = [x.split() for x in t.translate(FOLD).split(b"\n")]
                 units = [(i, ws) for i, ws in enumerate(lines) if len(ws) > 1]
                 if len(lines) > 1 and sum(map(len, lines)) - 1 <= m.most:
@@ -119,7 +119,7 @@ def scan(docs: DataFrame, p: Params = Params()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out.columns], names=["doc_id", *_OUT.names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8(F.col("text")).alias("_text")).mapInArrow(run, f"doc_id {kind}, licence string, score double, unit int, n_matches long")
+    return docs.select("doc_id", utf8(F.col("text")).alias("_text")).mapInArrow(tidy(run), f"doc_id {kind}, licence string, score double, unit int, n_matches long")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

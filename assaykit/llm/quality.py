@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, chunks, ddl, offsets_of, table, utf8
+from assaykit.llm.common import arrow, chunks, ddl, offsets_of, table, texts, tidy, utf8
 
 WINDOW = 8
 CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "punctuation", "symbol", "beyond_ascii", "control")
@@ -135,7 +135,7 @@ def _common_words(docs: DataFrame, p: Params) -> dict[str, set[bytes]]:
             return arrow(_WORDS, lang=[lang] * (len(often) + 1), word=[*(w for w, _ in often), b""], n=[*(k for _, k in often), n])
 
         for b in batches:
-            for lang, t in zip(b.column("lang").to_pylist(), b.column("_text").to_pylist()):
+            for lang, t in zip(b.column("lang").to_pylist(), texts(b.column("_text"))):
                 ws = t.lower().split()
                 if ws:
                     seen[lang].update(ws)
@@ -145,7 +145,7 @@ def _common_words(docs: DataFrame, p: Params) -> dict[str, set[bytes]]:
         for lang in list(size):
             yield closed(lang)
 
-    sums = _with_language(docs).mapInArrow(fold, ddl(_WORDS)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sums = _with_language(docs).mapInArrow(tidy(fold), ddl(_WORDS)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     total = sums.where(F.length("word") == 0).select("lang", F.col("n").alias("total"))
     often = sums.where(F.length("word") > 0).join(total, "lang").where(F.col("n") >= p.common_share * F.col("total"))
     out: dict[str, set[bytes]] = defaultdict(set)
@@ -166,7 +166,7 @@ def references(docs: DataFrame, p: Params = Params()) -> References:
         words: dict[str, np.ndarray] = {}
         for b in batches:
             langs = b.column("lang").to_pylist()
-            for first, part in chunks(b.column("_text").to_pylist()):
+            for first, part in chunks(texts(b.column("_text"))):
                 for lang, t, c in zip(langs[first:], part, char_histograms(part)):
                     if lang not in chars:
                         chars[lang], words[lang] = np.zeros(len(CLASSES), np.int64), np.zeros(len(column) + 1, np.int64)
@@ -177,7 +177,7 @@ def references(docs: DataFrame, p: Params = Params()) -> References:
                 at = np.flatnonzero(x)
                 yield arrow(_HISTOGRAM, lang=[lang] * len(at), kind=np.full(len(at), kind, np.int32), place=at.astype(np.int32), n=x[at])
 
-    got = _with_language(docs).mapInArrow(fold, ddl(_HISTOGRAM)).groupBy("lang", "kind", "place").agg(F.sum("n").alias("n")).collect()
+    got = _with_language(docs).mapInArrow(tidy(fold), ddl(_HISTOGRAM)).groupBy("lang", "kind", "place").agg(F.sum("n").alias("n")).collect()
     names = tuple(sorted(maybe))
     chars, words = np.zeros((len(names), len(CLASSES))), np.zeros((len(names), len(column) + 1))
     for r in got:
@@ -239,14 +239,14 @@ def judge(docs: DataFrame, r: References, p: Params = Params(), keep: tuple[Colu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [measure(part, held.value, p) for _, part in chunks(b.column("_text").to_pylist())]
+            parts = [measure(part, held.value, p) for _, part in chunks(texts(b.column("_text")))]
             cols = [pa.array(np.concatenate([x[k] for x in parts]) if parts else []) for k in _MEASURES]
             kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
             cols = [c.cast(kinds[k]) for c, k in zip(cols, _MEASURES.values())]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], *_MEASURES])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, ", ".join([fields, *(f"{k} {v}" for k, v in _MEASURES.items())]))
+    return source.mapInArrow(tidy(run), ", ".join([fields, *(f"{k} {v}" for k, v in _MEASURES.items())]))
 
 
 def keep_good(docs: DataFrame, p: Params = Params()) -> DataFrame:

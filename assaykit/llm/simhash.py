@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import golay
-from assaykit.llm.common import chunks, cut, offsets_of, table, utf8
+from assaykit.llm.common import chunks, cut, offsets_of, table, texts, tidy, utf8
 from assaykit.llm.components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -73,12 +73,12 @@ def fingerprints(docs: DataFrame, keep: tuple[Column, ...] | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [fingerprint_many(part) for _, part in chunks(b.column("_text").to_pylist(), 1 << 19)]
+            got = [fingerprint_many(part) for _, part in chunks(texts(b.column("_text")), 1 << 19)]
             fp = np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*b.schema.names[:-1], "fp"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, f"{fields}, fp long")
+    return source.mapInArrow(tidy(run), f"{fields}, fp long")
 
 
 def _segments(fp: np.ndarray) -> list[np.ndarray]:
@@ -164,7 +164,7 @@ def links(distinct: DataFrame, p: Params = Params()) -> DataFrame:
 
     ``distinct``: (fp, n) with one row per fingerprint and its number of documents.
     """
-    keyed = distinct.mapInArrow(_explode, "key long, fp long, n long")
+    keyed = distinct.mapInArrow(tidy(_explode), "key long, fp long, n long")
     hot = cut(keyed.groupBy("key").count().where(F.col("count") > p.block).select("key", F.ceil(F.col("count") / p.block).cast("int").alias("blocks")))
     small = hot.count() <= p.broadcast_keys
     split = keyed.join(F.broadcast(hot) if small else hot, "key", "left")
@@ -203,7 +203,7 @@ def links(distinct: DataFrame, p: Params = Params()) -> DataFrame:
         if held is not None and held.shape[1]:
             yield found(held)
 
-    return met.mapInArrow(verify, "fp long, n long, root long")
+    return met.mapInArrow(tidy(verify), "fp long, n long, root long")
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
