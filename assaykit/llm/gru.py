@@ -87,6 +87,33 @@ class Gru:
             out[t] = h = new
         return out, tape
 
+    def _states(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, table: np.ndarray, across: np.ndarray) -> np.ndarray:
+        """``_recur`` without a tape, on weights whose gate columns are halved, in place."""
+        n, bn = self.shape.hidden, self.p["bn"]
+        out = np.empty((*ids.shape, n), np.float32)
+        x, a = np.empty((ids.shape[1], 3 * n), np.float32), np.empty((ids.shape[1], 3 * n), np.float32)
+        half = np.float32(0.5)
+        for t in range(len(ids)):
+            if fresh[t].any():
+                h = h * ~fresh[t][:, None]
+            np.take(table, ids[t], 0, out=x, mode="clip")
+            np.matmul(h, across, out=a)
+            gates, c, hn = a[:, : 2 * n], x[:, 2 * n :], a[:, 2 * n :]
+            gates += x[:, : 2 * n]
+            np.tanh(gates, out=gates)
+            gates *= half
+            gates += half
+            hn += bn
+            hn *= gates[:, :n]
+            c += hn
+            np.tanh(c, out=c)
+            new = out[t]
+            np.subtract(h, c, out=new)
+            new *= gates[:, n:]
+            new += c
+            h = new
+        return out
+
     def _top(self, hs: np.ndarray) -> np.ndarray:
         s = hs @ self.p["Wc"] + self.p["bc"]
         s -= s.max(1, keepdims=True)
@@ -109,11 +136,14 @@ class Gru:
         return [(c, at[edge[c] : edge[c + 1]]) for c in range(len(self.bounds) - 1) if edge[c] < edge[c + 1]]
 
     def log_probabilities(self, hs: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = _picked(hs @ self.p["Wc"] + self.p["bc"], self._targets(y))
+        # states are within -1 and 1, so this bounds all logits; below it exp needs no shift
+        most = max(float((np.abs(w).sum(axis) + np.abs(b)).max(initial=0)) for w, b, axis in ((self.p["Wc"], self.p["bc"], 0), (self.p["Ww"], self.p["bw"], 1)))
+        shift = most > 60
+        out = _picked(hs @ self.p["Wc"], self.p["bc"], self._targets(y), shift)
         for c, at in self._by_class(y):
             a, b = self.bounds[c], self.bounds[c + 1]
             if b - a > 1:
-                out[at] += _picked(hs[at] @ self.p["Ww"][a:b].T + self.p["bw"][a:b], y[at] - a)
+                out[at] += _picked(hs[at] @ self.p["Ww"][a:b].T, self.p["bw"][a:b], y[at] - a, shift)
         return out
 
     # documents ------------------------------------------------------------------------
@@ -121,12 +151,15 @@ class Gru:
     def score(self, docs: list[np.ndarray], streams: int = 512, window: int = 32) -> np.ndarray:
         """Natural log-probability of each whole document (its symbols, the end last)."""
         total = np.zeros(len(docs))
-        table = self.p["E"] @ self.p["Wx"] + self.p["b"]
+        n = self.shape.hidden
+        table, across = self.p["E"] @ self.p["Wx"] + self.p["b"], self.p["U"].copy()
+        for own in (table, across):  # half the gates' arguments: a sigmoid is half a tanh of them
+            own[:, : 2 * n] *= 0.5
         for x, y, fresh, owner in _streams(docs, streams):
             h = np.zeros((x.shape[1], self.shape.hidden), np.float32)
             for s in range(0, len(x), window):
                 cut = slice(s, s + window)
-                hs, _ = self._recur(x[cut], fresh[cut], h, table, False)
+                hs = self._states(x[cut], fresh[cut], h, table, across)
                 h = hs[-1]
                 own = owner[cut].ravel()
                 real = np.flatnonzero(own >= 0)
@@ -213,13 +246,14 @@ class Gru:
         return g, hs[-1]
 
 
-def _picked(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of each row of logits at one place; ``s`` is overwritten."""
-    if len(s) and s.max() > 60:  # else exp cannot overflow, nor a row's sum vanish beside its largest term
+def _picked(s: np.ndarray, bias: np.ndarray, at: np.ndarray, shift: bool) -> np.ndarray:
+    """Log softmax of each row of ``s`` + ``bias`` at one place; ``s`` is overwritten."""
+    s += bias
+    if shift:
         s -= s.max(1, keepdims=True)
     out = s[np.arange(len(at)), at].astype(np.float64)
     np.exp(s, out=s)
-    return out - np.log(s.sum(1))
+    return out - np.log(s @ np.ones(s.shape[1], s.dtype))
 
 
 def _streams(docs: list[np.ndarray], streams: int, budget: int = 1 << 20):

@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, cut, ddl, id_remainder, table, tidy, utf8
+from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, offsets_of, table, texts, tidy, utf8
 from assaykit.llm.gru import Gru, Shape
 
 END = b""
@@ -133,6 +134,23 @@ def _statistics(counts: DataFrame, p: Params) -> Unigram:
     return Unigram(int(total.n or 0), int(total.v or 0), symbols, known, n, v)
 
 
+def _places(u: Unigram) -> dict[bytes, int]:
+    """Numbers of the known words, the symbols first, so that one lookup serves both."""
+    out = dict(u.symbols)
+    for w in u.known:
+        out.setdefault(w, len(out))
+    return out
+
+
+def _by_place(u: Unigram, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbol, log10 of the smoothed count, and whether it was counted, of each numbered word."""
+    words = list(_places(u))
+    k = len(u.symbols)
+    symbol = np.array([i if i < k else k + shape_of(w, p) for i, w in enumerate(words)], np.int64)
+    counts = np.array([u.known.get(w, 0) for w in words], np.float64)
+    return symbol, np.log10(counts + p.smoothing), counts > 0
+
+
 def _encode(words: list[bytes], symbols: dict[bytes, int], p: Params) -> np.ndarray:
     get, base = symbols.get, len(symbols)
     return np.array([i if (i := get(w)) is not None else base + shape_of(w, p) for w in words], np.int32)
@@ -203,45 +221,41 @@ def score(docs: DataFrame, counts: DataFrame, uni: Unigram, model: Gru, p: Param
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, m = held.value
-        names = list(u.symbols)
-        k = len(names)
+        get, k = _places(u).get, len(u.symbols)
+        symbol, log_count, seen = _by_place(u, p)
         log_in = np.log10(u.shape_tokens + extra * (u.shape_distinct + 1))
         base_all = np.log10(u.tokens + extra * (u.distinct + 1))
         place = TaskContext.get().partitionId() << 33
         for b in batches:
-            texts = b.column("_text").to_pylist()
-            first = 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last]) <= p.block_bytes):
-                    size += len(texts[last])
-                    last += 1
-                coded, rows = [], []
-                for t in texts[first:last]:
-                    ws = tokens(t)
-                    ids = _encode(ws, u.symbols, p)
-                    coded.append(ids)
-                    base, known, inside, rare = 0.0, 0, 0.0, []
-                    seen = np.array([u.known.get(w, -1) for w in ws])
-                    is_known = seen >= 0
-                    logs = np.log10(np.maximum(seen, 0) + extra)
-                    base = float(logs[is_known].sum()) - base_all * len(ws)
-                    outside = ids >= k
-                    inside = float(logs[is_known & outside].sum()) - float(log_in[ids[outside] - k].sum())
-                    rare = [ws[i] for i in np.flatnonzero(~is_known).tolist()]
-                    rows.append((len(ws), int((seen > 0).sum()), base, inside, rare))
+            column, first = b.column("_text"), 0
+            for first, part_texts in chunks(texts(column), p.block_bytes):
+                split = [tokens(t) for t in part_texts]
+                n = np.fromiter(map(len, split), np.int64, len(split))
+                flat = [w for ws in split for w in ws]
+                at = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
+                known = at >= 0
+                ids = np.where(known, symbol[at], 0)
+                unknown = np.flatnonzero(~known)
+                ids[unknown] = [k + shape_of(flat[i], p) for i in unknown.tolist()]
+                outside = ids >= k
+                starts = offsets_of(n)
+                logs = np.where(known, log_count[at], 0.0)
+                base = np.add.reduceat(logs, starts[:-1]) - base_all * n
+                inside = np.add.reduceat(np.where(outside, logs - log_in[np.where(outside, ids - k, 0)], 0.0), starts[:-1])
+                n_known = np.add.reduceat(known & seen[at], starts[:-1], dtype=np.int64)
+                cut_at = np.searchsorted(unknown, starts)
+                rare = [[flat[i] for i in unknown[s:e].tolist()] for s, e in zip(cut_at, cut_at[1:])]
+                coded = np.split(ids.astype(np.int32), starts[1:-1])
                 logp = m.score(coded) / np.log(10)
-                cols = list(zip(*rows))
-                part = b.slice(first, last - first)
+                part = b.slice(first, len(split))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns[:-1], pa.array(np.arange(place, place + len(rows))), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()),
-                        pa.array(np.array(cols[3]) + logp), pa.array(cols[4], pa.list_(pa.binary())),
+                        *part.columns[:-1], pa.array(np.arange(place, place + len(split))), pa.array(n), pa.array(n_known), pa.array(base), pa.array(inside + logp),
+                        pa.array(rare, pa.list_(pa.binary())),
                     ],
                     names=[*part.schema.names[:-1], "_place", "n_tokens", "_known", "_base", "_model", "_rare"],
                 )
-                place += len(rows)
-                first = last
+                place += len(split)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
     scored = cut(source.mapInArrow(tidy(run), f"{fields}, _place long, n_tokens long, _known long, _base double, _model double, _rare array<binary>"))
