@@ -671,11 +671,11 @@ def mention_rollup(spark, d):
 
 
 _FORMS = _CONCAT_SQL + """,
-n AS (SELECT type, upper(entity) AS k, count(*) AS c, max(lower(entity)) AS form FROM ents WHERE type IN ('APL', 'CMT', 'DSC', 'PRO', 'SMT', 'SPL') GROUP BY ALL HAVING count(*) >= 3)
+n AS (SELECT type, upper(replace(entity, 'ß', 'ss')) AS k, count(*) AS c, max(lower(entity)) AS form FROM ents WHERE type IN ('APL', 'CMT', 'DSC', 'PRO', 'SMT', 'SPL') GROUP BY ALL HAVING count(*) >= 3)
 """
 
 
-@query("entities_normalized", _FORMS + "SELECT e.type, coalesce(form, entity) AS normal, count(*) AS n FROM ents e LEFT JOIN n ON n.type = e.type AND n.k = upper(entity) GROUP BY ALL")
+@query("entities_normalized", _FORMS + "SELECT e.type, coalesce(form, entity) AS normal, count(*) AS n FROM ents e LEFT JOIN n ON n.type = e.type AND n.k = upper(replace(entity, 'ß', 'ss')) GROUP BY ALL")
 def entities_normalized(spark, d):
     """Entities with the forms that are found at least three times as their dictionary."""
     e = iob.concatenate(tagged(spark, d))
