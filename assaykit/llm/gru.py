@@ -170,8 +170,13 @@ class Gru:
                     x, y, fresh, owner, h = x[:, live], y[:, live], fresh[:, live], owner[:, live], h[live]
         return total
 
-    def train(self, docs: list[np.ndarray], streams: int = 64, window: int = 24, rate: float = 5e-3, seed: int = 0) -> Gru:
-        """A pass of truncated back-propagation (Adam, rate falling to a tenth) over the documents."""
+    def train(self, docs: list[np.ndarray], streams: int = 64, window: int = 24, rate: float = 5e-3, seed: int = 0, longest: int = 2048) -> Gru:
+        """A pass of truncated back-propagation (Adam, rate falling to a tenth) over the documents.
+
+        Longer documents are taken as pieces of ``longest`` symbols, so that no stream
+        goes on alone; all symbols are learned from.
+        """
+        docs = [d[s : s + longest] for d in docs for s in range(0, len(d), longest)]
         p = {k: v.copy() for k, v in self.p.items()}
         m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
         me = Gru(self.shape, self.class_of, self.bounds, p)

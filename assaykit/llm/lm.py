@@ -23,6 +23,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -227,7 +228,9 @@ def score(docs: DataFrame, counts: DataFrame, uni: Unigram, model: Gru, p: Param
         base_all = np.log10(u.tokens + extra * (u.distinct + 1))
         place = TaskContext.get().partitionId() << 33
         for b in batches:
-            column, first = b.column("_text"), 0
+            # texts of like length go together: else a few long ones step on alone in every block
+            b = b.take(pa.array(np.argsort(pc.binary_length(b.column("_text")).to_numpy(zero_copy_only=False), kind="stable")))
+            column = b.column("_text")
             for first, part_texts in chunks(texts(column), p.block_bytes):
                 split = [tokens(t) for t in part_texts]
                 n = np.fromiter(map(len, split), np.int64, len(split))
