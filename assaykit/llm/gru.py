@@ -202,8 +202,8 @@ class Gru:
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         p, n = self.p, self.shape.hidden
-        table = p["E"] @ p["Wx"] + p["b"]
-        hs, tape = self._recur(x, fresh, h, table, True)
+        table = p["E"][x.ravel()] @ p["Wx"] + p["b"]
+        hs, tape = self._recur(np.arange(x.size).reshape(x.shape), fresh, h, table, True)
         flat, at, ys = hs.reshape(-1, n), np.flatnonzero(real.ravel()), y.ravel()
         out, t = flat[at], ys[at]
         w = np.float32(1 / max(1, len(at)))

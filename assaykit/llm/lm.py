@@ -8,7 +8,7 @@ Counts are used in three tiers, so that nothing that grows with the corpus is br
 * counts of the ``known_words`` most frequent are broadcast, a bounded table;
 * other words of a document are rare; they alone are joined with the table of all counts.
 
-The network is fitted by rounds of local training: every shard of the training share
+The network is fitted on all training documents by rounds of local training: every shard
 continues from the same weights and the shards' weights are averaged, weighted by tokens.
 The number of shards grows with the corpus up to ``max_shards``, then their size does.
 """
@@ -43,8 +43,8 @@ class Params:
     embedding: int = 24
     known_words: int = 200_000
     smoothing: float = 0.1
-    #: The network sees this share of the training documents, by hash, and all of them while that is below ``train_tokens``.
-    train_share: float = 0.125
+    #: The network is fitted on all training documents; a caller may ask for a share of them, by hash, taken beyond ``train_tokens``.
+    train_share: float = 1.0
     train_tokens: int = 2_000_000
     shard_tokens: int = 1_000_000
     max_shards: int = 1024
@@ -55,7 +55,7 @@ class Params:
 
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 _SUMS = pa.schema([("shard", pa.int64()), ("piece", pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
-_PIECE = 65_536
+_PIECE = 8_192
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -158,7 +158,7 @@ def _encode(words: list[bytes], symbols: dict[bytes, int], p: Params) -> np.ndar
 
 
 def train(docs: DataFrame, uni: Unigram, p: Params = Params()) -> Gru:
-    """The network after ``rounds`` of averaged local training on the training share of ``docs``."""
+    """The network after ``rounds`` of averaged local training on ``docs``."""
     spark = docs.sparkSession
     model = Gru.start(uni.symbol_counts(), Shape(len(uni.symbols), p.shapes, p.classes, p.hidden, p.embedding))
     if not uni.tokens:
@@ -175,7 +175,9 @@ def train(docs: DataFrame, uni: Unigram, p: Params = Params()) -> Gru:
             place += len(coded)
 
     text = utf8(F.col("text"))
-    chosen = docs.select(text.alias("_text")).where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    chosen = docs.select(text.alias("_text"))
+    if share < 1:
+        chosen = chosen.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(share * (1 << 20)))
     coded = chosen.mapInArrow(tidy(encode), "place long, ids binary")
     coded = cut(coded.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "place"))
     for number in range(p.rounds):

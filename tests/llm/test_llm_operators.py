@@ -463,3 +463,13 @@ def test_scores(spark, odd, empty):
     assert lm.fit_and_score(train, empty, p).count() == 0
     none = lm.fit_and_score(empty, odd, p).collect()
     assert len(none) == len(ODD) and all(np.isfinite(r.score) for r in none)
+
+
+@pytest.mark.parametrize("word", ["p", "q", "r"])
+def test_network_is_fitted_on_every_text(spark, word):
+    """Copies of one text change the network from its start, whatever the text's hash and the size of the input."""
+    d = spark.createDataFrame([(i, f"{word} x {word} y") for i in range(8)], "doc_id long, text string")
+    p = lm.Params(words=5, shapes=2, classes=2, hidden=4, embedding=3, train_tokens=1)
+    uni = lm._statistics(lm.count_words(d), p)
+    start = gru.Gru.start(uni.symbol_counts(), gru.Shape(len(uni.symbols), p.shapes, p.classes, p.hidden, p.embedding))
+    assert not np.array_equal(lm.train(d, uni, p).flat(), start.flat())
