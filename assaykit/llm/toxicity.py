@@ -12,12 +12,12 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +30,10 @@ FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x8
 class Params:
     #: Bytes of a word that are its stem.
     stem: int = 6
-    #: A graph term is in this share of documents at least, and in ``min_documents``.
-    min_share: float = 0.001
+    #: A graph term is in so many documents at least, however many there are.
     min_documents: int = 4
-    #: ... and at most in this share: words in most documents tell nothing.
-    max_share: float = 0.2
-    #: Size of the graph's vocabulary, and so of its matrix: the such terms most associated with either label.
-    max_terms: int = 2500
+    #: ... and at most in this share, if a caller sets one.
+    max_share: float = 1.0
     window: int = 8
     #: Labelled rows to learn from: the first by hash of doc_id, if there are more.
     max_labelled: int = 200_000
@@ -93,45 +90,84 @@ def _term_rows(seen: Counter, by: tuple[Counter, Counter]) -> pa.RecordBatch:
     return out
 
 
-def _count_pairs(docs: DataFrame, vocabulary: dict[bytes, int], p: Params) -> np.ndarray:
-    """[i, j] counts of graph terms within ``window`` graph terms of each other, over all documents."""
+def _count_pairs(docs: DataFrame, vocabulary: dict[bytes, int], p: Params) -> DataFrame:
+    """(block, part, codes, n): counts of graph terms within ``window`` words of each other, over all documents.
+
+    A block has the pairs of ``_ROWS`` terms with all others, as sorted codes i * v + j, packed.
+    """
     v = len(vocabulary)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    edges = np.arange(-(-v // _ROWS) + 1, dtype=np.int64) * _ROWS * v
+
+    def rows(code: np.ndarray, n: np.ndarray, part: int) -> pa.RecordBatch:
+        at = np.searchsorted(code, edges)
+        own = [(k, s, e) for k, (s, e) in enumerate(zip(at, at[1:])) if s < e]
+        return arrow(
+            _BLOCKS, block=[k for k, *_ in own], part=[part] * len(own), codes=[_packed(np.diff(code[s:e], prepend=0)) for _, s, e in own], n=[_packed(n[s:e]) for _, s, e in own]
+        )
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = held.value.get
-        total = np.zeros(v * v, np.int64)
+        get, part = held.value.get, TaskContext.get().partitionId() // 256
+        codes, counts, size = [], [], 0
         for b in batches:
-            for _, part in chunks(texts(b.column("_text"))):
+            for _, some in chunks(texts(b.column("_text"))):
                 ids: list[int] = []
-                for t in part:
+                for t in some:
                     ids += [i for i in map(get, terms(t, p)) if i is not None]
                     ids += [-1] * p.window
                 x = np.array(ids, np.int64)
+                near = []
                 for d in range(1, p.window + 1):
                     a, c = x[:-d], x[d:]
                     ok = (a >= 0) & (c >= 0)
-                    code, n = np.unique(np.minimum(a, c)[ok] * v + np.maximum(a, c)[ok], return_counts=True)
-                    total[code] += n
-        if total.any():
-            yield _blocks(total.reshape(v, v), TaskContext.get().partitionId() // 256)
+                    near.append(np.minimum(a, c)[ok] * v + np.maximum(a, c)[ok])
+                code, n = np.unique(np.concatenate(near), return_counts=True)
+                codes.append(code)
+                counts.append(n)
+                size += len(code)
+                if size > _PAIRS_HELD:
+                    code, n = _added(codes, counts)
+                    codes, counts, size = [code], [n], len(code)
+                    if size > _PAIRS_HELD * 3 // 4:
+                        yield rows(code, n, part)
+                        codes, counts, size = [], [], 0
+        if size:
+            yield rows(*_added(codes, counts), part)
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
-        total = sum(_unpacked(x) for x in t["n"].to_pylist())
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([0], pa.int32()), "n": pa.array([_packed(total)], pa.binary())})
+        code, n = _added([np.cumsum(_unpacked(x)) for x in t["codes"].to_pylist()], [_unpacked(x) for x in t["n"].to_pylist()])
+        return pa.table([[key[0].as_py()], [0], [_packed(np.diff(code, prepend=0))], [_packed(n)]], schema=_BLOCKS)
+
+    def both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                code, n = np.cumsum(_unpacked(r["codes"])), _unpacked(r["n"])
+                i, j = code // v, code % v
+                off = i != j
+                code, n = np.concatenate([code, j[off] * v + i[off]]), np.concatenate([n, n[off]])
+                order = np.argsort(code)
+                yield rows(code[order], n[order], 0)
 
-    # partial matrices are added in groups of 256 tasks, then all: no group grows with both
-    sums = docs.mapInArrow(tidy(fold), ddl(_BLOCKS)).groupBy("block", "part").applyInArrow(add, ddl(_BLOCKS)).groupBy("block").applyInArrow(add, ddl(_BLOCKS))
-    out = np.zeros((v, v), np.float32)
-    for r in sums.toLocalIterator():
-        at = r.block * _ROWS
-        own = _unpacked(bytes(r.n)).reshape(-1, v)
-        out[at : at + len(own)] = own
-    return out + np.triu(out, 1).T
+    # partial counts are added in groups of 256 tasks, a pair in one direction; then all: no group grows with both
+    some = docs.mapInArrow(tidy(fold), ddl(_BLOCKS)).groupBy("block", "part").applyInArrow(add, ddl(_BLOCKS))
+    return some.mapInArrow(tidy(both_ways), ddl(_BLOCKS)).groupBy("block").applyInArrow(add, ddl(_BLOCKS))
 
 
-_BLOCKS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("n", pa.binary())])
-_ROWS = 64
+def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, with the sums of their counts."""
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[first], np.add.reduceat(n, first) if len(n) else n
+
+
+_PAIRS_HELD = 8_000_000
+_BLOCKS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("codes", pa.binary()), ("n", pa.binary())])
+#: Edges of a block of terms: where each term's begin, other ends, weights.
+_GRAPH = pa.schema([("block", pa.int32()), ("starts", pa.binary()), ("ends", pa.binary()), ("weights", pa.binary())])
+_VECTORS = pa.schema([("block", pa.int32()), ("x", pa.binary())])
+_ROWS = 512
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -144,11 +180,6 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
 
 
-def _blocks(m: np.ndarray, part: int) -> pa.RecordBatch:
-    cuts = [m[s : s + _ROWS] for s in range(0, len(m), _ROWS)]
-    return arrow(_BLOCKS, block=list(range(len(cuts))), part=[part] * len(cuts), n=[_packed(c.ravel()) for c in cuts])
-
-
 @dataclass(frozen=True)
 class Lexicon:
     weights: dict[bytes, float]
@@ -156,25 +187,76 @@ class Lexicon:
     probability: np.ndarray
 
 
-def polarity(pairs: np.ndarray, toxic_seeds: np.ndarray, clean_seeds: np.ndarray, p: Params) -> np.ndarray:
-    """Log ratio of the visits of two random walks with restart over the PPMI graph."""
-    total, side = pairs.sum(), pairs.sum(1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ppmi = np.log(pairs * total / np.outer(side, side))
-    ppmi[~np.isfinite(ppmi) | (ppmi < 0)] = 0
-    ppmi *= pairs / (pairs + 5)  # little evidence, little weight
-    out_of = ppmi.sum(1, keepdims=True)
-    ppmi /= np.where(out_of > 0, out_of, 1)
-    alone = (out_of[:, 0] == 0).astype(np.float64)
+def _by_block(blocks: DataFrame, f: Callable[[dict], np.ndarray], v: int, k: int) -> np.ndarray:
+    """[term, k] values of all terms; ``f`` gives those of a block's terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield arrow(_VECTORS, block=[r["block"]], x=[np.ascontiguousarray(f(r), np.float64).tobytes()])
+
+    out = np.zeros((v, k))
+    for r in blocks.mapInArrow(tidy(run), ddl(_VECTORS)).collect():
+        own = np.frombuffer(bytes(r.x)).reshape(-1, k)
+        out[r.block * _ROWS : r.block * _ROWS + len(own)] = own
+    return out
+
 
-    def walk(seeds: np.ndarray) -> np.ndarray:
-        x = seeds
-        for _ in range(p.steps):
-            x = p.damping * (x @ ppmi + (x * alone).sum() * seeds) + (1 - p.damping) * seeds
-        return x
+def polarity(pairs: DataFrame, toxic_seeds: np.ndarray, clean_seeds: np.ndarray, p: Params) -> np.ndarray:
+    """Log ratio of the visits of two random walks with restart over the PPMI graph.
 
-    t, c = walk(toxic_seeds), walk(clean_seeds)
-    return np.log((t + 1e-9) / (c + 1e-9))
+    The graph lies in blocks of terms, each with all edges of its terms; the vectors alone are in the driver.
+    """
+    v = len(toxic_seeds)
+    sc = pairs.sparkSession.sparkContext
+    pairs = pairs.persist(StorageLevel.DISK_ONLY)
+
+    def sums(r: dict) -> np.ndarray:
+        own = np.cumsum(_unpacked(r["codes"])) // v - r["block"] * _ROWS
+        return np.bincount(own, _unpacked(r["n"]), min(_ROWS, v - r["block"] * _ROWS))
+
+    side = _by_block(pairs, sums, v, 1)[:, 0]
+    held = sc.broadcast(side)
+
+    def ppmi(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, total = held.value, held.value.sum()
+        for b in batches:
+            for r in b.to_pylist():
+                code, n = np.cumsum(_unpacked(r["codes"])), _unpacked(r["n"])
+                i, j = code // v, code % v
+                w = np.log(n * total / (side[i] * side[j])) * (n / (n + 5))  # little evidence, little weight
+                i, j, w = i[w > 0], j[w > 0], w[w > 0]
+                first = r["block"] * _ROWS
+                starts = np.searchsorted(i, np.arange(first, min(first + _ROWS, v) + 1))
+                yield arrow(_GRAPH, block=[r["block"]], starts=[starts.astype(np.int64).tobytes()], ends=[_packed(np.diff(j, prepend=0))], weights=[w.astype(np.float32).tobytes()])
+
+    graph = cut(pairs.mapInArrow(tidy(ppmi), ddl(_GRAPH)))
+    pairs.unpersist()
+
+    def through(x: np.ndarray) -> np.ndarray:
+        """The graph's matrix, which is symmetric, times the columns of ``x``."""
+        held, k = sc.broadcast(x), x.shape[1]
+
+        def product(r: dict) -> np.ndarray:
+            starts, ends, w = np.frombuffer(r["starts"], np.int64), np.cumsum(_unpacked(r["ends"])), np.frombuffer(r["weights"], np.float32)
+            out = np.zeros((len(starts) - 1, k))
+            some = np.flatnonzero(np.diff(starts))
+            if len(some):
+                for c in range(k):
+                    out[some, c] = np.add.reduceat(held.value[:, c][ends] * w, starts[some])
+            return out
+
+        got = _by_block(graph, product, v, k)
+        held.destroy()
+        return got
+
+    out_of = through(np.ones((v, 1)))
+    alone = out_of[:, 0] == 0
+    seeds = np.stack([toxic_seeds, clean_seeds], 1)
+    x = seeds
+    for _ in range(p.steps):
+        x = p.damping * (through(x / np.where(out_of > 0, out_of, 1)) + x[alone].sum(0) * seeds) + (1 - p.damping) * seeds
+    return np.log((x[:, 0] + 1e-9) / (x[:, 1] + 1e-9))
 
 
 def evidence(text: bytes, weights: dict[bytes, float], p: Params) -> float:
@@ -205,18 +287,17 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Lexicon:
     counted = cut(_count_terms(marked, p))
     all_ = counted.where(F.length("term") == 0).first()
     n, a_all, b_all = (all_.n, all_.toxic, all_.clean) if all_ else (0, 0, 0)
-    low, high = max(p.min_documents, p.min_share * n), p.max_share * n
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
     odds = F.log(a / (a_all + 1 - a)) - F.log(b / (b_all + 1 - b))
-    usable = counted.where((F.length("term") > 0) & (F.col("n") >= low) & (F.col("n") <= high))
+    usable = counted.where((F.length("term") > 0) & (F.col("n") >= p.min_documents) & (F.col("n") <= p.max_share * n))
     rated = usable.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b))
-    nodes = rated.orderBy(F.desc(F.abs("z")), "term").limit(p.max_terms).collect()
     weights: dict[bytes, float] = {}
-    if nodes and a_all and b_all:
-        a, b, odds, z = (np.array([r[c] for r in nodes], float) for c in ("toxic", "clean", "odds", "z"))
+    if a_all and b_all:
+        nodes = rated.select("term", "toxic", "clean", "odds", "z").toPandas().sort_values("term", ignore_index=True)
+        a, b, odds, z = (nodes[c].to_numpy(np.float64) for c in ("toxic", "clean", "odds", "z"))
         seeds = np.where((z >= p.seed_z) & (odds >= p.seed_log_odds), a, 0.0)
         if seeds.any():
-            vocabulary = {bytes(r.term): i for i, r in enumerate(nodes)}
+            vocabulary = {bytes(w): i for i, w in enumerate(nodes["term"])}
             pairs = _count_pairs(marked.select("_text"), vocabulary, p)
             score = polarity(pairs, seeds / seeds.sum(), (b + 0.5) / (b + 0.5).sum(), p)
             # a walk alone is no evidence against what labelled rows say of a term

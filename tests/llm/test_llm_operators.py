@@ -1,6 +1,7 @@
 """Corpus operators on small tables: brute force, round trips and edge cases."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -247,6 +248,43 @@ def test_toxicity(spark, odd, empty):
     assert none.weights == {} and toxicity.score(empty, none, p).count() == 0 and toxicity.fit(odd, y.where("false"), p).weights == {}
 
 
+def test_every_term_can_carry_toxicity(spark):
+    """Whatever share of rows copies make up and however many labelled terms there are; also terms no labelled row holds."""
+    rng = np.random.default_rng(12)
+    many = ["".join(x) for x in itertools.product("abcdefghij", repeat=4)][:3000]
+    docs = [(i, " ".join(many[(i * 25 + k) % 3000] for k in range(50))) for i in range(600)]
+    docs += [(1000 + i, "vileword " + " ".join(rng.choice(many, 3)) + " nastyword") for i in range(400)]  # over a third of all rows
+    docs += [(2000 + i, "vileword unseen nastyword " + many[i]) for i in range(40)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lex = toxicity.fit(d, d.where("doc_id < 2000").select("doc_id", F.expr("int(doc_id >= 1000)").alias("toxic")))
+    assert {b"vilewo", b"nastyw", b"unseen"} <= set(lex.weights)
+
+
+def test_walks_over_blocks_equal_a_dense_matrix(spark):
+    rng = np.random.default_rng(13)
+    words = ["".join(x) for x in itertools.product("abcdefghi", repeat=3)][:700]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 60)))) for _ in range(300)]
+    v, p = {w.encode(): i for i, w in enumerate(words)}, toxicity.Params(steps=6)
+    dense = np.zeros((700, 700))
+    for t in texts:
+        ids = [v[w.encode()] for w in t.split()]
+        for a, i in enumerate(ids):
+            for j in ids[a + 1 : a + 1 + p.window]:
+                dense[i, j] += 1
+                dense[j, i] += i != j
+    side = dense.sum(1)
+    with np.errstate(divide="ignore"):
+        ppmi = np.maximum(np.log(dense * dense.sum() / np.outer(side, side)), 0) * dense / (dense + 5)
+    ppmi /= ppmi.sum(1, keepdims=True)
+    seeds = rng.random((2, 700))
+    seeds /= seeds.sum(1, keepdims=True)
+    x = seeds
+    for _ in range(p.steps):
+        x = p.damping * x @ ppmi + (1 - p.damping) * seeds
+    pairs = toxicity._count_pairs(spark.createDataFrame([(t.encode(),) for t in texts], "_text binary"), v, p)
+    assert toxicity.polarity(pairs, *seeds, p) == pytest.approx(np.log((x[0] + 1e-9) / (x[1] + 1e-9)), abs=1e-4)
+
+
 def test_packed_counts_round_trip():
     x = np.array([0, 1, 255, 256, 1 << 40])
     assert toxicity._unpacked(toxicity._packed(x)).tolist() == x.tolist()
