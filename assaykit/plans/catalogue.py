@@ -517,14 +517,14 @@ def materials_normalized(spark, d):
 
 @query("material_strings_parsed")
 def material_strings_parsed(spark, d):
-    m = materials(spark, d).where("p_partkey % 8 < 6").select("p_partkey", F.concat(F.lit("Nb-doped "), _f(), F.lit(" powder")).alias("s"))
+    m = materials(spark, d).select("p_partkey", F.concat(F.lit("Nb-doped "), _f(), F.lit(" powder")).alias("s"))
     x = cp.parse_materials(m, "s")
     return x.select("p_partkey", "material.material_formula", "material.method", F.array_join("material.additives", ",").alias("additives"), "material.is_acronym")
 
 
 @query("compounds_split")
 def compounds_split(spark, d):
-    m = materials(spark, d).where("p_partkey % 8 IN (0, 1, 3)").select("p_partkey", F.concat(F.lit("(1-x)"), _f(), F.lit("-xBaTiO3")).alias("s"))
+    m = materials(spark, d).select("p_partkey", F.concat(F.lit("(1-x)"), _f(), F.lit("-xBaTiO3")).alias("s"))
     x = m.select("p_partkey", F.posexplode(cp.compounds_column(F.col("s"))).alias("place", "c"))
     return x.select("p_partkey", "place", "c.compound", "c.fraction")
 

@@ -48,3 +48,9 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert catalogue.flagship(spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", ["material_strings_parsed", "compounds_split"])
+def test_every_part_is_read(spark, name):
+    part = spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey")
+    assert part.exceptAll(catalogue.QUERIES[name](spark, DATA).select("p_partkey").distinct()).count() == 0
