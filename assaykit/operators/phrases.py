@@ -25,6 +25,28 @@ def learn_phrases(sentences: DataFrame, tokens: str = "tokens", min_count: int =
     return F.lit([f"{r.a}_{r.b}" for r in best.select("a", "b").collect()] or [""])
 
 
+def merge_all(sentences: DataFrame, found: DataFrame, tokens: str = "tokens", reps: int = 2) -> DataFrame:
+    """``sentences`` with adjacent tokens joined as by ``functions.text.merge_phrases``, for a table ``found`` (a, b) of any size.
+
+    Every row is given the phrases that its runs of tokens spell.  Rows whose hashes are
+    equal share them, which adds phrases to choose from and changes no result.
+    """
+    found = found.select("a", "b").persist()
+    names = found.select(F.concat_ws("_", "a", "b").alias("_phrase")).distinct()
+    # a longer run than a pair is a phrase only if a word of the phrase has the sign that joins
+    longest = 2 if found.where(F.col("a").contains("_") | F.col("b").contains("_")).isEmpty() else 2**reps
+
+    def runs(n: int) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.concat_ws("_", F.slice(tokens, i, n)))
+        return F.when(F.size(tokens) >= n, own).otherwise(F.array().cast("array<string>"))
+
+    spelled = F.array_distinct(F.concat(*[runs(n) for n in range(2, longest + 1)]))
+    keyed = sentences.withColumn("_key", F.xxhash64(tokens))
+    own = keyed.select("_key", F.explode(spelled).alias("_phrase")).join(names, "_phrase", "left_semi").groupBy("_key").agg(F.collect_set("_phrase").alias("_own"))
+    joined = F.when(F.col("_own").isNull(), F.col(tokens)).otherwise(tx.merge_phrases(F.col(tokens), F.col("_own"), reps))
+    return keyed.join(own, "_key", "left").withColumn(tokens, joined).drop("_key", "_own")
+
+
 def prepare(phrase: Column, phrases: Column | None = None) -> Column:
     """A search phrase as tokens: tokenised, processed and merged."""
     tokens = tx.process(tx.tokenize(phrase, keep_sentences=False))["tokens"]

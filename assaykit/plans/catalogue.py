@@ -194,10 +194,10 @@ def phrase_candidates(spark, d):
 
 @query("merged_phrases")
 def merged_phrases(spark, d):
-    """Documents with the best phrases joined twice over."""
+    """Documents with all phrases over the threshold joined twice over."""
     s = _docs(spark, d).where("text IS NOT NULL").select("doc_id", F.explode(tx.tokenize(F.col("text"), split=False)).alias("tokens"))
-    learned = phrases.learn_phrases(s, threshold=5.0, max_phrases=200)
-    merged = s.select("doc_id", tx.merge_phrases(F.col("tokens"), learned).alias("tokens"))
+    learned = phrases.phrase_scores(s).where("score > 5.0").select("a", "b")
+    merged = phrases.merge_all(s, learned)
     n = F.size(F.filter("tokens", lambda t: t.contains("_")))
     return merged.groupBy("doc_id").agg(F.sum(F.size("tokens")).alias("n_tokens"), F.sum(n).alias("n_phrases"))
 

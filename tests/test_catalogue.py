@@ -1,12 +1,17 @@
 """Every catalogue query against its SQL form in an independent engine."""
 
+import itertools
 import os
 import pathlib
+import random
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from assaykit.functions import text as tx
+from assaykit.operators import phrases
 from assaykit.plans import catalogue
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -54,3 +59,19 @@ def test_entry(spark):
 def test_every_part_is_read(spark, name):
     part = spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey")
     assert part.exceptAll(catalogue.QUERIES[name](spark, DATA).select("p_partkey").distinct()).count() == 0
+
+
+def test_all_phrases_are_merged(spark, tmp_path):
+    names = ["".join(x) for x in itertools.product("bcdfghjk", repeat=3)][:300]
+    docs = [(i, f"left{n} right{n} " * 12) for i, n in enumerate(names)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [(r.doc_id, r.n_tokens, r.n_phrases) for r in catalogue.merged_phrases(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(i, 12, 12) for i in range(300)]
+
+
+def test_merge_by_table_equals_merge_by_array(spark):
+    rng = random.Random(1)
+    s = spark.createDataFrame([(i, [rng.choice("abcd") for _ in range(rng.randrange(9))]) for i in range(200)] + [(200, ["a_b", "c"])], "id long, tokens array<string>")
+    found = [("a", "b"), ("b", "c"), ("a_b", "c"), ("d", "d")]
+    got = phrases.merge_all(s, spark.createDataFrame(found, "a string, b string")).collect()
+    want = s.select("id", tx.merge_phrases(F.col("tokens"), F.lit(["_".join(x) for x in found]))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
