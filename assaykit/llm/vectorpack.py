@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, p: Params = Params()) -> DataFrame:
         for b in batches:
             row, out = [], []
             i = -1
-            for _, part in chunks(texts(b.column("_text"))):
+            for _, part in chunks(texts(b.column("_text")), 1 << 22):
                 for ids in bpe.encode(part):
                     ids += end
                     i += 1
