@@ -238,8 +238,10 @@ class WordBpe:
 class ByteBpe:
     """Lossless byte-level BPE: the bytes of the ids' tokens, joined, are the text."""
 
-    #: The engine's pattern works by backtracking; longer texts are cut before a blank within this many characters.
-    LONGEST = 100_000
+    #: The engine's pattern backtracks through white space; longer runs are taken out of the text and encoded alone.
+    LONGEST = 10_000
+    _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    _RUN = re.compile(f"[{_SPACE}]{{{LONGEST},}}")
 
     def __init__(self, file: str) -> None:
         import public_tokenizers
@@ -253,23 +255,20 @@ class ByteBpe:
             self.token_bytes[i] = b
         self.sizes = np.array([len(b) for b in self.token_bytes], np.int64)
 
-    def pieces(self, text: str) -> list[str]:
-        """``text`` cut, if it is long, before blanks that follow a word: places where no token is split."""
-        out = []
-        while len(text) > self.LONGEST:
-            at = self.LONGEST
-            while at > 1 and not (text[at] == " " and not text[at - 1].isspace() and not text[at + 1 : at + 2].isspace()):
-                at -= 1
-            at = at if at > 1 else self.LONGEST
-            out.append(text[:at])
-            text = text[at:]
-        return [*out, text]
-
     def encode(self, text: bytes) -> np.ndarray:
+        """Ids of the whole text.
+
+        A run of white space is one part of the pattern up to its last character, or to the
+        text's end; cutting between parts leaves all other parts as they are.
+        """
         s = text.decode("utf-8", "replace")
-        if len(s) <= self.LONGEST:
-            return self.encoding.encode_to_numpy(s, disallowed_special=())
-        return np.concatenate([self.encoding.encode_to_numpy(p, disallowed_special=()) for p in self.pieces(s)])
+        out, at = [], 0
+        for run in self._RUN.finditer(s) if len(s) > self.LONGEST else ():
+            end = run.end() - (run.end() < len(s))
+            out += [self.encoding.encode_to_numpy(s[at : run.start()], disallowed_special=()), np.array(self.encoding._encode_single_piece(s[run.start() : end]), np.uint32)]
+            at = end
+        rest = self.encoding.encode_to_numpy(s[at:], disallowed_special=())
+        return np.concatenate([*out, rest]) if out else rest
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(self.token_bytes[i] for i in ids.tolist())
