@@ -35,7 +35,7 @@ class Params:
     max_documents: int | None = None
     max_attention: int | None = None
     #: Weights of (tokens, documents, attention) in the choice of a bin.
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
     end_id: int = 0
     #: Mean number of items packed by one task.

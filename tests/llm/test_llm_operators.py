@@ -297,7 +297,6 @@ def test_word_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     bpe = tokens.WordBpe(tokens.path("word_bpe_49k.json"))
     rng = np.random.default_rng(7)
     texts = ["", " ", "It's 5 o'clock, DON'T!", "naïve Café É İstanbul ΣΑΣ", "x y z\x1cq", "<|endoftext|> hi", "a1b2 ###$$$", "日本語 текст"]
@@ -336,6 +335,41 @@ def test_packing(spark, odd, empty, options):
     assert vectorpack.best_fit_packing(empty, p).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_vector_best_fit_equals_brute_force(rule):
+    """Every item goes where the criterion over all open bins says, whatever capacity binds."""
+    rng = np.random.default_rng(16)
+    for docs, attention in ((None, None), (3, None), (None, 2048), (4, 1500)):
+        p = vectorpack.Params(max_tokens=32, max_documents=docs, max_attention=attention, rule=rule)
+        lengths = rng.integers(1, 33, 300)
+        caps = np.array([32, docs or 32, attention or 1024], float)
+        left, want = [], np.zeros(300, int)
+        for i in sorted(range(300), key=lambda i: (-lengths[i], i)):
+            item = np.array([lengths[i], 1, lengths[i] ** 2], float)
+            fits = [b for b, r in enumerate(left) if (r >= item).all()]
+            if not fits:
+                left.append(caps.copy())
+                b = len(left) - 1
+            elif rule == "norm":
+                b = min(fits, key=lambda b: round(float((np.array(p.weights) * ((left[b] - item) / caps) ** 2).sum()), 12))
+            else:
+                b = max(fits, key=lambda b: round(float((np.array(p.weights) * item * left[b] / caps**2).sum()), 12))
+            left[b] = left[b] - item
+            want[i] = b
+        got, offsets = vectorpack.vector_best_fit(lengths, p)
+        assert got.max() == want.max()
+        for b in range(got.max() + 1):
+            own = np.flatnonzero(got == b)
+            assert lengths[own].sum() <= 32 and len(own) <= caps[1] and (lengths[own] ** 2).sum() <= caps[2]
+            assert sorted(offsets[own]) == [0, *np.cumsum(lengths[own][np.argsort(offsets[own])])[:-1]]
+
+
+def test_sequences_are_few(spark):
+    """Documents of the tables fill hardly more sequences than their tokens need."""
+    rows = vectorpack.op9_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
+    assert len({r.sequence_id for r in rows}) <= 1.01 * -(-sum(r.length for r in rows) // 2048) + 1
+
+
 def test_best_fit_is_tight():
     p = vectorpack.Params(max_tokens=10)
     bins, _ = vectorpack.vector_best_fit(np.array([6, 5, 5, 4]), p)
@@ -380,6 +414,25 @@ def test_binary_round_trip(spark, odd, empty, tmp_path):
     assert binary.packed_sequences(empty, p).count() == 0
 
 
+def test_words_are_remembered_over_generations():
+    bpe, fresh = tokens.WordBpe(tokens.path("word_bpe_49k.json")), tokens.WordBpe(tokens.path("word_bpe_49k.json"))
+    bpe.REMEMBERED = 50
+    rng = np.random.default_rng(14)
+    for _ in range(20):
+        some = [" ".join("".join(rng.choice(list("abcdé."), 4)) for _ in range(20)).encode() + b" " for _ in range(3)]
+        assert bpe.encode(some) == fresh.encode(some)
+
+
+def test_long_texts_are_encoded_whole():
+    """Texts over 100,000 characters without any blank, or with long runs of white space, have the ids of one encoding."""
+    bpe = tokens.byte_bpe(tokens.path("byte_bpe_50k.tiktoken"))
+    rng = np.random.default_rng(15)
+    for t in ("".join(rng.choice(list("abcdefghij"), 120_000)), "".join(rng.choice(list("日本語"), 60_000)), "".join(rng.choice(list("ab #9\n é"), 120_000)), "a b  " + " " * 12_000 + "c" + "\n" * 11_000 + "9" + " \t" * 8_000 + "#" + " " * 10_300):
+        assert bpe.encode(t.encode()).tolist() == bpe.encoding.encode_ordinary(t)
+    huge = "a" + " " * 2_000_000
+    assert bpe.decode(bpe.encode(huge.encode())) == huge.encode()
+
+
 def test_long_texts_are_cut_between_tokens():
     bpe = tokens.byte_bpe(tokens.path("byte_bpe_50k.tiktoken"))
     text = "word and more. " * 9000
