@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +84,29 @@ def texts(column: pa.Array, rows: int = 256) -> Iterator[bytes]:
         yield from column.slice(s, rows).to_pylist()
 
 
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, number of each word among them, offsets of the texts' words).
+
+    Words are runs without ASCII white space; A-Z are lower-cased.  Splitting and numbering
+    are single calls over all texts; only distinct words become Python objects.
+    """
+    words, index, offsets = split_column(pa.array([t.lower() for t in texts], pa.large_binary()))
+    return words.to_numpy(zero_copy_only=False).tolist(), index, offsets
+
+
+def split_column(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``split_words`` of a large binary column as it is, the distinct words as an Arrow array."""
+    split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(column), column.buffers()))
+    coded = split.values.dictionary_encode()
+    index, offsets = coded.indices.to_numpy().astype(np.int64), split.offsets.to_numpy().astype(np.int64)
+    none = pc.index(coded.dictionary, "").as_py()  # beside white space at a text's ends
+    if none >= 0:
+        real = index != none
+        offsets = offsets_of(real)[offsets]
+        index = index[real]
+    return coded.dictionary.cast(pa.large_binary()), index, offsets
+
+
 def _trim() -> None:
     pa.default_memory_pool().release_unused()
     try:

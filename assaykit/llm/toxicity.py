@@ -10,18 +10,17 @@ labelled rows turns evidence into a probability.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, table, texts, tidy, utf8
+from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, offsets_of, split_column, table, texts, tidy, utf8
 
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -42,6 +41,8 @@ class Params:
     seed_log_odds: float = 1.5
     damping: float = 0.5
     steps: int = 40
+    #: Share of a term's visits below which its change counts as none.
+    tolerance: float = 1e-5
     #: Evidence per bin and number of bins of the calibration.
     bin_width: float = 0.25
     bins: int = 400
@@ -54,7 +55,14 @@ def terms(text: bytes, p: Params) -> list[bytes]:
 
 
 _TERMS = pa.schema([("term", pa.binary()), ("n", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
-_PAIRS = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64())])
+_BINS = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("n", pa.int64())])
+_TERMS_HELD = 1_000_000
+
+
+def _split(texts: list[bytes], p: Params) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(stems of the distinct words, number of each word among them, offsets of the texts' words); stems may repeat."""
+    words, index, offsets = split_column(pa.array([t.translate(FOLD) for t in texts], pa.large_binary()))
+    return [w[: p.stem] for w in words.to_numpy(zero_copy_only=False).tolist()], index, offsets
 
 
 def labelled_sample(labels: DataFrame, p: Params) -> DataFrame:
@@ -67,117 +75,149 @@ def _count_terms(docs: DataFrame, p: Params) -> DataFrame:
     """(term, n, toxic, clean): documents with the term, and labelled ones; of the empty term: all documents."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, by = Counter(), (Counter(), Counter())
+        held, size, whole = [], 0, np.zeros(3, np.int64)
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("term").aggregate([(c, "sum") for c in _TERMS.names[1:]]).rename_columns(_TERMS.names)
+
         for b in batches:
-            for t, label in zip(texts(b.column("_text")), b.column("toxic").to_pylist()):
-                own = {b"", *terms(t, p)}
-                seen.update(own)
-                if label is not None:
-                    by[int(label > 0)].update(own)
-            if len(seen) > 1_000_000:
-                yield _term_rows(seen, by)
-        yield _term_rows(seen, by)
-
-    got = docs.mapInArrow(tidy(fold), ddl(_TERMS))
+            labels = np.array([-1 if x is None else int(x > 0) for x in b.column("toxic").to_pylist()], np.int64)
+            for first, part in chunks(texts(b.column("_text"))):
+                stems, index, offsets = _split(part, p)
+                own = labels[first : first + len(part)]
+                whole += [len(part), (own == 1).sum(), (own == 0).sum()]
+                names: dict[bytes, int] = {}
+                at = np.array([names.setdefault(w, len(names)) for w in stems], np.int64)
+                k = len(names)
+                if not k:
+                    continue
+                code = np.unique(np.repeat(np.arange(len(part)), np.diff(offsets)) * k + at[index])
+                owner, term = np.divmod(code, k)
+                n = [np.bincount(term[mask], minlength=k) for mask in (slice(None), own[owner] == 1, own[owner] == 0)]
+                held.append(pa.table([pa.array(names, pa.binary()), *map(pa.array, n)], schema=_TERMS))
+                size += k
+                if size > _TERMS_HELD:
+                    held = [summed()]
+                    size = len(held[0])
+                    if 2 * size > _TERMS_HELD:
+                        yield from held[0].cast(_TERMS).to_batches()
+                        held, size = [], 0
+        if held:
+            yield from summed().cast(_TERMS).to_batches()
+        yield arrow(_TERMS, term=[b""], n=[whole[0]], toxic=[whole[1]], clean=[whole[2]])
+
+    got = docs.mapInArrow(tidy(fold), ddl(_TERMS)).where("n > 0")
     return got.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
 
 
-def _term_rows(seen: Counter, by: tuple[Counter, Counter]) -> pa.RecordBatch:
-    names = list(seen)
-    out = arrow(_TERMS, term=names, n=[seen[w] for w in names], toxic=[by[1][w] for w in names], clean=[by[0][w] for w in names])
-    for c in (seen, *by):
-        c.clear()
-    return out
+# pairs -----------------------------------------------------------------------------------
+
+#: Pairs lie in square blocks of the terms' matrix, in its upper triangle: ``_SIDE`` by ``_SIDE`` terms.
+_BITS = 11
+_SIDE = 1 << _BITS
+#: Pairs that a task sorts at once.
+_PAIRS_HELD = 12_000_000
+#: Tasks whose counts are added in one group; groups are added in turn.
+_FAN_IN = 32
+#: Sorted places in the block, as differences, and their counts; packed.
+_BLOCKS = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("codes", pa.binary()), ("n", pa.binary())])
+_VECTORS = pa.schema([("segment", pa.int64()), ("x", pa.binary())])
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold them all, compressed; planes of equal significance lie together."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(x) or int(x.max()) < 1 << 8 * w)
+    planes = np.ascontiguousarray(np.ascontiguousarray(x, f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + len(x).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    width, n = b[0], int.from_bytes(b[1:9], "little")
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(b[9:], decompressed_size=n * width, codec="zstd"), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}")[:, 0].astype(np.int64)
 
 
 def _count_pairs(docs: DataFrame, vocabulary: dict[bytes, int], p: Params) -> DataFrame:
     """(block, part, codes, n): counts of graph terms within ``window`` words of each other, over all documents.
 
-    A block has the pairs of ``_ROWS`` terms with all others, as sorted codes i * v + j, packed.
+    One row per block that has pairs.  Tasks sort their pairs and send each block's once,
+    packed; counts are added as dense blocks, by streams of rows, in groups of ``_FAN_IN`` tasks,
+    then of as many groups, until one is left: no group grows with the number of tasks.
     """
-    v = len(vocabulary)
+    across = -(-len(vocabulary) // _SIDE)
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    edges = np.arange(-(-v // _ROWS) + 1, dtype=np.int64) * _ROWS * v
-
-    def rows(code: np.ndarray, n: np.ndarray, part: int) -> pa.RecordBatch:
-        at = np.searchsorted(code, edges)
-        own = [(k, s, e) for k, (s, e) in enumerate(zip(at, at[1:])) if s < e]
-        return arrow(
-            _BLOCKS, block=[k for k, *_ in own], part=[part] * len(own), codes=[_packed(np.diff(code[s:e], prepend=0)) for _, s, e in own], n=[_packed(n[s:e]) for _, s, e in own]
-        )
+    parts = docs.rdd.getNumPartitions()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, part = held.value.get, TaskContext.get().partitionId() // 256
-        codes, counts, size = [], [], 0
+        get, part = held.value.get, TaskContext.get().partitionId() // _FAN_IN
+        buffer, used = np.empty(_PAIRS_HELD, np.int64), 0
+        ids = np.arange(len(held.value) + 1)
+        # the place of a pair: of its lesser term, plus of its greater
+        lesser, greater = (ids >> _BITS) * across << 2 * _BITS | (ids & _SIDE - 1) << _BITS, ids >> _BITS << 2 * _BITS | ids & _SIDE - 1
+
+        def rows() -> pa.RecordBatch:
+            own = buffer[:used]
+            own.sort()
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            code, n = own[first], np.diff(first, append=used)
+            block = code >> 2 * _BITS
+            cut = np.flatnonzero(np.diff(block, prepend=-1))
+            runs = list(zip(cut.tolist(), [*cut[1:].tolist(), len(code)]))
+            code &= _SIDE * _SIDE - 1
+            return arrow(
+                _BLOCKS, block=block[cut], part=[part] * len(runs), codes=[_packed(np.diff(code[s:e], prepend=0)) for s, e in runs], n=[_packed(n[s:e]) for s, e in runs]
+            )
+
         for b in batches:
             for _, some in chunks(texts(b.column("_text"))):
-                ids: list[int] = []
-                for t in some:
-                    ids += [i for i in map(get, terms(t, p)) if i is not None]
-                    ids += [-1] * p.window
-                x = np.array(ids, np.int64)
-                near = []
+                stems, index, offsets = _split(some, p)
+                at = np.array([get(w, -1) for w in stems], np.int64)[index] if stems else np.zeros(0, np.int64)
+                known = at >= 0
+                ends = offsets_of(known)[offsets]
+                x = np.full(ends[-1] + p.window * len(some), -1, np.int64)
+                x[np.arange(ends[-1]) + p.window * np.repeat(np.arange(len(some)), np.diff(ends))] = at[known]
+                first, second = lesser[x], greater[x]
                 for d in range(1, p.window + 1):
                     a, c = x[:-d], x[d:]
-                    ok = (a >= 0) & (c >= 0)
-                    near.append(np.minimum(a, c)[ok] * v + np.maximum(a, c)[ok])
-                code, n = np.unique(np.concatenate(near), return_counts=True)
-                codes.append(code)
-                counts.append(n)
-                size += len(code)
-                if size > _PAIRS_HELD:
-                    code, n = _added(codes, counts)
-                    codes, counts, size = [code], [n], len(code)
-                    if size > _PAIRS_HELD * 3 // 4:
-                        yield rows(code, n, part)
-                        codes, counts, size = [], [], 0
-        if size:
-            yield rows(*_added(codes, counts), part)
-
-    def add(key: tuple, t: pa.Table) -> pa.Table:
-        code, n = _added([np.cumsum(_unpacked(x)) for x in t["codes"].to_pylist()], [_unpacked(x) for x in t["n"].to_pylist()])
-        return pa.table([[key[0].as_py()], [0], [_packed(np.diff(code, prepend=0))], [_packed(n)]], schema=_BLOCKS)
+                    ok = np.flatnonzero((a >= 0) & (c >= 0))
+                    a, c = a[ok], c[ok]
+                    code = np.where(a <= c, first[ok] + second[ok + d], first[ok + d] + second[ok])
+                    done = 0
+                    while done < len(code):
+                        k = min(len(code) - done, _PAIRS_HELD - used)
+                        buffer[used : used + k] = code[done : done + k]
+                        used, done = used + k, done + k
+                        if used == _PAIRS_HELD:
+                            yield rows()
+                            used = 0
+        if used:
+            yield rows()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, key = np.zeros(_SIDE * _SIDE, np.int64), None
+
+        def row() -> pa.RecordBatch:
+            code = np.flatnonzero(total)
+            out = arrow(_BLOCKS, block=[key[0]], part=[key[1] // _FAN_IN], codes=[_packed(np.diff(code, prepend=0))], n=[_packed(total[code])])
+            total[code] = 0
+            return out
 
-    def both_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                code, n = np.cumsum(_unpacked(r["codes"])), _unpacked(r["n"])
-                i, j = code // v, code % v
-                off = i != j
-                code, n = np.concatenate([code, j[off] * v + i[off]]), np.concatenate([n, n[off]])
-                order = np.argsort(code)
-                yield rows(code[order], n[order], 0)
-
-    # partial counts are added in groups of 256 tasks, a pair in one direction; then all: no group grows with both
-    some = docs.mapInArrow(tidy(fold), ddl(_BLOCKS)).groupBy("block", "part").applyInArrow(add, ddl(_BLOCKS))
-    return some.mapInArrow(tidy(both_ways), ddl(_BLOCKS)).groupBy("block").applyInArrow(add, ddl(_BLOCKS))
-
-
-def _added(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order, with the sums of their counts."""
-    code, n = np.concatenate(codes), np.concatenate(counts)
-    order = np.argsort(code, kind="stable")
-    code, n = code[order], n[order]
-    first = np.flatnonzero(np.diff(code, prepend=-1))
-    return code[first], np.add.reduceat(n, first) if len(n) else n
-
+                if key is not None and key != (r["block"], r["part"]):
+                    yield row()
+                key = r["block"], r["part"]
+                total[np.cumsum(_unpacked(r["codes"]))] += _unpacked(r["n"])
+        if key is not None:
+            yield row()
 
-_PAIRS_HELD = 8_000_000
-_BLOCKS = pa.schema([("block", pa.int32()), ("part", pa.int32()), ("codes", pa.binary()), ("n", pa.binary())])
-#: Edges of a block of terms: where each term's begin, other ends, weights.
-_GRAPH = pa.schema([("block", pa.int32()), ("starts", pa.binary()), ("ends", pa.binary()), ("weights", pa.binary())])
-_VECTORS = pa.schema([("block", pa.int32()), ("x", pa.binary())])
-_ROWS = 512
-
-
-def _packed(x: np.ndarray) -> bytes:
-    """Counts as compressed little-endian bytes; planes of equal significance lie together."""
-    planes = np.ascontiguousarray(x, "<i8").view(np.uint8).reshape(-1, 8).T
-    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
-
-
-def _unpacked(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
+    got = docs.mapInArrow(tidy(fold), ddl(_BLOCKS))
+    while True:
+        got = got.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(tidy(add), ddl(_BLOCKS))
+        if (parts := -(-parts // _FAN_IN)) <= 1:
+            return got
 
 
 @dataclass(frozen=True)
@@ -187,81 +227,92 @@ class Lexicon:
     probability: np.ndarray
 
 
-def _by_block(blocks: DataFrame, f: Callable[[dict], np.ndarray], v: int, k: int) -> np.ndarray:
-    """[term, k] values of all terms; ``f`` gives those of a block's terms."""
+def _by_block(blocks: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[np.ndarray]], v: int, k: int) -> np.ndarray:
+    """[term, k] sums over all pairs, both ways.
+
+    ``f`` gets one term, the other and the count of pairs, and the place of the one in its segment, and
+    gives the k sums of the segment's terms.  Tasks add their own sums, then segments are added.
+    """
+    across = -(-v // _SIDE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[int, np.ndarray] = {}
         for b in batches:
             for r in b.to_pylist():
-                yield arrow(_VECTORS, block=[r["block"]], x=[np.ascontiguousarray(f(r), np.float64).tobytes()])
+                code, n = np.cumsum(_unpacked(r["codes"])), _unpacked(r["n"])
+                bi, bj = divmod(r["block"], across)
+                i, j = code >> _BITS, code & _SIDE - 1
+                for one, other, at, there in ((bi, bj, i, j), (bj, bi, j, i)):
+                    if one == other and at is j:  # a term beside itself is no second pair
+                        off = i != j
+                        at, there, n = at[off], there[off], n[off]
+                    own = out.setdefault(one, np.zeros((k, _SIDE)))
+                    for row, x in zip(own, f(at + one * _SIDE, there + other * _SIDE, n, at)):
+                        row += x
+        yield arrow(_VECTORS, segment=list(out), x=[x.astype(np.float32).tobytes() for x in out.values()])
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in t["x"].to_pylist())
+        return pa.table([[key[0].as_py()], [total.tobytes()]], schema=_VECTORS)
 
-    out = np.zeros((v, k))
-    for r in blocks.mapInArrow(tidy(run), ddl(_VECTORS)).collect():
-        own = np.frombuffer(bytes(r.x)).reshape(-1, k)
-        out[r.block * _ROWS : r.block * _ROWS + len(own)] = own
-    return out
+    out = np.zeros((k, across * _SIDE))
+    for r in blocks.mapInArrow(tidy(run), ddl(_VECTORS)).groupBy("segment").applyInArrow(add, ddl(_VECTORS)).collect():
+        out[:, r.segment * _SIDE : (r.segment + 1) * _SIDE] = np.frombuffer(bytes(r.x)).reshape(k, _SIDE)
+    return out[:, :v].T
 
 
 def polarity(pairs: DataFrame, toxic_seeds: np.ndarray, clean_seeds: np.ndarray, p: Params) -> np.ndarray:
     """Log ratio of the visits of two random walks with restart over the PPMI graph.
 
-    The graph lies in blocks of terms, each with all edges of its terms; the vectors alone are in the driver.
+    The graph stays in its blocks of counts; a pair's weight is computed when a step needs
+    it.  The vectors alone are in the driver.  The walks end after ``steps``, or once a step
+    changes no term's visits by more than ``tolerance`` of them.
     """
     v = len(toxic_seeds)
     sc = pairs.sparkSession.sparkContext
-    pairs = pairs.persist(StorageLevel.DISK_ONLY)
-
-    def sums(r: dict) -> np.ndarray:
-        own = np.cumsum(_unpacked(r["codes"])) // v - r["block"] * _ROWS
-        return np.bincount(own, _unpacked(r["n"]), min(_ROWS, v - r["block"] * _ROWS))
-
-    side = _by_block(pairs, sums, v, 1)[:, 0]
-    held = sc.broadcast(side)
-
-    def ppmi(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side, total = held.value, held.value.sum()
-        for b in batches:
-            for r in b.to_pylist():
-                code, n = np.cumsum(_unpacked(r["codes"])), _unpacked(r["n"])
-                i, j = code // v, code % v
-                w = np.log(n * total / (side[i] * side[j])) * (n / (n + 5))  # little evidence, little weight
-                i, j, w = i[w > 0], j[w > 0], w[w > 0]
-                first = r["block"] * _ROWS
-                starts = np.searchsorted(i, np.arange(first, min(first + _ROWS, v) + 1))
-                yield arrow(_GRAPH, block=[r["block"]], starts=[starts.astype(np.int64).tobytes()], ends=[_packed(np.diff(j, prepend=0))], weights=[w.astype(np.float32).tobytes()])
-
-    graph = cut(pairs.mapInArrow(tidy(ppmi), ddl(_GRAPH)))
-    pairs.unpersist()
+    pairs = cut(pairs)
+    side = _by_block(pairs, lambda one, other, n, at: [np.bincount(at, n, _SIDE)], v, 1)[:, 0]
+    logs = sc.broadcast((np.log(np.maximum(side, 1)), float(np.log(max(side.sum(), 1)))))
 
     def through(x: np.ndarray) -> np.ndarray:
         """The graph's matrix, which is symmetric, times the columns of ``x``."""
-        held, k = sc.broadcast(x), x.shape[1]
-
-        def product(r: dict) -> np.ndarray:
-            starts, ends, w = np.frombuffer(r["starts"], np.int64), np.cumsum(_unpacked(r["ends"])), np.frombuffer(r["weights"], np.float32)
-            out = np.zeros((len(starts) - 1, k))
-            some = np.flatnonzero(np.diff(starts))
-            if len(some):
-                for c in range(k):
-                    out[some, c] = np.add.reduceat(held.value[:, c][ends] * w, starts[some])
-            return out
-
-        got = _by_block(graph, product, v, k)
+        held, k = sc.broadcast(np.ascontiguousarray(x.T)), x.shape[1]
+
+        def product(one: np.ndarray, other: np.ndarray, n: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+            own, total = logs.value
+            small = np.arange(4096)
+            log_n = np.log(np.maximum(small, 1))[n] if len(n) and n.max() < 4096 else np.log(n)
+            w = log_n
+            w -= own[one]
+            w -= own[other]
+            w += total
+            np.maximum(w, 0, out=w)
+            w *= n / (n + 5)  # little evidence, little weight
+            return (np.bincount(at, w * y[other], _SIDE) for y in held.value)
+
+        got = _by_block(pairs, product, v, k)
         held.destroy()
         return got
 
     out_of = through(np.ones((v, 1)))
-    alone = out_of[:, 0] == 0
+    alone = out_of[:, 0] <= 0
     seeds = np.stack([toxic_seeds, clean_seeds], 1)
     x = seeds
     for _ in range(p.steps):
-        x = p.damping * (through(x / np.where(out_of > 0, out_of, 1)) + x[alone].sum(0) * seeds) + (1 - p.damping) * seeds
+        new = p.damping * (through(x / np.where(alone[:, None], 1, out_of)) + x[alone].sum(0) * seeds) + (1 - p.damping) * seeds
+        settled = (np.abs(new - x) <= p.tolerance * (x + 1e-9)).all()
+        x = new
+        if settled:
+            break
     return np.log((x[:, 0] + 1e-9) / (x[:, 1] + 1e-9))
 
 
-def evidence(text: bytes, weights: dict[bytes, float], p: Params) -> float:
+def evidence(texts: list[bytes], weights: dict[bytes, float], p: Params) -> np.ndarray:
+    """The sum of its terms' weights, of each text."""
+    stems, index, offsets = _split(texts, p)
     get = weights.get
-    return sum(x for x in (get(w) for w in terms(text, p)) if x)
+    own = np.array([get(w, 0.0) for w in stems])[index] if stems else np.zeros(0)
+    return np.add.reduceat(np.append(own, 0.0), offsets[:-1]) * (np.diff(offsets) > 0)
 
 
 def monotone(clean: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -293,12 +344,13 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Lexicon:
     rated = usable.withColumn("odds", odds).withColumn("z", F.col("odds") / F.sqrt(1 / a + 1 / b))
     weights: dict[bytes, float] = {}
     if a_all and b_all:
-        nodes = rated.select("term", "toxic", "clean", "odds", "z").toPandas().sort_values("term", ignore_index=True)
+        # the most frequent first: their pairs lie in few, dense blocks
+        nodes = rated.select("term", "n", "toxic", "clean", "odds", "z").toPandas().sort_values(["n", "term"], ascending=[False, True], ignore_index=True)
         a, b, odds, z = (nodes[c].to_numpy(np.float64) for c in ("toxic", "clean", "odds", "z"))
         seeds = np.where((z >= p.seed_z) & (odds >= p.seed_log_odds), a, 0.0)
         if seeds.any():
             vocabulary = {bytes(w): i for i, w in enumerate(nodes["term"])}
-            pairs = _count_pairs(marked.select("_text"), vocabulary, p)
+            pairs = _count_pairs(docs.select(utf8(F.col("text")).alias("_text")), vocabulary, p)
             score = polarity(pairs, seeds / seeds.sum(), (b + 0.5) / (b + 0.5).sum(), p)
             # a walk alone is no evidence against what labelled rows say of a term
             score = np.where((odds <= 0) & (a + b >= 20), 0.0, score)
@@ -308,12 +360,14 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Lexicon:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for x in batches:
-            for t, label in zip(texts(x.column("_text")), x.column("toxic").to_pylist()):
-                seen[min(p.bins - 1, int(evidence(t, held.value, p) / p.bin_width)), int(label > 0)] += 1
-        yield arrow(_PAIRS, i=[i for i, _ in seen], j=[j for _, j in seen], n=list(seen.values()))
+            labels = x.column("toxic").to_pylist()
+            for first, part in chunks(texts(x.column("_text"))):
+                for e, label in zip(evidence(part, held.value, p).tolist(), labels[first:]):
+                    seen[min(p.bins - 1, int(e / p.bin_width)), int(label > 0)] += 1
+        yield arrow(_BINS, i=[i for i, _ in seen], j=[j for _, j in seen], n=list(seen.values()))
 
     bins = np.zeros((2, p.bins))
-    for r in marked.where(F.col("toxic").isNotNull()).mapInArrow(tidy(fold), ddl(_PAIRS)).groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    for r in marked.where(F.col("toxic").isNotNull()).mapInArrow(tidy(fold), ddl(_BINS)).groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         bins[r.j, r.i] = r.n
     return Lexicon(weights, monotone(bins[0], bins[1]))
 
@@ -330,7 +384,8 @@ def score(docs: DataFrame, lexicon: Lexicon, p: Params = Params(), keep: tuple[C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = held.value
         for b in batches:
-            e = np.array([evidence(t, lex.weights, p) for t in texts(b.column("_text"))], np.float64)
+            parts = [evidence(part, lex.weights, p) for _, part in chunks(texts(b.column("_text")))]
+            e = np.concatenate([np.zeros(0), *parts])
             s = lex.probability[np.minimum(p.bins - 1, (e / p.bin_width).astype(np.int64))]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(e), pa.array(s), pa.array((s >= p.threshold).astype(np.int32))], names=[*b.schema.names[:-1], "evidence", "score", "predicted"]
