@@ -1,43 +1,32 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-A document's lines and its whole text are normalised to words of letters and digits and
-compared, as multisets of bigrams, to templates.  2 * min / (A + B) bounds the coefficient
-of multisets of A and B bigrams, so only templates of a compatible size are candidates; a
-unit that shares too few bigrams with all templates together meets none.
+A text is normalised to words of letters and digits.  Every run of as many bigrams as a
+template has is compared with it as a multiset (a text of fewer bigrams whole), so a
+licence is found alone, wrapped over lines, behind comment signs, within a line, or inside a
+longer file.
+
+2 * min / (A + B) bounds the coefficient of multisets of A and B bigrams: a text must have
+enough bigrams for a template's size, and a run enough of the template's bigrams, before it
+is compared.  Runs that start at a bigram of the template suffice: another one holds no
+more of them.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, table, texts, tidy, utf8
-
-FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 or b == 10 else 0x20 for b in range(256))
-
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "cc-by-4.0": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "cc0-1.0": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",
-    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mit": "Released under the MIT License.",
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
-    "zlib": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
-}
+from assaykit.llm.common import arrow, chunks, split_column, table, texts, tidy, utf8
+from assaykit.llm.licence_texts import TEMPLATES
+
+FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
 @dataclass(frozen=True)
@@ -55,50 +44,98 @@ def bigrams(words: list[bytes]) -> Counter:
 
 
 class Matcher:
-    """Templates ordered by their number of bigrams; those of fewer than two words never match."""
+    """Templates by name; those of fewer than two words never match."""
 
     def __init__(self, p: Params) -> None:
-        made = []
-        for name, text in p.templates.items():
-            ws = text.encode().translate(FOLD).split()
-            if len(ws) > 1:
-                made.append((len(ws) - 1, name, bigrams(ws)))
-        made.sort(key=lambda x: x[:2])
-        self.sizes, self.templates, self.t = [m[0] for m in made], made, p.threshold
-        self.known = {g for m in made for g in m[2]}
-        self.heads = {g[0] for g in self.known}
-        self.least = self.sizes[0] * self.t / (2 - self.t) if made else float("inf")
-        self.most = self.sizes[-1] * (2 - self.t) / self.t if made else 0
-
-    def best(self, words: list[bytes]) -> tuple[str, float] | None:
-        """The template of the highest coefficient of at least the threshold; of equals, the first name."""
-        a, t = len(words) - 1, self.t
-        if not max(1, self.least) <= a <= self.most:
-            return None
-        shared = sum(w in self.heads for w in words)
-        if 2 * shared < t * (a + self.sizes[0]) or 2 * (shared := sum(g in self.known for g in zip(words, words[1:]))) < t * (a + self.sizes[0]):
-            return None
-        own, best = bigrams(words), None
-        low, high = bisect_left(self.sizes, a * t / (2 - t) - 1e-9), bisect_right(self.sizes, a * (2 - t) / t + 1e-9)
-        for b, name, grams in self.templates[low:high]:
-            if 2 * shared < t * (a + b):
+        self.t = p.threshold
+        made = {k: ws for k in sorted(p.templates) if len(ws := p.templates[k].encode().translate(FOLD).split()) > 1}
+        self.names = list(made)
+        self.sizes = [len(ws) - 1 for ws in made.values()]
+        self.words = {w: i for i, w in enumerate(sorted({w for ws in made.values() for w in ws}))}
+        grams = sorted({g for ws in made.values() for g in bigrams(ws)})
+        k = len(self.words) + 1  # the last is of all other words
+        #: Number of a pair of words among the templates' bigrams, or -1.
+        self.gram = np.full(k * k, -1, np.int32)
+        self.gram[[self.words[a] * k + self.words[b] for a, b in grams]] = np.arange(len(grams))
+        #: [bigram, template] occurrences.
+        self.times = np.zeros((len(grams) + 1, len(made)), np.int32)
+        for j, ws in enumerate(made.values()):
+            for g, n in bigrams(ws).items():
+                self.times[self.gram[self.words[g[0]] * k + self.words[g[1]]], j] = n
+
+    def find(self, texts: list[bytes]) -> list[list[tuple[int, float, str, int]]]:
+        """(shared bigrams, coefficient, template, first word of the run) of every template that matches, for each text.
+
+        Of a template's runs it is the best, the first of equals.
+        """
+        out: list[list[tuple[int, float, str, int]]] = [[] for _ in texts]
+        words, index, offsets = split_column(pa.array([t.translate(FOLD) for t in texts], pa.large_binary()))
+        if not self.names or len(index) < 2:
+            return out
+        get, k = self.words.get, len(self.words) + 1
+        own = np.array([get(w, k - 1) for w in words.to_numpy(zero_copy_only=False).tolist()], np.int64)[index]
+        gram = self.gram[own[:-1] * k + own[1:]]
+        last = offsets[1:-1] - 1
+        gram[last[(last >= 0) & (last < len(gram))]] = -1  # pairs over two texts
+        hit = np.flatnonzero(gram >= 0)
+        gram, owner = gram[hit], np.searchsorted(offsets, hit, "right") - 1
+        place = hit - offsets[owner]
+        size = np.maximum(np.diff(offsets) - 1, 0)  # bigrams of each text
+        for j, (name, b) in enumerate(zip(self.names, self.sizes)):
+            mine = np.flatnonzero(self.times[gram, j])
+            doc = owner[mine]
+            need = np.ceil(self.t * (np.minimum(size, b) + b) / 2 - 1e-9).astype(np.int64)[doc]
+            # enough of the template's bigrams within a run's length
+            end = np.arange(len(mine)) + need - 1
+            ok = end < len(mine)
+            end = np.where(ok, end, 0)
+            ok &= (doc[end] == doc) & (place[mine][end] - place[mine] < b)
+            for d in np.unique(doc[ok]).tolist():
+                s, e = np.searchsorted(doc, [d, d + 1])
+                got = self._best(place[mine[s:e]].tolist(), gram[mine[s:e]].tolist(), j, int(size[d]))
+                if got is not None:
+                    out[d].append((got[0], got[1], name, got[2]))
+        return out
+
+    def _best(self, place: list[int], gram: list[int], j: int, a: int) -> tuple[int, float, int] | None:
+        b = self.sizes[j]
+        a, most = min(a, b), max(a - b, 0)
+        times = self.times[:, j]
+        held: Counter = Counter()
+        best, shared, first, last, was = (0, 0), 0, 0, 0, -1
+        for p in place:
+            start = min(p, most)
+            if start == was:
                 continue
-            dice = 2 * sum(min(n, own[g]) for g, n in grams.items()) / (a + b)
-            if dice >= t and (best is None or (-dice, name) < (-best[1], best[0])):
-                best = name, dice
-        return best
+            was = start
+            while last < len(place) and place[last] < start + b:
+                g = gram[last]
+                held[g] += 1
+                shared += held[g] <= times[g]
+                last += 1
+            while place[first] < start:
+                g = gram[first]
+                shared -= held[g] <= times[g]
+                held[g] -= 1
+                first += 1
+            if shared > best[0]:
+                best = shared, start
+        if best[0] < ceil(self.t * (a + b) / 2 - 1e-9):
+            return None
+        return int(best[0]), float(2 * best[0] / (a + b)), best[1]
 
 
-_OUT = pa.schema([("licence", pa.string()), ("score", pa.float64()), ("unit", pa.int32()), ("n_matches", pa.int64())])
+_OUT = pa.schema([("licence", pa.string()), ("score", pa.float64()), ("start", pa.int64()), ("licences", pa.string()), ("n_matches", pa.int64())])
 
 
 def scan(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(doc_id, licence, score, unit, n_matches): one row per row of ``docs``.
+    """(doc_id, licence, score, start, licences, n_matches): one row per row of ``docs``.
 
-    Units are the lines from 0 and, as -1, the whole text if it has several lines.
-    n_matches is the number of units with a template; licence and score are those of the
-    best unit, the first of equals (licence, then unit), and null without one (unit is then -2).  Null and
-    empty texts have no match.  Only doc_id and text are read; repeated rows are each scanned.
+    A run starts at a bigram of the template, or is the text's last of its length.  licences: names of all matching templates, sorted and comma-joined (empty without one), and
+    n_matches their number.  licence, score and start (the first word of the run, from 0) are
+    those of the template with most shared bigrams, of equals the best score, then the first
+    name; null without one.  Null and empty texts have no match.  Only doc_id and text are
+    read; repeated rows are each scanned.
     """
     matcher = docs.sparkSession.sparkContext.broadcast(Matcher(p))
 
@@ -106,20 +143,16 @@ def scan(docs: DataFrame, p: Params = Params()) -> DataFrame:
         m = matcher.value
         for b in batches:
             rows: list[tuple] = []
-            for t in texts(b.column("_text")):
-                lines = [x.split() for x in t.translate(FOLD).split(b"\n")]
-                units = [(i, ws) for i, ws in enumerate(lines) if len(ws) > 1]
-                if len(lines) > 1 and sum(map(len, lines)) - 1 <= m.most:
-                    units.append((-1, [w for ws in lines for w in ws]))
-                found = [(-s, name, i) for i, ws in units if (got := m.best(ws)) for name, s in [got]]
-                s, name, i = min(found, default=(None, None, -2))
-                rows.append((name, None if s is None else -s, i, len(found)))
-            cols = list(zip(*rows)) or [()] * 4
+            for _, part in chunks(texts(b.column("_text"))):
+                for found in m.find(part):
+                    n, s, name, at = min(found, key=lambda x: (-x[0], -x[1], x[2]), default=(0, None, None, None))
+                    rows.append((name, s, at, ",".join(sorted(x[2] for x in found)), len(found)))
+            cols = list(zip(*rows)) or [()] * 5
             out = arrow(_OUT, **dict(zip(_OUT.names, cols)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *out.columns], names=["doc_id", *_OUT.names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8(F.col("text")).alias("_text")).mapInArrow(tidy(run), f"doc_id {kind}, licence string, score double, unit int, n_matches long")
+    return docs.select("doc_id", utf8(F.col("text")).alias("_text")).mapInArrow(tidy(run), f"doc_id {kind}, licence string, score double, start long, licences string, n_matches long")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,19 +160,21 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOLDED = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
 OP6_SQL = f"""
-WITH t(name, body) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())}),
+WITH t(name, body) AS (VALUES {_VALUES}),
 tw AS (SELECT name, {_FOLDED.format("body")} AS w FROM t),
-tg AS (SELECT name, w[i] || ' ' || w[i + 1] AS g, count(*) AS n FROM tw, unnest(range(1, len(w))) AS u(i) GROUP BY ALL),
 ts AS (SELECT name, len(w) - 1 AS b FROM tw),
-l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS unit, unnest(string_split(text, chr(10))) AS body FROM documents WHERE text IS NOT NULL),
-units AS (
-    SELECT doc_id, unit, {_FOLDED.format("body")} AS w FROM l
-    UNION ALL SELECT doc_id, -1, {_FOLDED.format("text")} FROM documents WHERE contains(text, chr(10))),
-us AS (SELECT doc_id, unit, len(w) - 1 AS a FROM units),
-ug AS (SELECT doc_id, unit, w[i] || ' ' || w[i + 1] AS g, count(*) AS n FROM units, unnest(range(1, len(w))) AS u(i) GROUP BY ALL),
-x AS (SELECT doc_id, unit, name, sum(least(ug.n, tg.n)) AS shared FROM ug JOIN tg USING (g) GROUP BY ALL),
-s AS (SELECT doc_id, unit, name, (2 * shared)::DOUBLE / (a + b) AS score FROM x JOIN us USING (doc_id, unit) JOIN ts USING (name) WHERE (2 * shared)::DOUBLE / (a + b) >= 0.8),
-best AS (SELECT doc_id, arg_min(struct_pack(name, score, unit), struct_pack(m := -score, name := name, unit := unit)) AS r, count(DISTINCT unit) AS n FROM s GROUP BY doc_id)
-SELECT d.doc_id, r.name AS licence, r.score AS score, coalesce(r.unit, -2)::INTEGER AS unit, coalesce(n, 0)::BIGINT AS n_matches FROM documents d LEFT JOIN best USING (doc_id)
+tg AS (SELECT name, w[i] || ' ' || w[i + 1] AS g, count(*) AS n FROM tw, unnest(range(1, len(w))) AS u(i) GROUP BY ALL),
+d AS (SELECT doc_id, {_FOLDED.format("text")} AS w FROM documents WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, len(w) - 1 AS a, i - 1 AS p, w[i] || ' ' || w[i + 1] AS g FROM d, unnest(range(1, len(w))) AS u(i)),
+m AS (SELECT doc_id, name, a, b, p, g, n FROM dg JOIN tg USING (g) JOIN ts USING (name)),
+held AS (SELECT doc_id, name FROM m GROUP BY doc_id, name, a, b HAVING 2 * count(*) >= 0.8 * (least(a, b) + b)),
+mm AS (SELECT m.* FROM m JOIN held USING (doc_id, name)),
+st AS (SELECT DISTINCT doc_id, name, least(p, greatest(a - b, 0)) AS s FROM mm),
+k AS (SELECT doc_id, name, s, a, b, g, least(count(*), any_value(n)) AS k FROM st JOIN mm USING (doc_id, name) WHERE p >= s AND p < s + b GROUP BY ALL),
+sc AS (SELECT doc_id, name, s, sum(k) AS shared, (2 * sum(k))::DOUBLE / (least(any_value(a), any_value(b)) + any_value(b)) AS score FROM k GROUP BY doc_id, name, s),
+runs AS (SELECT doc_id, name, max(shared) AS shared, max(score) AS score, arg_min(s, struct_pack(x := -shared, y := s)) AS s FROM sc WHERE score >= 0.8 GROUP BY doc_id, name),
+best AS (SELECT doc_id, arg_min(struct_pack(name, score, s), struct_pack(x := -shared, y := -score, z := name)) AS r, string_agg(name, ',' ORDER BY name) AS licences, count(*) AS n FROM runs GROUP BY doc_id)
+SELECT d.doc_id, r.name AS licence, r.score AS score, r.s::BIGINT AS start, coalesce(licences, '') AS licences, coalesce(n, 0)::BIGINT AS n_matches FROM documents d LEFT JOIN best USING (doc_id)
 """
