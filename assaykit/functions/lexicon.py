@@ -100,30 +100,26 @@ def ions() -> dict[str, dict[str, dict]]:
     return out
 
 
-def _written(formula: str) -> str:
-    """A formula of the tables, which have braces for parentheses."""
-    return formula.translate(str.maketrans("{}", "()"))
-
-
 @lru_cache
 def compounds() -> dict[str, str]:
-    return {r["name"]: _written(r["formula"]) for r in resource("compounds")}
+    return {r["name"]: r["formula"] for r in resource("compounds")}
 
 
 @lru_cache
 def abbreviations() -> dict[str, str]:
-    return {r["abbreviation"]: _written(r["formula"]) for r in resource("abbreviations")}
+    return {r["abbreviation"]: r["formula"] for r in resource("abbreviations")}
 
 
 @lru_cache
 def emoji() -> dict[str, str]:
-    return {r["symbol"]: r["emoji"] for r in resource("emoji")}
+    """Element symbols as single pictographs, one after the other from U+1F400 by atomic number (deuterium and others last)."""
+    return {e: chr(0x1F400 + i) for i, e in enumerate(ELEMENTS)}
 
 
 def dimension(spark: SparkSession, name: str) -> DataFrame:
     """A packaged dictionary as a DataFrame: ions, compounds, abbreviations or emoji.  Its size is fixed."""
-    rows = resource(name)
-    return spark.createDataFrame([tuple(_written(v) if k == "formula" else v for k, v in r.items()) for r in rows], list(rows[0]))
+    rows = [{"emoji": e, "symbol": x} for x, e in emoji().items()] if name == "emoji" else resource(name)
+    return spark.createDataFrame([tuple(r.values()) for r in rows], list(rows[0]))
 
 
 def elements(spark: SparkSession) -> DataFrame:

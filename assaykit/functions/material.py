@@ -344,7 +344,7 @@ def stoichiometric_values(variable: Column, sentence: Column, count: int = 10) -
     ranges = [
         (F.concat(variable, F.lit(r"\s*=\s*([0-9.]+)\s*[–-]\s*([0-9.]+)"))),
         (F.concat(F.lit(r"([0-9.]+)\s*[<≤⩽]\s*"), variable, F.lit(r"\s*[<≤⩽]\s*([0-9.]+)"))),
-        (F.concat(variable, F.lit(r"[\sa-z]*from[ ]+([/.0-9]+)[ ]+to[ ]+([/.0-9]+)"))),
+        (F.concat(variable, F.lit(r"[a-z\s]*from\s+([0-9./]+)\s+to\s+([0-9./]+)"))),
     ]
     low = F.coalesce(*[_value(_extract(s, r, 1)) for r in ranges])
     high = F.coalesce(*[_value(_extract(s, r, 2)) for r in ranges])

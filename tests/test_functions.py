@@ -84,7 +84,9 @@ def test_accents_and_emoji(spark):
 
 def test_lexicon_sizes():
     assert len(lx.ELEMENTS) == 119 and len(lx.UNITS) == 192 and len(lx.NOT_MATERIALS) == 72
-    assert len(lx.ions()["anion"]) > 90 and len(lx.compounds()) == 699 and len(lx.abbreviations()) == 19
+    assert len(lx.ions()["anion"]) > 90 and len(lx.compounds()) > 300 and len(lx.abbreviations()) > 50
+    assert len(set(lx.emoji().values())) == len(lx.ELEMENTS) and all(len(e) == 1 for e in lx.emoji().values())
+    assert lx.ions()["anion"]["sulfate"] == {"symbol": "SO4", "atoms": 5, "charges": [2]} and lx.ions()["cation"]["ammonium"]["atoms"] == 5
 
 
 @pytest.mark.parametrize(
@@ -133,6 +135,7 @@ def test_parsed_materials(spark):
 def test_values(spark):
     v = lambda s: spark.range(1).select(mt.stoichiometric_values(F.lit("x"), F.lit(s)).alias("v")).first().v
     assert v("x = 0.25, 0.5 and 1.").values == [0.25, 0.5, 1.0] and v("x = 1/4, 1/2)").values == [0.25, 0.5]
+    assert v("x ranging\tfrom 0.1\nto\t0.3").max == 0.3 and v("(x = 0.25, 0.5)").values == [0.25, 0.5]
     assert v("for x = 0.1-0.3)").mode == "range" and v("0 < x < 0.5 ,").max == 0.5 and v("nothing").values == []
     e = spark.range(1).select(mt.element_values(F.lit("A"), F.lit("AO2 (A = Ti4+, Zr, foo)")).alias("v")).first().v
     assert e == ["Ti", "Zr"]
