@@ -8,18 +8,19 @@ Counts are used in three tiers, so that nothing that grows with the corpus is br
 * counts of the ``known_words`` most frequent are broadcast, a bounded table;
 * other words of a document are rare; they alone are joined with the table of all counts.
 
-The network is fitted on all training documents by rounds of local training: every shard
-continues from the same weights and the shards' weights are averaged, weighted by tokens.
-The number of shards grows with the corpus up to ``max_shards``, then their size does.
+The network is fitted on all training documents by rounds of local training: in each round
+every shard continues from the same weights over its next share of documents, and the
+shards' weights are averaged, weighted by tokens.  The number of shards grows with the
+corpus up to ``max_shards``, then their size does; a shard is a stream, so a task's memory
+is that of a window whatever its size.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, offsets_of, table, texts, tidy, utf8
+from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, split_column, split_words, table, texts, tidy, utf8
 from assaykit.llm.gru import Gru, Shape
 
 END = b""
@@ -43,19 +44,20 @@ class Params:
     embedding: int = 24
     known_words: int = 200_000
     smoothing: float = 0.1
-    #: The network is fitted on all training documents; a caller may ask for a share of them, by hash, taken beyond ``train_tokens``.
-    train_share: float = 1.0
-    train_tokens: int = 2_000_000
-    shard_tokens: int = 1_000_000
-    max_shards: int = 1024
+    #: Mean training tokens of a shard, and the most shards.
+    shard_tokens: int = 4_000_000
+    max_shards: int = 4096
     rounds: int = 2
+    #: Documents longer than this come first in their shard, so that none goes on alone at its end.
+    long_tokens: int = 2048
     #: Documents whose text makes up this many bytes are scored together.
-    block_bytes: int = 4_000_000
+    block_bytes: int = 8_000_000
 
 
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-_SUMS = pa.schema([("shard", pa.int64()), ("piece", pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
+_SUMS = pa.schema([("part", pa.int32()), ("piece", pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
 _PIECE = 8_192
+_WORDS_HELD = 2_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -72,16 +74,30 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over whole texts; the empty word counts ends."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for t in b.column("_text").to_pylist():
-                seen.update(tokens(t))
-                if len(seen) > 400_000:
-                    yield arrow(_COUNTS, word=list(seen), n=list(seen.values()))
-                    seen.clear()
-        yield arrow(_COUNTS, word=list(seen), n=list(seen.values()))
+        held, size, ends = [], 0, 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-    return docs.select(utf8(F.col("text")).alias("_text")).mapInArrow(tidy(fold), ddl(_COUNTS)).groupBy("word").agg(F.sum("n").alias("n"))
+        for b in batches:
+            for _, part in chunks(texts(b.column("_text")), 1 << 22):
+                words, index, _ = split_column(pa.array([t.lower() for t in part], pa.large_binary()))
+                ends += len(part)
+                n = np.bincount(index, minlength=len(words))
+                some = pa.table({"word": words, "n": n})
+                held.append(some.filter(pa.array(n > 0)))
+                size += len(some)
+                if size > _WORDS_HELD:
+                    held = [summed()]
+                    size = len(held[0])
+                    if 2 * size > _WORDS_HELD:
+                        yield from held[0].cast(_COUNTS).to_batches()
+                        held, size = [], 0
+        if held:
+            yield from summed().cast(_COUNTS).to_batches()
+        yield arrow(_COUNTS, word=[END], n=[ends])
+
+    return docs.select(utf8(F.col("text")).alias("_text")).mapInArrow(tidy(fold), ddl(_COUNTS)).where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -152,63 +168,79 @@ def _by_place(u: Unigram, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return symbol, np.log10(counts + p.smoothing), counts > 0
 
 
-def _encode(words: list[bytes], symbols: dict[bytes, int], p: Params) -> np.ndarray:
-    get, base = symbols.get, len(symbols)
-    return np.array([i if (i := get(w)) is not None else base + shape_of(w, p) for w in words], np.int32)
+def _numbers(words: list[bytes], place: Callable[[bytes], int | None], p: Params, base: int) -> np.ndarray:
+    """Places of distinct words; a word without one has, negative, -1 less its shape's symbol."""
+    at = list(map(place, words))
+    return np.array([-1 - base - shape_of(w, p) if i is None else i for w, i in zip(words, at)] if None in at else at, np.int64)
+
+
+def _with_ends(x: np.ndarray, offsets: np.ndarray, end) -> np.ndarray:
+    """Values of all texts' words with ``end`` after each text's."""
+    last = offsets[1:] + np.arange(len(offsets) - 1)
+    out, word = np.full(len(x) + len(last), end, x.dtype), np.ones(len(x) + len(last), bool)
+    word[last] = False
+    out[word] = x
+    return out
 
 
 def train(docs: DataFrame, uni: Unigram, p: Params = Params()) -> Gru:
-    """The network after ``rounds`` of averaged local training on ``docs``."""
+    """The network after ``rounds`` of averaged local training on all rows of ``docs``, each in one round."""
     spark = docs.sparkSession
     model = Gru.start(uni.symbol_counts(), Shape(len(uni.symbols), p.shapes, p.classes, p.hidden, p.embedding))
     if not uni.tokens:
         return model
-    share = min(1.0, max(p.train_share, p.train_tokens / uni.tokens))
-    shards = max(1, min(p.max_shards, round(share * uni.tokens / p.shard_tokens)))
+    shards = max(1, min(p.max_shards, round(uni.tokens / p.shard_tokens)))
     symbols = spark.sparkContext.broadcast(uni.symbols)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = TaskContext.get().partitionId() << 33
+        place, get, base = TaskContext.get().partitionId() << 33, symbols.value.get, len(symbols.value)
         for b in batches:
-            coded = [_encode(tokens(t), symbols.value, p).astype(np.uint16).tobytes() for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(coded)) + place), pa.array(coded, pa.binary())], names=["place", "ids"])
-            place += len(coded)
-
-    text = utf8(F.col("text"))
-    chosen = docs.select(text.alias("_text"))
-    if share < 1:
-        chosen = chosen.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    coded = chosen.mapInArrow(tidy(encode), "place long, ids binary")
-    coded = cut(coded.withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", "place"))
+            for _, part in chunks(texts(b.column("_text")), p.block_bytes):
+                words, index, offsets = split_words(part)
+                at = _numbers(words, get, p, base)
+                ids = _with_ends(np.where(at < 0, -1 - at, at).astype(np.uint16)[index], offsets, 0).tobytes()
+                ends = (2 * (offsets + np.arange(len(offsets)))).tolist()
+                n = np.diff(offsets) + 1
+                coded = [ids[s:e] for s, e in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(coded)) + place), pa.array(n <= p.long_tokens), pa.array(coded, pa.binary())], names=["place", "short", "ids"])
+                place += len(coded)
+
+    coded = docs.select(utf8(F.col("text")).alias("_text")).mapInArrow(tidy(encode), "place long, short boolean, ids binary")
+    shard = F.pmod(F.xxhash64("place"), F.lit(shards)).cast("int")
+    turn = F.pmod(F.xxhash64("place", F.lit(1)), F.lit(p.rounds)).cast("int")
+    coded = cut(coded.withColumn("turn", turn).repartitionById(shards, shard).sortWithinPartitions("turn", "short", F.xxhash64("place")))
+    expected = max(1, uni.tokens // shards // p.rounds)
     for number in range(p.rounds):
         held = spark.sparkContext.broadcast(model)
 
-        def fit(batches: Iterator[pa.RecordBatch], held=held, number=number) -> Iterator[pa.RecordBatch]:
-            by: dict[int, list[np.ndarray]] = {}
-            for b in batches:
-                for s, x in zip(b.column("shard").to_pylist(), b.column("ids").to_pylist()):
-                    by.setdefault(s, []).append(np.frombuffer(x, np.uint16))
-            for s, own in by.items():
-                own = own[number :: p.rounds] if len(own) >= p.rounds else own
-                own = [x.astype(np.int32) for x in own]
-                n = sum(map(len, own))
-                flat = held.value.train(own, streams=min(64, max(16, n // 8192)), seed=s * p.rounds + number).flat()
-                cuts = [flat[i : i + _PIECE] for i in range(0, len(flat), _PIECE)]
-                yield arrow(_SUMS, shard=[s] * len(cuts), piece=list(range(len(cuts))), tokens=[n] * len(cuts), weights=[c.tobytes() for c in cuts])
-
-        def mean(key: tuple, t: pa.Table) -> pa.Table:
-            t = t.sort_by("shard")
-            w = t["tokens"].to_numpy().astype(np.float64)
-            total = sum(n * np.frombuffer(x, np.float32) for n, x in zip(w, t["weights"].to_pylist())) / w.sum()
-            return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-        got = coded.mapInArrow(tidy(fit), ddl(_SUMS)).groupBy("piece").applyInArrow(mean, "piece int, weights binary").collect()
+        def fit(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            def own() -> Iterator[np.ndarray]:
+                for b in batches:
+                    for x in texts(b.column("ids")):
+                        yield np.frombuffer(x, np.uint16)
+
+            source = own()
+            first = next(source, None)
+            if first is None:
+                return
+            fitted, n = held.value.train(chain([first], source), expected)
+            flat, s = fitted.flat(), TaskContext.get().partitionId()
+            cuts = [n * flat[i : i + _PIECE].astype(np.float64) for i in range(0, len(flat), _PIECE)]
+            yield arrow(_SUMS, part=[s // 64] * len(cuts), piece=list(range(len(cuts))), tokens=[n] * len(cuts), weights=[c.tobytes() for c in cuts])
+
+        def add(key: tuple, t: pa.Table) -> pa.Table:
+            t = t.sort_by([("part", "ascending"), ("tokens", "ascending")])
+            total = sum(np.frombuffer(x) for x in t["weights"].to_pylist())
+            return pa.table({"part": [0], "piece": [key[0].as_py()], "tokens": [sum(t["tokens"].to_pylist())], "weights": [total.tobytes()]}, schema=_SUMS)
+
+        # sums of 64 shards first: no group grows with their number
+        some = coded.where(F.col("turn") == number).select("ids").mapInArrow(tidy(fit), ddl(_SUMS)).groupBy("piece", "part").applyInArrow(add, ddl(_SUMS))
+        got = sorted(some.groupBy("piece").applyInArrow(add, ddl(_SUMS)).collect(), key=lambda r: r.piece)
         if got:
-            model = model.with_flat(np.concatenate([np.frombuffer(bytes(r.weights), np.float32) for r in sorted(got, key=lambda r: r.piece)]))
+            model = model.with_flat(np.concatenate([np.frombuffer(bytes(r.weights)) / r.tokens for r in got]).astype(np.float32))
     return model
 
 
-
 def score(docs: DataFrame, counts: DataFrame, uni: Unigram, model: Gru, p: Params = Params(), keep: tuple[Column, ...] | None = None) -> DataFrame:
     """(*keep, n_tokens, n_known, train_tokens, base_score, score): a row per row of ``docs``.
 
@@ -234,37 +266,37 @@ def score(docs: DataFrame, counts: DataFrame, uni: Unigram, model: Gru, p: Param
             b = b.take(pa.array(np.argsort(pc.binary_length(b.column("_text")).to_numpy(zero_copy_only=False), kind="stable")))
             column = b.column("_text")
             for first, part_texts in chunks(texts(column), p.block_bytes):
-                split = [tokens(t) for t in part_texts]
-                n = np.fromiter(map(len, split), np.int64, len(split))
-                flat = [w for ws in split for w in ws]
-                at = np.fromiter(map(get, flat, repeat(-1)), np.int64, len(flat))
-                known = at >= 0
-                ids = np.where(known, symbol[at], 0)
-                unknown = np.flatnonzero(~known)
-                ids[unknown] = [k + shape_of(flat[i], p) for i in unknown.tolist()]
-                outside = ids >= k
-                starts = offsets_of(n)
-                logs = np.where(known, log_count[at], 0.0)
-                base = np.add.reduceat(logs, starts[:-1]) - base_all * n
-                inside = np.add.reduceat(np.where(outside, logs - log_in[np.where(outside, ids - k, 0)], 0.0), starts[:-1])
-                n_known = np.add.reduceat(known & seen[at], starts[:-1], dtype=np.int64)
-                cut_at = np.searchsorted(unknown, starts)
-                rare = [[flat[i] for i in unknown[s:e].tolist()] for s, e in zip(cut_at, cut_at[1:])]
-                coded = np.split(ids.astype(np.int32), starts[1:-1])
-                logp = m.score(coded) / np.log(10)
-                part = b.slice(first, len(split))
+                words, index, offsets = split_words(part_texts)
+                at = _numbers(words, get, p, k)
+                known, to = at >= 0, np.maximum(at, 0)
+                own = np.where(known, symbol[to], -1 - at)
+                logs = np.where(known, log_count[to], 0.0)
+                within = np.where(own >= k, logs - log_in[np.maximum(own - k, 0)], 0.0)
+                ids = _with_ends(own.astype(np.int32)[index], offsets, 0)
+                starts = offsets[:-1] + np.arange(len(part_texts))
+                n = np.diff(offsets) + 1
+                base = np.add.reduceat(_with_ends(logs[index], offsets, log_count[0]), starts) - base_all * n
+                inside = np.add.reduceat(_with_ends(within[index], offsets, 0.0), starts)
+                n_known = np.add.reduceat(_with_ends((known & seen[to])[index], offsets, bool(seen[0])), starts, dtype=np.int64)
+                logp = m.score(np.split(ids, starts[1:])) / np.log(10)
+                # rare words of each text, once, with their number
+                unknown = np.flatnonzero(~known[index])
+                code, times = np.unique((np.searchsorted(offsets, unknown, "right") - 1) * len(words) + index[unknown], return_counts=True)
+                bounds = pa.array(np.searchsorted(code, np.arange(len(n) + 1) * len(words)), pa.int32())
+                rare = pa.array(words, pa.binary()).take(pa.array(code % max(1, len(words))))
+                part = b.slice(first, len(n))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *part.columns[:-1], pa.array(np.arange(place, place + len(split))), pa.array(n), pa.array(n_known), pa.array(base), pa.array(inside + logp),
-                        pa.array(rare, pa.list_(pa.binary())),
+                        *part.columns[:-1], pa.array(np.arange(place, place + len(n))), pa.array(n), pa.array(n_known), pa.array(base), pa.array(inside + logp),
+                        pa.ListArray.from_arrays(bounds, rare), pa.ListArray.from_arrays(bounds, pa.array(times, pa.int64())),
                     ],
-                    names=[*part.schema.names[:-1], "_place", "n_tokens", "_known", "_base", "_model", "_rare"],
+                    names=[*part.schema.names[:-1], "_place", "n_tokens", "_known", "_base", "_model", "_rare", "_times"],
                 )
-                place += len(split)
+                place += len(n)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    scored = cut(source.mapInArrow(tidy(run), f"{fields}, _place long, n_tokens long, _known long, _base double, _model double, _rare array<binary>"))
-    rare = scored.select("_place", F.explode("_rare").alias("word")).groupBy("_place", "word").agg(F.count("*").alias("k"))
+    scored = cut(source.mapInArrow(tidy(run), f"{fields}, _place long, n_tokens long, _known long, _base double, _model double, _rare array<binary>, _times array<long>"))
+    rare = scored.where(F.size("_rare") > 0).select("_place", F.explode(F.arrays_zip("_rare", "_times")).alias("w")).select("_place", F.col("w._rare").alias("word"), F.col("w._times").alias("k"))
     sums = (
         rare.join(counts, "word", "left")
         .groupBy("_place")
