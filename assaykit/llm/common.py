@@ -38,19 +38,38 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once into the cluster's shared checkpoint folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests)
-    is a temporary one made.
+    Where that is unset, a local session (tests) gets a temporary one; a cluster has none, which is an error.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="assaykit-checkpoint-"))
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where:
+        return where
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="assaykit-checkpoint-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once into the cluster's shared checkpoint folder, its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def spread_join(rows: DataFrame, values: DataFrame, key: str, times: str, total: int, hot: int = 50_000) -> DataFrame:
+    """``rows`` with the columns of ``values`` (one row per key), whatever share of rows a key has.
+
+    ``times`` is the column of ``values`` with the number of rows of the key.  Keys of more than
+    1 / ``hot`` of all ``total`` rows, at most ``hot`` of them, are broadcast; the others shuffle.
+    """
+    often = F.col(times) > max(1, -(-total // hot))
+    frequent, rest = values.where(often).drop(times), values.where(~often).drop(times)
+    return rows.join(F.broadcast(frequent), key).unionByName(rows.join(F.broadcast(frequent.select(key)), key, "left_anti").join(rest, key))
+
+
 def chunks(texts: Iterable, size: int = CHUNK_BYTES) -> Iterator[tuple[int, list]]:
     """(index of the first, texts) of consecutive runs of at most ``size`` bytes, one text at least."""
     first, held, total = 0, [], 0

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import golay
-from assaykit.llm.common import chunks, cut, offsets_of, table, texts, tidy, utf8
+from assaykit.llm.common import chunks, cut, offsets_of, spread_join, table, texts, tidy, utf8
 from assaykit.llm.components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -37,6 +37,8 @@ class Params:
     max_bits: int = 6
     #: Rows of a bucket that meet in one group.
     block: int = 4096
+    #: Fingerprints whose keys one task makes.
+    fingerprints: int = 16_384
     #: Largest table of hot keys that is broadcast; beyond it the join shuffles.
     broadcast_keys: int = 500_000
 
@@ -164,6 +166,8 @@ def links(distinct: DataFrame, p: Params = Params()) -> DataFrame:
 
     ``distinct``: (fp, n) with one row per fingerprint and its number of documents.
     """
+    # each fingerprint has some 80 keys: they are made by tasks of even size, however few bytes the fingerprints have
+    distinct = distinct.repartition(max(1, -(-distinct.count() // p.fingerprints)), "fp")
     keyed = distinct.mapInArrow(tidy(_explode), "key long, fp long, n long")
     hot = cut(keyed.groupBy("key").count().where(F.col("count") > p.block).select("key", F.ceil(F.col("count") / p.block).cast("int").alias("blocks")))
     small = hot.count() <= p.broadcast_keys
@@ -224,27 +228,32 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     known = (
         classes.join(near, "fp", "left")
         .join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-        .select("fp", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), F.coalesce("component", "fp").alias("root"))
+        .select("fp", "n", "least", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"), F.coalesce("component", "fp").alias("root"))
     )
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = known.join(least, "root").select("fp", "n_near", "component_id")
-    return fps.join(known, "fp").select("doc_id", "fp", "n_near", "component_id")
+    known = cut(known)
+    least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("times"))
+    size = known.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    known = spread_join(known.drop("least"), least, "root", "times", size.k).select("fp", "n_near", "component_id", "n")
+    return spread_join(fps, known, "fp", "n", size.n or 0).select("doc_id", "fp", "n_near", "component_id")
 
 
 def dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """``docs`` with one row of each component left: that of the least doc_id.
 
     Texts without words are one component, as they have one fingerprint.  Of rows that
-    repeat the least doc_id, one stays.  Rows with a null doc_id go if their component has
-    another; else one of each fingerprint stays.
+    repeat the least doc_id, the one of the least text stays (null before others), of equals that
+    of the least other columns in their order.  Rows with a null doc_id go if their component has
+    another; else one of each fingerprint stays, by the same rule.
     """
     near = cut(near_duplicates(docs, p).select("doc_id", "fp", "component_id"))
     firsts = near.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     nameless = near.where(F.col("component_id").isNull()).select("fp").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rest = fingerprints(docs.where(F.col("doc_id").isNull()), (row,)).join(nameless, "fp", "left_semi").dropDuplicates(["fp"])
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(rest.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns]))
+    rank = F.struct(F.col("text"), *[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes if c != "text"]).alias("_rank")
+    own = F.min_by("_row", "_rank").alias("_row")
+    named = docs.where(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi").select("doc_id", row, rank).groupBy("doc_id").agg(own)
+    rest = fingerprints(docs.where(F.col("doc_id").isNull()), (row, rank)).join(nameless, "fp", "left_semi").groupBy("fp").agg(own)
+    return named.select("_row").unionByName(rest.select("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
