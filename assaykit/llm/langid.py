@@ -29,7 +29,8 @@ class Params:
     #: Number of hash buckets: with ``max_languages`` the bound of the broadcast matrix.
     buckets: int = 1 << 15
     alpha: float = 0.5
-    max_languages: int = 1000
+    #: Languages learned: those of most documents, of equals the first by name.
+    max_languages: int = 500
 
 
 @lru_cache(1)
@@ -78,7 +79,7 @@ _COUNTS = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int
 
 
 def count_ngrams(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """(lang, bucket, n) over all rows with a language; bucket -1 counts documents.
+    """(lang, bucket, n) over all rows with one of the ``max_languages`` most frequent languages; bucket -1 counts documents.
 
     Each task folds its rows into one dense array per language and emits non-zero entries
     once: no row per n-gram is ever shuffled.
@@ -101,7 +102,9 @@ def count_ngrams(docs: DataFrame, p: Params = Params()) -> DataFrame:
             at = np.flatnonzero(total[:-1])
             yield arrow(_COUNTS, lang=[lang] * (len(at) + 1), bucket=np.append(at, -1), n=np.append(total[at], rows[lang]))
 
-    had = docs.where(F.col("lang").isNotNull()).select("lang", utf8(F.col("text")).alias("text"))
+    docs = docs.where(F.col("lang").isNotNull())
+    names = [r.lang for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_languages).collect()]
+    had = docs.where(F.col("lang").isin(names)).select("lang", utf8(F.col("text")).alias("text"))
     return had.mapInArrow(tidy(fold), ddl(_COUNTS)).groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -114,12 +117,10 @@ class Model:
 
 
 def fit(docs: DataFrame, p: Params = Params()) -> Model:
-    """Learns from every row of ``docs`` whose lang is not null.  No rows: no languages."""
+    """Learns from every row of ``docs`` whose lang is not null (see ``max_languages``).  No rows: no languages."""
     got = count_ngrams(docs, p)
     pdf = got.select("lang", F.col("bucket").cast("int"), "n").toPandas()
     names = tuple(sorted(pdf["lang"].unique()))
-    if len(names) > p.max_languages:
-        raise ValueError(f"{len(names)} languages; max_languages is {p.max_languages}")
     counts, rows = np.zeros((len(names), p.buckets)), np.zeros(len(names))
     at = pdf["lang"].map({x: i for i, x in enumerate(names)}).to_numpy(dtype=np.int64)
     bucket, n = pdf["bucket"].to_numpy(), pdf["n"].to_numpy()
