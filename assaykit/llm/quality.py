@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, chunks, ddl, offsets_of, table, texts, tidy, utf8
+from assaykit.llm.common import arrow, chunks, ddl, offsets_of, split_column, table, texts, tidy, utf8
 
 WINDOW = 8
 CLASSES = ("lower", "upper", "digit", "blank", "line", "stop", "punctuation", "symbol", "beyond_ascii", "control")
@@ -57,16 +57,17 @@ class Params:
     guard_words: int = 50
     max_char_distance: float = 0.32
     max_word_distance: float = 0.43
-    max_languages: int = 1000
+    #: Languages with a reference: those of most documents, of equals the first by name.
+    max_languages: int = 500
 
 
 def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text.
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
+    return _base_counts(texts, *split_column(pa.array(texts, pa.large_binary())))
 
-    Windows are compared by 64-bit hashes.
-    """
-    split = [t.split() for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split))
+
+def _base_counts(texts: list[bytes], words: pa.Array, index: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    n = np.diff(at)
     raw = np.frombuffer(b"".join(t + b"\n" for t in texts), np.uint8)
     starts = offsets_of(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)[:-1]
     sums = [np.add.reduceat(x[raw], starts, dtype=np.int64) for x in (~(_IS_SPACE | _IS_TAIL), _IS_SYMBOL)]
@@ -76,22 +77,26 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
         if len(lines) > len(set(lines)):
             lines = [x for x in lines if x.strip()]
             dup[i] = len(lines) - len(set(lines))
-    flat = [w for ws in split for w in ws]
-    at = offsets_of(n)
     repeated = np.zeros(len(texts), np.int64)
-    if len(flat) >= WINDOW:
-        h = np.fromiter(map(hash, flat), np.int64, len(flat)).view(np.uint64)
+    if len(index) >= WINDOW:
         owner = np.repeat(np.arange(len(texts)), n)
-        width = len(flat) - WINDOW + 1
+        width = len(index) - WINDOW + 1
         key = owner[:width].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for j in range(WINDOW):
-            key = (key + h[j : j + width]) * np.uint64(0xD6E8FEB86659FD93)
+            key = (key + index[j : j + width].view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(32)
         whole = np.flatnonzero(owner[:width] == owner[WINDOW - 1 :])
-        order = whole[np.argsort(key[whole])]
-        same = key[order[1:]] == key[order[:-1]]
-        twice = np.zeros(len(flat) + 1, np.int64)
-        hit = np.unique(np.concatenate([order[1:][same], order[:-1][same]]))
+        order = whole[np.argsort(key[whole], kind="stable")]
+        a, b = order[:-1], order[1:]
+        same = key[a] == key[b]
+        a, b = a[same], b[same]
+        if (owner[a] != owner[b]).any() or any((index[a + j] != index[b + j]).any() for j in range(WINDOW)):  # unequal windows of one key
+            number = np.unique(np.column_stack([owner[whole], *(index[whole + j] for j in range(WINDOW))]), axis=0, return_inverse=True)[1].ravel()
+            order = whole[np.argsort(number, kind="stable")]
+            same = np.diff(np.sort(number)) == 0
+            a, b = order[:-1][same], order[1:][same]
+        twice = np.zeros(len(index) + 1, np.int64)
+        hit = np.unique(np.concatenate([a, b]))
         twice[hit] += 1
         np.subtract.at(twice, hit + WINDOW, 1)
         covered = offsets_of(np.cumsum(twice)[:-1] > 0)
@@ -120,11 +125,13 @@ class References:
     words: np.ndarray
 
 
-def _with_language(docs: DataFrame) -> DataFrame:
-    return docs.where(F.col("lang").isNotNull()).select("lang", utf8(F.col("text")).alias("_text"))
+def _with_language(docs: DataFrame, p: Params) -> DataFrame:
+    had = docs.where(F.col("lang").isNotNull())
+    names = [r.lang for r in had.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.max_languages).collect()]
+    return had.where(F.col("lang").isin(names)).select("lang", utf8(F.col("text")).alias("_text"))
 
 
-def _common_words(docs: DataFrame, p: Params) -> dict[str, set[bytes]]:
+def _common_words(had: DataFrame, p: Params) -> dict[str, set[bytes]]:
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
         size: Counter = Counter()
@@ -145,20 +152,19 @@ def _common_words(docs: DataFrame, p: Params) -> dict[str, set[bytes]]:
         for lang in list(size):
             yield closed(lang)
 
-    sums = _with_language(docs).mapInArrow(tidy(fold), ddl(_WORDS)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sums = had.mapInArrow(tidy(fold), ddl(_WORDS)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     total = sums.where(F.length("word") == 0).select("lang", F.col("n").alias("total"))
     often = sums.where(F.length("word") > 0).join(total, "lang").where(F.col("n") >= p.common_share * F.col("total"))
     out: dict[str, set[bytes]] = defaultdict(set)
     for r in often.select("lang", "word").toLocalIterator():
         out[r.lang].add(bytes(r.word))
-    if len(out) > p.max_languages:
-        raise ValueError(f"{len(out)} languages; max_languages is {p.max_languages}")
     return out
 
 
 def references(docs: DataFrame, p: Params = Params()) -> References:
-    """Histograms of every language over all rows with a language and a word."""
-    maybe = _common_words(docs, p)
+    """Histograms of every language over all rows with a language and a word (see ``max_languages``)."""
+    had = _with_language(docs, p)
+    maybe = _common_words(had, p)
     column = {w: i for i, w in enumerate(sorted(set().union(*maybe.values())))} if maybe else {}
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +183,7 @@ def references(docs: DataFrame, p: Params = Params()) -> References:
                 at = np.flatnonzero(x)
                 yield arrow(_HISTOGRAM, lang=[lang] * len(at), kind=np.full(len(at), kind, np.int32), place=at.astype(np.int32), n=x[at])
 
-    got = _with_language(docs).mapInArrow(tidy(fold), ddl(_HISTOGRAM)).groupBy("lang", "kind", "place").agg(F.sum("n").alias("n")).collect()
+    got = had.mapInArrow(tidy(fold), ddl(_HISTOGRAM)).groupBy("lang", "kind", "place").agg(F.sum("n").alias("n")).collect()
     names = tuple(sorted(maybe))
     chars, words = np.zeros((len(names), len(CLASSES))), np.zeros((len(names), len(column) + 1))
     for r in got:
@@ -209,17 +215,35 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((part(p) + part(q)) / 2, 0, 1))
 
 
+def nearest(p: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """Distance of each distribution to the nearest reference, one reference at a time."""
+    out = np.full(len(p), np.inf)
+    for q in references:
+        np.minimum(out, distance(p, q), out=out)
+    return out
+
+
+#: Counts of word histograms held at once.
+_CELLS = 1 << 21
+
+
 def measure(texts: list[bytes], r: References, p: Params) -> dict[str, np.ndarray]:
     """Base counts, distances to the nearest reference of each kind, and the verdicts."""
-    out = base_counts(texts)
+    words, index, offsets = split_column(pa.array(texts, pa.large_binary()))
+    out = _base_counts(texts, words, index, offsets)
     n = out["n_words"]
     histograms = char_histograms(texts)
     n_chars = histograms.sum(1)
     char_d, word_d = np.zeros(len(texts)), np.zeros(len(texts))
     if r.languages:
-        char_d = distance(_shares(histograms)[:, None, :], r.chars[None]).min(1)
-        words = np.array([_word_histogram(t.lower().split(), r.column) for t in texts])
-        word_d = distance(_shares(words)[:, None, :], r.words[None]).min(1)
+        char_d = nearest(_shares(histograms), r.chars)
+        get, other = r.column.get, len(r.column)
+        column = np.array([get(w.lower(), other) for w in words.to_numpy(zero_copy_only=False).tolist()], np.int64)[index] if len(words) else index
+        some = max(1, _CELLS // (other + 1))
+        for s in range(0, len(texts), some):
+            e = min(s + some, len(texts))
+            own = np.repeat(np.arange(e - s), n[s:e]) * (other + 1) + column[offsets[s] : offsets[e]]
+            word_d[s:e] = nearest(_shares(np.bincount(own, minlength=(e - s) * (other + 1)).reshape(e - s, -1)), r.words)
     failed = (n < p.least_words) | (100 * out["n_repeat_words"] > p.most_repeated * n)
     far = (n_chars >= p.guard_chars) & (char_d > p.max_char_distance) | (n >= p.guard_words) & (word_d > p.max_word_distance)
     return out | {"char_distance": char_d, "word_distance": word_d, "base_failed": failed, "kept": ~failed & ~far}
