@@ -102,6 +102,8 @@ def packed_sequences(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokens.byte_bpe(p.tokenizer)
+        if bpe.end > 0xFFFF:
+            raise ValueError(f"ids up to {bpe.end} don't fit in 16 bits")
         place = TaskContext.get().partitionId() << 33
         end = np.array([bpe.end], np.uint16)
         for b in batches:
