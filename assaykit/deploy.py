@@ -26,3 +26,16 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(root.parent))
     sc.addPyFile(name)
     _sent.add(sc.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a temporary one; a cluster has none, which is an error.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if where:
+        return where
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="assaykit-shared-")

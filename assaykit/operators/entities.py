@@ -13,6 +13,7 @@ from assaykit.functions import material as mt
 from assaykit.functions import symbolic as sy
 from assaykit.functions import text as tx
 from assaykit.functions.lexicon import DICTIONARY_TYPES, GREEK, NAMED_MATERIALS
+from assaykit.operators.lookup import lookup_join
 
 _FORMULA_LIKE = rf"((?:[A-Z][0-9A-Za-z{GREEK}()+-]*){{2,}})"
 
@@ -24,7 +25,7 @@ def dictionary_normal(entities: DataFrame, forms: DataFrame) -> DataFrame:
     case only, the last form in alphabetical order holds.
     """
     keyed = forms.where(F.col("type").isin(*DICTIONARY_TYPES)).groupBy("type", F.upper("entity").alias("_key")).agg(F.max("most_common").alias("_form"))
-    return entities.withColumn("_key", F.upper("entity")).join(keyed, ["type", "_key"], "left").withColumn("normal", F.coalesce("_form", "entity")).drop("_key", "_form")
+    return lookup_join(entities.withColumn("_key", F.upper("entity")), keyed, ["type", "_key"]).withColumn("normal", F.coalesce("_form", "entity")).drop("_key", "_form")
 
 
 def abbreviations(materials: DataFrame, sentences: DataFrame) -> DataFrame:
@@ -155,13 +156,16 @@ def normalize_materials(mentions: DataFrame, lookup: DataFrame, solved: DataFram
 
 def normalize_documents(entities: DataFrame, docs: DataFrame, forms: DataFrame, lookup: DataFrame) -> DataFrame:
     """(doc_id, sent_id, ent_pos, type, entity, normal array, method) of concatenated entities: materials by the cascade, others by dictionary."""
-    keyed = entities.withColumn("mention_id", F.concat_ws(":", "doc_id", "sent_id", "ent_pos"))
-    materials = keyed.where("type = 'MAT'").withColumnRenamed("entity", "material")
+    materials = entities.where("type = 'MAT'").withColumnRenamed("entity", "material")
     text = docs.select("doc_id", "text")
     sents = text.join(materials.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sent_id", "sentence"))
     numbered = materials.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id", "ent_pos")).alias("pos"), "material")
     solved = abbreviations(numbered, sents)
-    mats = normalize_materials(materials.join(text, "doc_id"), lookup, solved).withColumnRenamed("material", "entity")
-    others = dictionary_normal(keyed.where("type <> 'MAT'"), forms).withColumns({"normal": F.array("normal"), "method": F.lit("dictionary")})
+    # a document's mentions of one material have one normal form: each is looked for once
+    once = materials.select("doc_id", "material").distinct().withColumn("mention_id", F.concat_ws(":", "doc_id", "material"))
+    known = normalize_materials(once.withColumnRenamed("material", "_as").withColumn("material", F.col("_as")).join(text, "doc_id"), lookup, solved)
+    shown = known.select("doc_id", F.col("_as").alias("material"), F.col("material").alias("entity"), "normal", "method")
+    mats = materials.join(shown, ["doc_id", "material"])
+    others = dictionary_normal(entities.where("type <> 'MAT'"), forms).withColumns({"normal": F.array("normal"), "method": F.lit("dictionary")})
     cols = ["doc_id", "sent_id", "ent_pos", "type", "entity", "normal", "method"]
     return mats.select(*cols).unionByName(others.select(*cols))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as tx
+from assaykit.operators.lookup import lookup_join
 
 
 def phrase_scores(sentences: DataFrame, tokens: str = "tokens", min_count: int = 5) -> DataFrame:
     """(a, b, n, score) of adjacent words: (n - min_count) * vocabulary / (n_a * n_b)."""
-    words = sentences.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(tokens) - 2), lambda i: F.struct(F.get(tokens, i).alias("a"), F.get(tokens, i + 1).alias("b")))
-    two = sentences.where(F.size(tokens) > 1).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    size = words.agg(F.count("*").alias("size")).first()["size"]
-    a = words.select(F.col("w").alias("a"), F.col("n").alias("na"))
-    b = words.select(F.col("w").alias("b"), F.col("n").alias("nb"))
-    return two.join(a, "a").join(b, "b").select("a", "b", "n", ((F.col("n") - min_count) * size / (F.col("na") * F.col("nb"))).alias("score"))
+    # every token is the first of one pair, so counts of pairs give those of words: the text is read once
+    pairs = F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.struct(F.get(tokens, i).alias("a"), F.get(tokens, i + 1).alias("b")))
+    two = sentences.where(F.size(tokens) > 0).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)
+    words = two.groupBy(F.col("a").alias("w")).agg(F.sum("n").alias("n")).persist(StorageLevel.DISK_ONLY)
+    size = words.count()
+    often = words.where(F.col("n") >= min_count)  # a word is as frequent as its pairs
+    a = often.select(F.col("w").alias("a"), F.col("n").alias("na"))
+    b = often.select(F.col("w").alias("b"), F.col("n").alias("nb"))
+    found = lookup_join(lookup_join(two.where(F.col("b").isNotNull() & (F.col("n") >= min_count)), a, "a", "inner"), b, "b", "inner")
+    return found.select("a", "b", "n", ((F.col("n") - min_count) * size / (F.col("na") * F.col("nb"))).alias("score"))
 
 
 def learn_phrases(sentences: DataFrame, tokens: str = "tokens", min_count: int = 5, threshold: float = 10.0, max_phrases: int = 100_000) -> Column:

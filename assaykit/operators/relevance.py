@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as tx
+from assaykit.operators.lookup import lookup_join
 
 
 def preprocess(text: Column) -> Column:
@@ -26,10 +28,10 @@ def tf_idf(tokens: DataFrame, column: str = "tok", stop_words: tuple[str, ...] =
     joined back, not a window over all its rows.
     """
     own = tokens.where(~F.col(column).isin(*stop_words)) if stop_words else tokens
-    tf = own.groupBy("doc_id", F.col(column).alias("tok")).agg(F.count("*").alias("tf"))
-    n = own.select("doc_id").distinct().count()
+    tf = own.groupBy("doc_id", F.col(column).alias("tok")).agg(F.count("*").alias("tf")).persist(StorageLevel.DISK_ONLY)
+    n = tf.select("doc_id").distinct().count()
     df = tf.groupBy("tok").agg(F.count("*").alias("df"))
-    raw = tf.join(df, "tok").withColumn("_w", F.col("tf") * (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1))
+    raw = lookup_join(tf, df, "tok", "inner").withColumn("_w", F.col("tf") * (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1))
     length = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
     return raw.join(length, "doc_id").select("doc_id", "tok", "tf", "df", (F.col("_w") / F.col("_l")).alias("weight"))
 

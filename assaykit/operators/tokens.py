@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as tx
+from assaykit.operators.lookup import lookup_join
 
 
 def explode_tokens(docs: DataFrame, tokens: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -22,13 +24,14 @@ def vocabulary(tokens: DataFrame, column: str = "tok") -> DataFrame:
     """Distinct values with ids from 0 in alphabetical order: words, tags or characters alike.
 
     Ids are ranks within range partitions plus the sizes of those before, so no single task
-    sorts the vocabulary.
+    sorts the vocabulary.  The ranges are computed once: ranks and sizes are of the same ones.
     """
     ranged = tokens.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column)
-    marked = ranged.withColumn("_part", F.spark_partition_id())
+    marked = ranged.withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     sizes = marked.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    # one row for each partition is broadcast
     return marked.withColumn("_rank", rank).join(F.broadcast(before), "_part").select(column, (F.col("_rank") + F.col("_before")).cast("long").alias("idx"))
 
 
@@ -46,18 +49,19 @@ def union_vocabularies(*tables: DataFrame) -> DataFrame:
 def encode(tokens: DataFrame, vocab: DataFrame, unknown: int | None = None, lowercase: bool = True) -> DataFrame:
     """``tokens`` with word_id of (tok, idx); words not in it get ``unknown``, or are an error if that is None."""
     key = tokens.withColumn("_key", tx.number_word(F.col("tok"), lowercase))
-    found = key.join(vocab.select(F.col("tok").alias("_key"), F.col("idx").alias("_idx")), "_key", "left")
+    found = lookup_join(key, vocab.select(F.col("tok").alias("_key"), F.col("idx").alias("_idx")), "_key")
     missing = F.raise_error(F.concat(F.lit("unknown word: "), F.col("_key"))) if unknown is None else F.lit(unknown)
     return found.withColumn("word_id", F.coalesce("_idx", missing.cast("long"))).drop("_key", "_idx")
 
 
 def encode_characters(tokens: DataFrame, chars: DataFrame) -> DataFrame:
     """(doc_id, sent_id, pos, char_ids): ids in the order of the word's characters; those not in (ch, idx) are left out."""
-    keys = ["doc_id", "sent_id", "pos"]
-    own = tokens.select(*keys, F.posexplode(F.split("tok", "")).alias("at", "ch")).where("ch <> ''").join(chars, "ch")
-    ids = own.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "idx"))).alias("_ids"))
+    words = tokens.select("tok").distinct()  # each word is spelled once
+    own = lookup_join(words.select("tok", F.posexplode(F.split("tok", "")).alias("at", "ch")).where("ch <> ''"), chars, "ch", "inner")
+    ids = own.groupBy("tok").agg(F.array_sort(F.collect_list(F.struct("at", "idx"))).alias("_ids"))
+    spelled = ids.select("tok", F.transform("_ids", lambda x: x["idx"]).alias("char_ids"))
     none = F.array().cast("array<long>")
-    return tokens.select(*keys).join(ids.select(*keys, F.transform("_ids", lambda x: x["idx"]).alias("char_ids")), keys, "left").withColumn("char_ids", F.coalesce("char_ids", none))
+    return lookup_join(tokens.select("doc_id", "sent_id", "pos", "tok"), spelled, "tok").drop("tok").withColumn("char_ids", F.coalesce("char_ids", none))
 
 
 def minibatches(rows: DataFrame, order: str, size: int, within: tuple[str, ...] = ()) -> DataFrame:
@@ -67,7 +71,7 @@ def minibatches(rows: DataFrame, order: str, size: int, within: tuple[str, ...]
     """
     if within:
         return rows.withColumn("batch_id", F.floor((F.row_number().over(Window.partitionBy(*within).orderBy(order)) - 1) / size).cast("long"))
-    marked = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
+    marked = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     sizes = marked.groupBy("_part").count()
     before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from assaykit.functions import symbolic as sy
 from assaykit.functions import text as tx
 from assaykit.operators import embed, entities, evaluate, iob, phrases, relevance, tagger
 from assaykit.operators import tokens as tk
-from assaykit.plans.inputs import METALS, PARSED_SQL, TOKENS_SQL, materials, read, tagged, tagged_sql, tokens
+from assaykit.plans.inputs import METALS, PARSED_SQL, TOKEN, TOKENS_SQL, materials, read, tagged, tagged_sql, tokens
+from assaykit.plans.ner import Tagger
 from assaykit.sources import formats, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,10 +74,17 @@ def character_vocabulary(spark, d):
     return tk.characters(tokens(spark, d))
 
 
-@query("vocabulary_union", _with(TOKENS_SQL) + "SELECT DISTINCT tok FROM tok WHERE doc_id % 2 = 0 UNION SELECT DISTINCT tok FROM tok WHERE doc_id % 3 = 0")
+_ITEM_TOKENS_SQL = r"item AS (SELECT unnest(regexp_extract_all(text, '[\p{L}]+|[0-9]+|[^\p{L}0-9\s]')) AS tok FROM benchmark)"
+
+
+def _item_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """(tok): of all benchmark items."""
+    return read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("tok"))
+
+
+@query("vocabulary_union", _with(TOKENS_SQL, _ITEM_TOKENS_SQL) + "SELECT tok FROM tok UNION SELECT tok FROM item")
 def vocabulary_union(spark, d):
-    t = tokens(spark, d)
-    return tk.union_vocabularies(t.where("doc_id % 2 = 0").select("tok").distinct(), t.where("doc_id % 3 = 0").select("tok").distinct())
+    return tk.union_vocabularies(tokens(spark, d).select("tok").distinct(), _item_tokens(spark, d).distinct())
 
 
 _PUNCT_SQL = "(" + ", ".join("'" + ("''" if c == "'" else c) + "'" for c in lx.PUNCTUATION) + ")"
@@ -144,34 +153,34 @@ def units_and_valences_split(spark, d):
 
 @query(
     "word_ids",
-    _with(TOKENS_SQL, "v AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS idx FROM (SELECT DISTINCT CASE WHEN regexp_full_match(tok, '[0-9]+') THEN '$NUM$' ELSE lower(tok) END AS w FROM tok WHERE doc_id % 2 = 0))")
+    _with(TOKENS_SQL, _ITEM_TOKENS_SQL, "v AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS idx FROM (SELECT DISTINCT CASE WHEN regexp_full_match(tok, '[0-9]+') THEN '$NUM$' ELSE lower(tok) END AS w FROM item))")
     + "SELECT doc_id, sum(coalesce(idx, -1))::BIGINT AS id_sum, count(*) FILTER (idx IS NULL) AS n_unknown FROM tok LEFT JOIN v ON w = CASE WHEN regexp_full_match(tok, '[0-9]+') THEN '$NUM$' ELSE lower(tok) END GROUP BY doc_id",
 )
 def word_ids(spark, d):
-    t = tokens(spark, d)
-    vocab = tk.vocabulary(t.where("doc_id % 2 = 0").select(tx.number_word(F.col("tok")).alias("tok")))
-    return tk.encode(t, vocab, unknown=-1).groupBy("doc_id").agg(F.sum("word_id").alias("id_sum"), F.count_if(F.col("word_id") == -1).alias("n_unknown"))
+    """All documents by the vocabulary of all benchmark items."""
+    vocab = tk.vocabulary(_item_tokens(spark, d).select(tx.number_word(F.col("tok")).alias("tok")))
+    return tk.encode(tokens(spark, d), vocab, unknown=-1).groupBy("doc_id").agg(F.sum("word_id").alias("id_sum"), F.count_if(F.col("word_id") == -1).alias("n_unknown"))
 
 
 @query(
     "character_ids",
-    _with(TOKENS_SQL, "c AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS idx FROM (SELECT DISTINCT unnest(string_split(tok, '')) AS ch FROM tok WHERE doc_id % 2 = 0))", "u AS (SELECT doc_id, unnest(string_split(tok, '')) AS ch FROM tok)")
+    _with(TOKENS_SQL, _ITEM_TOKENS_SQL, "c AS (SELECT ch, row_number() OVER (ORDER BY ch) - 1 AS idx FROM (SELECT DISTINCT unnest(string_split(tok, '')) AS ch FROM item))", "u AS (SELECT doc_id, unnest(string_split(tok, '')) AS ch FROM tok)")
     + "SELECT doc_id, count(*) AS n_ids, sum(idx)::BIGINT AS id_sum FROM u JOIN c USING (ch) GROUP BY doc_id",
 )
 def character_ids(spark, d):
-    t = tokens(spark, d)
-    ids = tk.encode_characters(t, tk.characters(t.where("doc_id % 2 = 0")))
+    """All documents by the characters of all benchmark items."""
+    ids = tk.encode_characters(tokens(spark, d), tk.characters(_item_tokens(spark, d)))
     one = ids.select("doc_id", F.explode("char_ids").alias("i"))
     return one.groupBy("doc_id").agg(F.count("*").alias("n_ids"), F.sum("i").alias("id_sum"))
 
 
 @query(
     "padded_batches",
-    """WITH b AS (SELECT conv_id, turn, length(text) % 7 + 1 AS n, (row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1) // 32 AS batch_id FROM conversations)
+    r"""WITH b AS (SELECT conv_id, turn, coalesce(len(regexp_extract_all(text, '[\p{L}]+|[0-9]+|[^\p{L}0-9\s]')), 0) AS n, (row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1) // 32 AS batch_id FROM conversations)
     SELECT conv_id, turn, batch_id, n, max(n) OVER (PARTITION BY batch_id) AS padded FROM b""",
 )
 def padded_batches(spark, d):
-    c = read(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.sequence(F.lit(1), (F.length("text") % 7 + 1).cast("int")).alias("ids"))
+    c = read(spark, d, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)), F.length).alias("ids"))
     out = tk.padded(tk.minibatches(c, "k", 32), "ids", "batch_id", F.lit(0))
     return out.select("conv_id", "turn", "batch_id", F.col("n").cast("long").alias("n"), F.size("ids").cast("long").alias("padded"))
 
@@ -301,9 +310,9 @@ def _emoji_sql() -> str:
     return e
 
 
-@query("emoji_codec", _with(PARSED_SQL) + f"SELECT p_partkey, {_emoji_sql()} AS coded, formula AS decoded FROM mat WHERE p_partkey % 8 < 6")
+@query("emoji_codec", _with(PARSED_SQL) + f"SELECT p_partkey, {_emoji_sql()} AS coded, formula AS decoded FROM mat")
 def emoji_codec(spark, d):
-    m = materials(spark, d).where("p_partkey % 8 < 6").withColumn("coded", tx.emojify(_f()))
+    m = materials(spark, d).withColumn("coded", tx.emojify(_f()))
     return m.select("p_partkey", "coded", tx.unemojify(F.col("coded")).alias("decoded"))
 
 
@@ -345,11 +354,11 @@ _HOST = _with(PARSED_SQL)
 @query(
     "additives_separated",
     _HOST
-    + """, s AS (SELECT p_partkey, formula AS host, string_split('Nb Er Yb Eu Al', ' ')[p_size % 5 + 1] AS a FROM mat WHERE p_partkey % 8 < 6)
-    SELECT p_partkey, host AS material, a AS additives FROM s""",
+    + """, s AS (SELECT p_partkey, formula AS host, string_split('Nb Er Yb Eu Al', ' ')[p_size % 5 + 1] AS a FROM mat)
+    SELECT p_partkey, regexp_replace(host, '[(]$', '') AS material, a AS additives FROM s""",
 )
 def additives_separated(spark, d):
-    m = materials(spark, d).where("p_partkey % 8 < 6")
+    m = materials(spark, d)
     a = F.get(F.split(F.lit("Nb Er Yb Eu Al"), " "), F.col("p_size") % 5)
     k = (F.col("p_partkey") / 8).cast("long") % 4
     s = (
@@ -360,10 +369,10 @@ def additives_separated(spark, d):
 
 @query(
     "dopant_phrases",
-    _HOST + "SELECT p_partkey, formula AS material, CASE (p_partkey // 8) % 2 WHEN 0 THEN 'Nb' ELSE 'Er and Yb' END AS dopants FROM mat WHERE p_partkey % 8 < 6",
+    _HOST + "SELECT p_partkey, regexp_replace(formula, '[(]$', '') AS material, CASE (p_partkey // 8) % 2 WHEN 0 THEN 'Nb' ELSE 'Er and Yb' END AS dopants FROM mat",
 )
 def dopant_phrases(spark, d):
-    m = materials(spark, d).where("p_partkey % 8 < 6")
+    m = materials(spark, d)
     k = (F.col("p_partkey") / 8).cast("long") % 2
     s = F.when(k == 0, F.concat(F.lit("Nb-coated "), _f())).otherwise(F.concat(_f(), F.lit(" doped with Er and Yb")))
     return m.select("p_partkey", mt.get_dopants(s).alias("s")).select("p_partkey", "s.material", F.array_join("s.dopants", ",").alias("dopants"))
@@ -371,10 +380,11 @@ def dopant_phrases(spark, d):
 
 @query(
     "cleaned_names",
-    _HOST + "SELECT p_partkey, CASE p_partkey // 8 % 5 WHEN 2 THEN formula || '·2H2O' WHEN 4 THEN NULL ELSE formula END AS cleaned FROM mat WHERE p_partkey % 8 < 6",
+    _HOST + """SELECT p_partkey, CASE p_partkey // 8 % 5 WHEN 2 THEN formula || '·2H2O' || CASE WHEN formula LIKE '%(' THEN ')' ELSE '' END WHEN 4 THEN NULL
+        ELSE CASE WHEN regexp_full_match(formula, '[0-9]+') THEN NULL WHEN formula LIKE '%(' THEN formula || ')' ELSE formula END END AS cleaned FROM mat""",
 )
 def cleaned_names(spark, d):
-    m = materials(spark, d).where("p_partkey % 8 < 6")
+    m = materials(spark, d)
     k = (F.col("p_partkey") / 8).cast("long") % 5
     s = (
         F.when(k == 0, F.concat(_f(), F.lit(" nanopowder")))
@@ -458,10 +468,10 @@ def variable_values(spark, d):
 
 @query(
     "variable_elements",
-    f"SELECT p_partkey, string_split('{METALS}', ' ')[p_partkey % 10 + 1] || ',Zr' AS elements FROM part WHERE p_partkey % 10 <> 9",
+    f"SELECT p_partkey, string_split('{METALS}', ' ')[p_partkey % 10 + 1] || ',Zr' AS elements FROM part",
 )
 def variable_elements(spark, d):
-    p = read(spark, d, "part").where("p_partkey % 10 <> 9")
+    p = read(spark, d, "part")
     s = F.concat(F.lit("AO2 (A = "), F.get(F.split(F.lit(METALS), " "), (F.col("p_partkey") % 10).cast("int")), F.lit("4+, Zr, foo) was made"))
     return p.select("p_partkey", F.array_join(mt.element_values(F.lit("A"), s), ",").alias("elements"))
 
@@ -665,6 +675,16 @@ def summary_documents(spark, d):
     return s.select("doc_id", F.size("entities").alias("n_types"), F.size("tokens").alias("n_sentences"), F.size(F.flatten("tokens")).alias("n_tokens"))
 
 
+@query("documents_normalized")
+def documents_normalized(spark, d):
+    """Documents from text to normal forms: tagged, concatenated, materials by the cascade and others by dictionary."""
+    z = spark.createDataFrame(sorted(_GAZ.items()), "tok string, type string")
+    forms = spark.createDataFrame([("DSC", "the", "the"), ("PRO", "la", "la"), ("PRO", "DE", "de"), ("APL", "que", "que")], "type string, entity string, most_common string")
+    lookup = spark.createDataFrame([("der", "Fe2O3"), ("die", "TiO2")], "material string, formula string")
+    out = Tagger(gazetteer=z).as_normalized(_docs(spark, d).where("text IS NOT NULL"), forms, lookup)
+    return out.groupBy("type", F.array_join("normal", ",").alias("normal"), "method").agg(F.count("*").alias("n"))
+
+
 @query("mention_rollup", _CONCAT_SQL + "SELECT type, entity, count(*) AS mentions FROM ents WHERE type <> 'O' GROUP BY ROLLUP (type, entity)")
 def mention_rollup(spark, d):
     return iob.mention_rollup(iob.concatenate(tagged(spark, d))).drop("documents")
@@ -678,9 +698,9 @@ n AS (SELECT type, upper(replace(entity, 'ß', 'ss')) AS k, count(*) AS c, max(l
 @query("entities_normalized", _FORMS + "SELECT e.type, coalesce(form, entity) AS normal, count(*) AS n FROM ents e LEFT JOIN n ON n.type = e.type AND n.k = upper(replace(entity, 'ß', 'ss')) GROUP BY ALL")
 def entities_normalized(spark, d):
     """Entities with the forms that are found at least three times as their dictionary."""
-    e = iob.concatenate(tagged(spark, d))
-    forms = e.where(F.col("type").isin(*lx.DICTIONARY_TYPES)).groupBy("type", F.upper("entity").alias("entity")).agg(F.count("*").alias("c"), F.max(F.lower("entity")).alias("most_common"))
-    return entities.dictionary_normal(e, forms.where("c >= 3").drop("c")).groupBy("type", "normal").agg(F.count("*").alias("n"))
+    e = iob.concatenate(tagged(spark, d)).groupBy("type", "entity").agg(F.count("*").alias("n")).persist(StorageLevel.DISK_ONLY)
+    forms = e.where(F.col("type").isin(*lx.DICTIONARY_TYPES)).groupBy("type", F.upper("entity").alias("entity")).agg(F.sum("n").alias("c"), F.max(F.lower("entity")).alias("most_common"))
+    return entities.dictionary_normal(e, forms.where("c >= 3").drop("c")).groupBy("type", "normal").agg(F.sum("n").alias("n"))
 
 
 _EVAL = _with(TOKENS_SQL, tagged_sql("g"), tagged_sql("p", 3), _chunks_sql("g", "cg"), _chunks_sql("p", "cp"), "hit AS (SELECT * FROM cg INTERSECT SELECT * FROM cp)")
@@ -731,7 +751,7 @@ def trained_tags(spark, d):
     t = tagger.gazetteer_tags(tokens(spark, d), z)
     s = t.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "tag"))).alias("t"))
     s = s.select("doc_id", "sent_id", F.transform("t", lambda x: x["tok"]).alias("words"), F.transform("t", lambda x: x["tag"]).alias("tags"))
-    out = tagger.tag_arrays(s, tagger.train_tagger(s, epochs=1))
+    out = tagger.tag_arrays(s, tagger.train_tagger(s))
     right = F.aggregate(F.zip_with("tags", "predicted", lambda a, b: (a == b).cast("int")), F.lit(0), lambda x, y: x + y)
     return out.select("doc_id", "sent_id", F.size("words").alias("n"), right.alias("n_right"))
 
@@ -742,13 +762,13 @@ def trained_tags(spark, d):
 @query(
     "tf_idf",
     _with(
-        TOKENS_SQL, "w AS (SELECT doc_id, lower(tok) AS tok FROM tok WHERE length(tok) > 3)", "tf AS (SELECT doc_id, tok, count(*) AS tf FROM w GROUP BY ALL)", "df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok)",
+        TOKENS_SQL, "w AS (SELECT doc_id, lower(tok) AS tok FROM tok)", "tf AS (SELECT doc_id, tok, count(*) AS tf FROM w GROUP BY ALL)", "df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok)",
         "x AS (SELECT *, tf * (ln((1.0 + (SELECT count(DISTINCT doc_id) FROM w)) / (1 + df)) + 1) AS v FROM tf JOIN df USING (tok))", "l AS (SELECT doc_id, sqrt(sum(v * v)) AS l FROM x GROUP BY doc_id)",
     )
     + "SELECT doc_id, tok, tf, df, round(v / l, 6) AS weight FROM x JOIN l USING (doc_id)",
 )
 def tf_idf(spark, d):
-    w = tokens(spark, d).where(F.length("tok") > 3).select("doc_id", F.lower("tok").alias("tok"))
+    w = tokens(spark, d).select("doc_id", F.lower("tok").alias("tok"))
     return relevance.tf_idf(w).withColumn("weight", F.round("weight", 6))
 
 
@@ -756,7 +776,7 @@ def tf_idf(spark, d):
 def relevance_classified(spark, d):
     """TF-IDF and logistic regression: learned from labelled documents, applied to all."""
     docs, labels = _docs(spark, d).select("doc_id", "text"), read(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
-    model, _ = relevance.train(docs.join(labels, "doc_id"), vocabulary=4096)
+    model, _ = relevance.train(docs.join(labels, "doc_id"))
     return relevance.classify(docs, model).select("doc_id", F.round("probability", 6).alias("probability"), "relevant")
 
 
@@ -822,27 +842,35 @@ def mentioned_with(spark, d):
 
 @query("word_vectors")
 def word_vectors(spark, d):
-    """Vectors trained on the corpus of all documents."""
+    """Vectors trained on the corpus of all documents; a part for every 20,000 of them."""
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
     s = _docs(spark, d).where("text IS NOT NULL").select(tx.tokenize(F.col("text"), keep_sentences=False).alias("tokens"))
-    model = Word2Vec(vectorSize=16, minCount=20, maxIter=1, seed=7, inputCol="tokens", outputCol="v", numPartitions=1).fit(s)
-    return model.getVectors().select("word")
+    parts = max(1, -(-s.count() // 20_000))
+    model = Word2Vec(vectorSize=100, minCount=5, seed=7, inputCol="tokens", outputCol="v", numPartitions=parts).fit(s)
+    return model.getVectors().select("word", vector_to_array("vector").alias("vec"))
 
 
 # stores -----------------------------------------------------------------------------------------
 
 
-@query("upserted", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+_STORES = "SELECT doc_id, CASE WHEN {} THEN 'new' ELSE 'old' END AS version FROM (SELECT doc_id, true AS o FROM documents) FULL JOIN (SELECT doc_id, true AS n FROM labels) USING (doc_id)"
+
+
+def _stores(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All documents as an old store and all labelled ones as a new one."""
+    return tuple(read(spark, d, t).select("doc_id").withColumn("version", F.lit(v)) for t, v in (("documents", "old"), ("labels", "new")))
+
+
+@query("upserted", _STORES.format("n"))
 def upserted(spark, d):
-    docs = _docs(spark, d).select("doc_id")
-    return tk.upsert(docs.where("doc_id % 2 = 0").withColumn("version", F.lit("old")), docs.where("doc_id % 3 = 0").withColumn("version", F.lit("new")), "doc_id", override=True)
+    return tk.upsert(*_stores(spark, d), "doc_id", override=True)
 
 
-@query("upsert_missing_only", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS version FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+@query("upsert_missing_only", _STORES.format("o IS NULL"))
 def upsert_missing_only(spark, d):
-    docs = _docs(spark, d).select("doc_id")
-    return tk.upsert(docs.where("doc_id % 2 = 0").withColumn("version", F.lit("old")), docs.where("doc_id % 3 = 0").withColumn("version", F.lit("new")), "doc_id", override=False)
+    return tk.upsert(*_stores(spark, d), "doc_id", override=False)
 
 
 @query("abstracts_selected", "SELECT event_id, year(ts) AS year FROM events WHERE event_id IN (1, 5, 9, 11) AND year(ts) < 2100 + 1")
@@ -889,15 +917,15 @@ def registered_models(spark, d):
 @query("streamed_mentions")
 def streamed_mentions(spark, d):
     """Documents as a stream: tagged without state, counted by window, read to the end."""
-    import tempfile
     import uuid
 
+    from assaykit.deploy import shared_folder
     from assaykit.streaming.entities import entity_stream, windowed_mentions
 
     schema = _docs(spark, d).schema
     stream = spark.readStream.schema(schema).parquet(f"{d}/documents.parquet*").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 3600))
     name = f"mentions_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="assaykit-stream-")
+    shared = shared_folder(spark)
     counted = windowed_mentions(entity_stream(stream, _GAZ, ("doc_id", "ts")))
     q = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()

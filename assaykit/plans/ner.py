@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,4 +45,6 @@ class Tagger:
         return iob.summary_documents(self.as_iob(docs))
 
     def as_normalized(self, docs: DataFrame, forms: DataFrame, lookup: DataFrame) -> DataFrame:
-        return entities.normalize_documents(self.as_concatenated(docs), docs, forms, lookup)
+        """Normal forms of all entities; those are computed once, as several steps read them."""
+        found = self.as_concatenated(docs).persist(StorageLevel.DISK_ONLY)
+        return entities.normalize_documents(found, docs, forms, lookup)
