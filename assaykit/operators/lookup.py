@@ -14,7 +14,7 @@ def lookup_join(rows: DataFrame, table: DataFrame, on: str | list[str], how: str
     """``rows`` joined with ``table``, whose keys are distinct.
 
     The table is computed once and counted.  Up to ``most`` rows it is broadcast, so that rows of
-    a frequent word are never gathered in one task; a larger one is joined by a shuffle, whose
+    a frequent word are never gathered in one task (its blocks stay on disk until the session clears its cache); a larger one is joined by a shuffle, whose
     skewed partitions Spark splits.
     """
     table = table.persist(StorageLevel.DISK_ONLY)

@@ -105,8 +105,8 @@ def _epoch(model: TagModel, data: list[tuple[list[str], list[str]]], rate: float
     return TagModel(model.tags, w, m, s, e)
 
 
-def train_tagger(sentences: DataFrame, dev: DataFrame | None = None, epochs: int = 8, decay: float = 0.9, patience: int = 4, shard: int = 20_000) -> TagModel:
-    """Learns from (words array, tags array): iterative parameter mixing over shards of some ``shard`` sentences, rate decay, early stop on ``dev``.
+def train_tagger(sentences: DataFrame, dev: DataFrame | None = None, epochs: int = 8, decay: float = 0.9, patience: int = 4, shards: int | None = None) -> TagModel:
+    """Learns from (words array, tags array): iterative parameter mixing over ``shards`` (one for 20,000 sentences, 8 at least, if not given), rate decay, early stop on ``dev``.
 
     Every epoch trains each shard from the common weights and averages; with ``dev`` the
     epoch of the best token accuracy is returned, and training ends after ``patience``
@@ -117,7 +117,7 @@ def train_tagger(sentences: DataFrame, dev: DataFrame | None = None, epochs: int
     n = len(tags)
     model = TagModel(tags, np.zeros((_FEATURES, n), np.float32), np.zeros((n, n)), np.zeros(n), np.zeros(n))
     rows = sentences.where(F.size("words") > 0).select("words", "tags")
-    shards = max(8, -(-rows.count() // shard))
+    shards = shards or max(8, -(-rows.count() // 20_000))
     # rows are dealt by number, so that copies of a sentence are spread
     rows = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).alias("_shard"), "words", "tags").persist(StorageLevel.DISK_ONLY)
     best, best_score, bad, rate = model, -1.0, 0, 1.0

@@ -43,7 +43,7 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got) == rows(want) and len(got)
 
 
-SLOW = {"relevance_classified", "word_vectors", "trained_tags", "merged_phrases"}
+SLOW = {"relevance_classified", "word_vectors", "trained_tags", "merged_phrases", "documents_normalized"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.SQL) - SLOW))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit.operators import embed, entities, evaluate, iob, relevance, tagger
+from assaykit.operators import embed, entities, evaluate, iob, lookup, phrases, relevance, tagger
 from assaykit.operators import tokens as tk
 from assaykit.plans import registry
 from assaykit.plans.ner import Tagger
@@ -246,3 +246,18 @@ def test_stream(spark, tmp_path):
     q = entity_stream(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), g).writeStream.format("memory").queryName("stream_test").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("stream_test").collect()) == batch and len(batch) == 2
+
+
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_lookup_join_is_the_same_by_shuffle(spark, most):
+    rows = spark.createDataFrame([(i, "the" if i % 3 else f"w{i}") for i in range(60)], "id long, tok string")
+    table = spark.createDataFrame([("the", 1), ("w3", 2), ("w9", 3)], "tok string, idx long")
+    got = {r.id: r.idx for r in lookup.lookup_join(rows, table, "tok", most=most).collect()}
+    assert got == {i: 1 if i % 3 else {3: 2, 9: 3}.get(i) for i in range(60)}
+    assert lookup.lookup_join(rows, table, "tok", "inner", most).count() == 42
+
+
+def test_pairs_give_counts_of_words(spark):
+    s = spark.createDataFrame([(["a", "b", "a", "b"],)] * 6 + [(["a"],), ([],)], "tokens array<string>")
+    got = {(r.a, r.b): (r.n, round(r.score, 6)) for r in phrases.phrase_scores(s).collect()}
+    assert got == {("a", "b"): (12, round(7 * 2 / (13 * 12), 6)), ("b", "a"): (6, round(1 * 2 / (13 * 12), 6))}
