@@ -8,7 +8,6 @@ conversion: ASCII case folding and white-space splitting are then single C calls
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.deploy import ship
+from assaykit.deploy import shared_folder, ship
 
 #: Bytes of text that one vectorised step works on; longer documents form a step alone.
 CHUNK_BYTES = 1 << 20
@@ -38,19 +37,6 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session (tests) gets a temporary one; a cluster has none, which is an error.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if where:
-        return where
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="assaykit-checkpoint-")
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once into the cluster's shared checkpoint folder, its lineage cut."""
     sc = df.sparkSession.sparkContext
