@@ -78,12 +78,12 @@ class Gru:
 
     # one window -----------------------------------------------------------------------
 
-    def _recur(self, x: tuple[np.ndarray, np.ndarray], fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
-        """States, and a 1, after each step; the state is zero where ``fresh``.
+    def _recur(self, table: tuple[np.ndarray, np.ndarray], x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, tuple]:
+        """States, and a 1, after each step of [step, stream] ``x``; the state is zero where ``fresh``.
 
-        ``x``: [step, stream] inputs of the gates (2 * hidden) and of the candidate (hidden).
+        ``table``: inputs of the gates (2 * hidden) and of the candidate (hidden), by the numbers in ``x``.
         """
-        gates_in, candidate_in = x
+        to_g, to_c = table
         n, (steps, streams) = self.shape.hidden, fresh.shape
         out = np.empty((steps, streams, n + 1), h.dtype)
         out[:, :, n] = 1
@@ -93,6 +93,7 @@ class Gru:
         to_gates, to_part, bn = np.ascontiguousarray(self.p["U"][:, : 2 * n]), np.ascontiguousarray(self.p["U"][:, 2 * n :]), self.p["bn"]
         some = fresh.any(1)
         states[0] = h
+        gates_in, candidate_in = np.empty((streams, 2 * n), h.dtype), np.empty((streams, n), h.dtype)
         for t in range(steps):
             before, h = (states[t], states[t + 1]) if keep else (states[t & 1], states[~t & 1])
             g, c, hn = (gates[t], candidates[t], parts[t]) if keep else (gates[0], candidates[0], parts[0])
@@ -100,12 +101,12 @@ class Gru:
                 before[fresh[t]] = 0
             np.matmul(before, to_gates, out=g)
             np.matmul(before, to_part, out=hn)
-            g += gates_in[t]
+            g += np.take(to_g, x[t], 0, out=gates_in, mode="clip")
             np.maximum(g, 0, out=g)
             np.minimum(g, 1, out=g)
             hn += bn
             np.multiply(g[:, :n], hn, out=c)
-            c += candidate_in[t]
+            c += np.take(to_c, x[t], 0, out=candidate_in, mode="clip")
             np.tanh(c, out=c)
             np.subtract(before, c, out=h)
             h *= g[:, n:]
@@ -190,7 +191,7 @@ class Gru:
             h = np.zeros((x.shape[1], self.shape.hidden), np.float32)
             for s in range(0, len(x), window):
                 cut = slice(s, s + window)
-                hs, _ = self._recur(tuple(np.take(own, x[cut], 0) for own in table), fresh[cut], h, False)
+                hs, _ = self._recur(table, x[cut], fresh[cut], h, False)
                 h = hs[-1, :, :-1]
                 own = owner[cut].ravel()
                 real = np.flatnonzero(own >= 0)
@@ -244,7 +245,7 @@ class Gru:
         number = np.empty(len(ids), np.int64)
         number[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(ids)))
         table = self._inputs(symbols)
-        hs, (before, gates, c, hn) = self._recur(tuple(np.take(own, number, 0).reshape(*x.shape, -1) for own in table), fresh, h, True)
+        hs, (before, gates, c, hn) = self._recur(table, number.reshape(x.shape), fresh, h, True)
         flat = hs.reshape(-1, n + 1)
         whole = bool(real.all())
         at = None if whole else np.flatnonzero(real.ravel())

@@ -534,7 +534,7 @@ def test_gradients_are_right():
     h = np.zeros((3, 4))
 
     def loss():
-        hs, _ = m._recur(tuple(own[x] for own in m._inputs(slice(None))), fresh, h, False)
+        hs, _ = m._recur(m._inputs(slice(None)), x, fresh, h, False)
         at = np.flatnonzero(real.ravel())
         return -m.log_probabilities(hs.reshape(-1, 5)[at].astype(np.float64), y.ravel()[at]).sum() / len(at)
 
@@ -577,7 +577,7 @@ def test_training_carries_the_state_through_long_documents(monkeypatch):
     """The state that a window starts with is that of the whole document so far, 9,000 symbols long."""
     m = gru.Gru.start(np.array([9.0, 5, 4, 3, 2, 2, 1, 1]), gru.Shape(6, 2, 3, 4, 3))
     doc = np.random.default_rng(18).integers(0, 8, 9000)
-    whole, _ = m._recur(tuple(own[np.append(0, doc[:-1])][:, None] for own in m._inputs(slice(None))), np.arange(9000)[:, None] == 0, np.zeros((1, 4), np.float32), False)
+    whole, _ = m._recur(m._inputs(slice(None)), np.append(0, doc[:-1])[:, None], np.arange(9000)[:, None] == 0, np.zeros((1, 4), np.float32), False)
     seen, was = [], gru.Gru._gradients
     monkeypatch.setattr(gru.Gru, "_gradients", lambda self, x, y, fresh, real, h, g: (seen.append(h[0]), was(self, x, y, fresh, real, h, g))[1])
     m.train([doc], streams=1, rate=0.0)
