@@ -172,6 +172,28 @@ def test_language(spark, odd, empty):
     assert none.languages == () and {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"} and langid.identify(empty, m).count() == 0
 
 
+def test_posteriors_equal_brute_force(spark):
+    rng = np.random.default_rng(22)
+    p = langid.Params(buckets=64)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdé1"), int(rng.integers(1, 6)))) for _ in range(12)), ["x", "y", "z", None][i % 4]) for i in range(60)]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), p)
+
+    def grams(t):
+        return [g for h in langid.features([t.encode()], p)[2] for g in h.tolist() if g < 64]
+
+    counts = {x: Counter(g for _, t, lang in rows if lang == x for g in grams(t)) for x in "xyz"}
+    for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), m, p).collect():
+        logs = {x: np.log(1 / 3) + sum(np.log((c[g] + p.alpha) / (c.total() + p.alpha * 64)) for g in grams(rows[r.doc_id][1])) for x, c in counts.items()}
+        best = max(logs, key=logs.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(np.exp(v - logs[best]) for v in logs.values()))
+
+
+def test_the_most_frequent_languages_are_learned(spark):
+    d = spark.createDataFrame([(i, f"text of language {i}", f"l{i // 2 if i < 8 else i}") for i in range(30)], "doc_id long, text string, lang string")
+    assert langid.fit(d, langid.Params(max_languages=5)).languages == ("l0", "l1", "l10", "l2", "l3")
+    assert quality.references(d, quality.Params(max_languages=5)).languages == ("l0", "l1", "l10", "l2", "l3")
+
+
 def test_ngrams_stay_in_their_document():
     p = langid.Params()
     together = langid.features([b"ab c", b"de"], p)
@@ -457,6 +479,33 @@ def test_attribution(spark, odd, empty, rule):
     assert f.n == pytest.approx(len(bpe.encode("de\nZwei Wörter".encode())))
 
 
+@pytest.mark.parametrize("rule", attribution.RULES)
+def test_sections_equal_brute_force(spark, rule):
+    """Every token's characters one by one, each in its line."""
+    rng = np.random.default_rng(21)
+    texts = ["".join(rng.choice(list("ab c\n\n\n.é日'"), int(rng.integers(0, 120)))) for _ in range(150)] + ["one\n\n\n\ntwo", "\n", "x\n", "a \n b"]
+    bpe = tokens.byte_bpe(attribution.Params().tokenizer)
+    got = {}
+    for r in attribution.section_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), attribution.Params(rule=rule)).collect():
+        got.setdefault(r.doc_id, {})[r.section] = (r.start, r.end, r.n_tokens)
+    for i, t in enumerate(texts):
+        lines = t.splitlines(keepends=True)
+        owner = [k for k, line in enumerate(lines) for _ in line]
+        want, at = [0.0] * len(lines), 0
+        for token in bpe.encode(t.encode()).tolist():
+            n = sum(b & 0xC0 != 0x80 for b in bpe.token_bytes[token])
+            own = Counter(owner[at : at + n]) or Counter([owner[min(at, len(owner) - 1)]])
+            at += n
+            if rule == "split":
+                for k, c in own.items():
+                    want[k] += c / own.total()
+            else:
+                want[min(own) if rule == "start" else max(own, key=lambda k: (own[k], -k))] += 1
+        assert len(got.get(i, {})) == len(lines)
+        starts = np.cumsum([0, *map(len, lines)]).tolist()
+        assert [got[i][k][:2] for k in range(len(lines))] == list(zip(starts, starts[1:])) and [got[i][k][2] for k in range(len(lines))] == pytest.approx(want)
+
+
 def test_boundary_rules():
     ends = np.array([2, 5, 6])  # tokens 0-2, 2-5, 5-6
     starts = np.array([0, 3, 4])  # sections 0-3, 3-4, 4-6
