@@ -8,6 +8,7 @@ conversion: ASCII case folding and white-space splitting are then single C calls
 from __future__ import annotations
 
 import ctypes
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -120,10 +121,17 @@ def _trim() -> None:
         pass
 
 
-def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``f`` for ``mapInArrow``, with memory handed back after every batch: workers live on between stages."""
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tokenizes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``f`` for ``mapInArrow``, with memory handed back after every batch: workers live on between stages.
+
+    What tokenizers remember goes too, unless ``f`` uses it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tokenizes and (tokens := sys.modules.get("assaykit.llm.tokens")):
+            tokens.word_bpe.cache_clear()
+            _trim()
+
         def each() -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield b

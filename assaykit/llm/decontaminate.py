@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
 
@@ -213,8 +213,11 @@ def automata(benchmark: DataFrame, p: Params = Params()) -> list[Automaton]:
     return [*out, Automaton.of(held, p.min_length, p.pair_bits)]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), keep: tuple[Column, ...] = ()) -> DataFrame:
-    """(*keep, _text, _spans, _items): flattened word spans and item ids found in each row of ``docs``.
+def find(docs: DataFrame, benchmark: DataFrame, p: Params, keep: tuple[Column, ...], then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], result: str) -> DataFrame:
+    """``then`` of (*keep, _text, _spans, _items): flattened word spans and item ids found in each row of ``docs``.
+
+    ``result`` is the DDL of what ``then`` gives; it runs in the workers of the last pass, so
+    that no text goes through a second one.
 
     A benchmark too large for one automaton is met by one pass over the stream per
     automaton, each adding to the spans and items of the one before; only one is ever
@@ -225,7 +228,8 @@ def find(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), keep: tupl
         *keep, utf8(F.col("text")).alias("_text"), F.array().cast("array<long>").alias("_spans"), F.array().cast("array<string>").alias("_items")
     )
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema)
-    for a in automata(benchmark, p):
+    *before, last = automata(benchmark, p)
+    for a in (*before, last):
         held = sc.broadcast(a)
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -244,8 +248,9 @@ def find(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), keep: tupl
                     [*cols, pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=b.schema.names
                 )
 
+        if a is last:
+            return out.mapInArrow(tidy(lambda batches, scan=scan: then(scan(batches))), result)
         out = out.mapInArrow(tidy(scan), fields)
-    return out
 
 
 def strip(text: bytes, spans: list[int]) -> bytes:
@@ -267,7 +272,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -
     nothing.
     """
     names = docs.columns
-    found = find(docs, benchmark, p, keep=(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"),))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,8 +283,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(cleaned, pa.string())], names=["_row", "_cut"]).filter(mask)
 
-    row = dict(zip(found.columns, found.schema))["_row"].dataType.simpleString()
-    cut = found.mapInArrow(tidy(clean), f"_row {row}, _cut string")
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")
+    cut = find(docs, benchmark, p, (row,), clean, f"_row {docs.select(row).schema['_row'].dataType.simpleString()}, _cut string")
     renewed = {"text": F.coalesce(F.col("_cut"), F.col("_row.text"))}
     if "n_chars" in names:
         renewed["n_chars"] = F.when(F.col("_cut").isNull(), F.col("_row.n_chars")).otherwise(F.length("_cut")).cast(docs.schema["n_chars"].dataType)
@@ -292,7 +296,6 @@ def report(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataF
 
     Null and empty texts have no words and are never contaminated.
     """
-    found = find(docs, benchmark, p, keep=(F.col("doc_id"),))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -308,7 +311,7 @@ def report(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataF
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(tidy(count), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return find(docs, benchmark, p, (F.col("doc_id"),), count, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

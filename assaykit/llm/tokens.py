@@ -136,6 +136,8 @@ class WordBpe:
 
     #: Words of a generation; the last two generations are remembered.
     REMEMBERED = 400_000
+    #: New words merged at once.
+    LEARNED = 16_384
     # upper case is folded before; U+0130, whose lower case is two characters, and white space beyond ASCII stay out
     _LATIN = re.compile("[\x00-\x7f\xa1-įı-ſ]+")
     _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffĀ-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -162,7 +164,11 @@ class WordBpe:
         return [np.array(e.ids, "<u4").tobytes() for e in got]
 
     def _learn(self, new: list[bytes]) -> None:
-        """Remembers ``new`` words, without white space or special tokens."""
+        """Remembers ``new`` words, without white space or special tokens; a slice of them is worked on at a time."""
+        for s in range(0, len(new), self.LEARNED):
+            self._learn_some(new[s : s + self.LEARNED])
+
+    def _learn_some(self, new: list[bytes]) -> None:
         fast = [w for w in new if w.isascii()]
         others = [w for w in new if not w.isascii()]
         folded = [w.decode("utf-8", "replace") for w in others]

@@ -139,6 +139,13 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}")[:, 0].astype(np.int64)
 
 
+def _run_starts(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts; beside the places, only a byte a value is needed."""
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _count_pairs(docs: DataFrame, vocabulary: dict[bytes, int], p: Params) -> DataFrame:
     """(block, part, codes, n): counts of graph terms within ``window`` words of each other, over all documents.
 
@@ -160,14 +167,15 @@ def _count_pairs(docs: DataFrame, vocabulary: dict[bytes, int], p: Params) -> Da
         def rows() -> pa.RecordBatch:
             own = buffer[:used]
             own.sort()
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            code, n = own[first], np.diff(first, append=used)
-            block = code >> 2 * _BITS
-            cut = np.flatnonzero(np.diff(block, prepend=-1))
+            first = _run_starts(own)
+            code = own[first]
+            cut = _run_starts(code >> 2 * _BITS)
+            block = code[cut] >> 2 * _BITS
             runs = list(zip(cut.tolist(), [*cut[1:].tolist(), len(code)]))
             code &= _SIDE * _SIDE - 1
             return arrow(
-                _BLOCKS, block=block[cut], part=[part] * len(runs), codes=[_packed(np.diff(code[s:e], prepend=0)) for s, e in runs], n=[_packed(n[s:e]) for s, e in runs]
+                _BLOCKS, block=block, part=[part] * len(runs), codes=[_packed(np.diff(code[s:e], prepend=0)) for s, e in runs],
+                n=[_packed(np.diff(first[s : e + 1], append=[used] * (e == len(code)))) for s, e in runs],
             )
 
         for b in batches:

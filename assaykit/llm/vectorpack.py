@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, p: Params = Params()) -> DataFrame:
         for b in batches:
             row, out = [], []
             i = -1
-            for _, part in chunks(texts(b.column("_text")), 1 << 22):
+            for _, part in chunks(texts(b.column("_text"))):
                 for ids in bpe.encode(part):
                     ids += end
                     i += 1
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, p: Params = Params()) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", utf8(F.col("text")).alias("_text")).mapInArrow(tidy(run), f"doc_id {kind}, uid long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", utf8(F.col("text")).alias("_text")).mapInArrow(tidy(run, tokenizes=True), f"doc_id {kind}, uid long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(items: DataFrame, p: Params = Params()) -> DataFrame:

@@ -5,11 +5,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assaykit.llm import decontaminate, quality, simhash, toxicity, vectorpack
+from assaykit.llm import decontaminate, quality, simhash, tokens, toxicity, vectorpack
+from assaykit.llm.common import tidy
 from assaykit.llm.queries import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
@@ -176,3 +178,43 @@ def test_of_rows_that_repeat_an_id_the_least_stays(spark):
 def test_every_operator_has_a_query():
     names = queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(oracle_sql()) <= set(names)
+
+
+def test_stages_bound_what_workers_hold(spark, corpus):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, "iron oxide " * 50_000) for i in range(40)], "doc_id long, text string").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    def most():
+        return max(r.n for r in docs.select("text").mapInArrow(sizes, "n long").collect())
+
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        assert most() > 2 * corpus_pipeline.BATCH_BYTES
+        cut = corpus_pipeline.drop_benchmark_passages(spark, docs, corpus)
+        assert most() < 1.5 * corpus_pipeline.BATCH_BYTES
+        # one pass, so one worker, for each automaton
+        assert cut._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+        spark.conf.set(key, "9m")
+        corpus_pipeline.drop_benchmark_passages(spark, docs, corpus)
+        assert spark.conf.get(key) == "9m"
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+def test_other_stages_forget_the_words_of_the_tokenizer():
+    held = tokens.word_bpe(tokens.path("word_bpe_49k.json"))
+    assert tokens.word_bpe.cache_info().currsize
+    list(tidy(iter, tokenizes=True)(iter([])))
+    assert tokens.word_bpe(tokens.path("word_bpe_49k.json")) is held
+    list(tidy(iter)(iter([])))
+    assert not tokens.word_bpe.cache_info().currsize
+
+
+def test_run_starts():
+    x = np.array([0, 0, 3, 3, 3, 7])
+    assert toxicity._run_starts(x).tolist() == [0, 2, 5] and not len(toxicity._run_starts(x[:0]))
