@@ -121,6 +121,20 @@ def _trim() -> None:
         pass
 
 
+def keep_heap(size: int = 64 << 20) -> None:
+    """Lets this process keep ``size`` bytes of freed heap for what it makes next, until it is trimmed.
+
+    Loops that make arrays of a megabyte at every step otherwise get their pages from the system
+    each time, which takes as long as much of the work on them.
+    """
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD, the most there is
+        libc.mallopt(-1, size)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], tokenizes: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``f`` for ``mapInArrow``, with memory handed back after every batch: workers live on between stages.
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, split_column, split_words, table, texts, tidy, utf8
+from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, keep_heap, split_column, split_words, table, texts, tidy, utf8
 from assaykit.llm.gru import Gru, Shape
 
 END = b""
@@ -219,6 +219,7 @@ def train(docs: DataFrame, uni: Unigram, p: Params = Params()) -> Gru:
                     for x in texts(b.column("ids")):
                         yield np.frombuffer(x, np.uint16)
 
+            keep_heap()
             source = own()
             first = next(source, None)
             if first is None:
@@ -255,6 +256,7 @@ def score(docs: DataFrame, counts: DataFrame, uni: Unigram, model: Gru, p: Param
     extra = p.smoothing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_heap()
         u, m = held.value
         get, k = _places(u).get, len(u.symbols)
         symbol, log_count, seen = _by_place(u, p)

@@ -3,9 +3,12 @@
 import hashlib
 import itertools
 import re
+import subprocess
+import sys
 import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -676,3 +679,22 @@ def test_network_is_fitted_on_every_text(spark, word):
     uni = lm._statistics(lm.count_words(d), p)
     start = gru.Gru.start(uni.symbol_counts(), gru.Shape(len(uni.symbols), p.shapes, p.classes, p.hidden, p.embedding))
     assert not np.array_equal(lm.train(d, uni, p).flat(), start.flat())
+
+
+def test_training_keeps_its_pages():
+    code = """
+import resource
+import numpy as np
+from assaykit.llm.common import keep_heap
+from assaykit.llm.gru import Gru, Shape
+keep_heap()
+rng = np.random.default_rng(1)
+docs = [np.append(rng.integers(1, 1000, 2000), 0).astype(np.uint16) for _ in range(60)]
+model = Gru.start(np.ones(1032), Shape(1000, 32, 16))
+model.train(docs[:50])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+model.train(docs)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 120)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert float(got.stdout) < 150  # faults for a thousand symbols; some 450 if pages go back at every step
