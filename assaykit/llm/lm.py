@@ -18,7 +18,7 @@ is that of a window whatever its size.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, keep_heap, split_column, split_words, table, texts, tidy, utf8
+from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, keep_heap, split_column, table, texts, tidy, utf8
 from assaykit.llm.gru import Gru, Shape
 
 END = b""
@@ -70,31 +70,51 @@ def shape_of(word: bytes, p: Params) -> int:
     return zlib.crc32(word[-3:]) % p.shapes
 
 
+def shapes_of(words: pa.Array, p: Params) -> np.ndarray:
+    """``shape_of`` of each word of a binary column; only distinct ends are hashed."""
+    ends = pc.binary_slice(words.cast(pa.binary()), -3).dictionary_encode()
+    return np.array([shape_of(w, p) for w in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+
+
+def _column(words) -> pa.Array:
+    return pa.array(list(words), pa.large_binary())
+
+
+def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``split_words`` with the distinct words as a large binary column."""
+    return split_column(pa.array([t.lower() for t in texts], pa.large_binary()))
+
+
+def _merged(held: list[pa.Table]) -> pa.Table:
+    """Sums of counts by word; grouping strings costs Arrow several times as much as coding them."""
+    coded = pa.concat_arrays([c for t in held for c in t["word"].chunks]).dictionary_encode()
+    n = np.zeros(len(coded.dictionary), np.int64)
+    np.add.at(n, coded.indices.to_numpy(), np.concatenate([t["n"].to_numpy() for t in held]))
+    return pa.table({"word": coded.dictionary, "n": n})
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, n) over whole texts; the empty word counts ends."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, ends = [], 0, 0
 
-        def summed() -> pa.Table:
-            return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
-
         for b in batches:
             for _, part in chunks(texts(b.column("_text")), 1 << 22):
-                words, index, _ = split_column(pa.array([t.lower() for t in part], pa.large_binary()))
+                words, index, _ = _words(part)
                 ends += len(part)
                 n = np.bincount(index, minlength=len(words))
                 some = pa.table({"word": words, "n": n})
                 held.append(some.filter(pa.array(n > 0)))
                 size += len(some)
                 if size > _WORDS_HELD:
-                    held = [summed()]
+                    held = [_merged(held)]
                     size = len(held[0])
                     if 2 * size > _WORDS_HELD:
                         yield from held[0].cast(_COUNTS).to_batches()
                         held, size = [], 0
         if held:
-            yield from summed().cast(_COUNTS).to_batches()
+            yield from _merged(held).cast(_COUNTS).to_batches()
         yield arrow(_COUNTS, word=[END], n=[ends])
 
     return docs.select(utf8(F.col("text")).alias("_text")).mapInArrow(tidy(fold), ddl(_COUNTS)).where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
@@ -133,16 +153,17 @@ def _statistics(counts: DataFrame, p: Params) -> Unigram:
     ends = counts.where(F.length("word") == 0).first()
     symbols = {w: i for i, w in enumerate([END, *list(known)[: p.words - 1]])}
     known[END] = int(ends.n) if ends else 0
-    held = counts.sparkSession.sparkContext.broadcast(set(symbols))
+    held = counts.sparkSession.sparkContext.broadcast(list(symbols))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(p.shapes, np.int64), np.zeros(p.shapes, np.int64)
+        known = _column(held.value)
         for b in batches:
-            for w, k in zip(b.column("word").to_pylist(), b.column("n").to_pylist()):
-                if w not in held.value:
-                    s = shape_of(w, p)
-                    n[s] += k
-                    v[s] += 1
+            words = b.column("word").cast(pa.large_binary())
+            other = pc.invert(pc.is_in(words, value_set=known))
+            shape = shapes_of(words.filter(other), p)
+            np.add.at(n, shape, b.column("n").filter(other).to_numpy())
+            v += np.bincount(shape, minlength=p.shapes)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(p.shapes)), pa.array(n), pa.array(v)], names=["shape", "n", "v"])
 
     n, v = np.zeros(p.shapes), np.zeros(p.shapes)
@@ -163,15 +184,17 @@ def _by_place(u: Unigram, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Symbol, log10 of the smoothed count, and whether it was counted, of each numbered word."""
     words = list(_places(u))
     k = len(u.symbols)
-    symbol = np.array([i if i < k else k + shape_of(w, p) for i, w in enumerate(words)], np.int64)
+    symbol = np.concatenate([np.arange(k), k + shapes_of(_column(words[k:]), p)])
     counts = np.array([u.known.get(w, 0) for w in words], np.float64)
     return symbol, np.log10(counts + p.smoothing), counts > 0
 
 
-def _numbers(words: list[bytes], place: Callable[[bytes], int | None], p: Params, base: int) -> np.ndarray:
+def _numbers(words: pa.Array, places: pa.Array, p: Params, base: int) -> np.ndarray:
     """Places of distinct words; a word without one has, negative, -1 less its shape's symbol."""
-    at = list(map(place, words))
-    return np.array([-1 - base - shape_of(w, p) if i is None else i for w, i in zip(words, at)] if None in at else at, np.int64)
+    at = pc.index_in(words, value_set=places)
+    out, none = at.fill_null(0).to_numpy().astype(np.int64), at.is_null()
+    out[none.to_numpy(zero_copy_only=False)] = -1 - base - shapes_of(words.filter(none), p)
+    return out
 
 
 def _with_ends(x: np.ndarray, offsets: np.ndarray, end) -> np.ndarray:
@@ -193,11 +216,11 @@ def train(docs: DataFrame, uni: Unigram, p: Params = Params()) -> Gru:
     symbols = spark.sparkContext.broadcast(uni.symbols)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, get, base = TaskContext.get().partitionId() << 33, symbols.value.get, len(symbols.value)
+        place, known, base = TaskContext.get().partitionId() << 33, _column(symbols.value), len(symbols.value)
         for b in batches:
             for _, part in chunks(texts(b.column("_text")), p.block_bytes):
-                words, index, offsets = split_words(part)
-                at = _numbers(words, get, p, base)
+                words, index, offsets = _words(part)
+                at = _numbers(words, known, p, base)
                 ids = _with_ends(np.where(at < 0, -1 - at, at).astype(np.uint16)[index], offsets, 0).tobytes()
                 ends = (2 * (offsets + np.arange(len(offsets)))).tolist()
                 n = np.diff(offsets) + 1
@@ -258,7 +281,7 @@ def score(docs: DataFrame, counts: DataFrame, uni: Unigram, model: Gru, p: Param
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_heap()
         u, m = held.value
-        get, k = _places(u).get, len(u.symbols)
+        places, k = _column(_places(u)), len(u.symbols)
         symbol, log_count, seen = _by_place(u, p)
         log_in = np.log10(u.shape_tokens + extra * (u.shape_distinct + 1))
         base_all = np.log10(u.tokens + extra * (u.distinct + 1))
@@ -268,8 +291,8 @@ def score(docs: DataFrame, counts: DataFrame, uni: Unigram, model: Gru, p: Param
             b = b.take(pa.array(np.argsort(pc.binary_length(b.column("_text")).to_numpy(zero_copy_only=False), kind="stable")))
             column = b.column("_text")
             for first, part_texts in chunks(texts(column), p.block_bytes):
-                words, index, offsets = split_words(part_texts)
-                at = _numbers(words, get, p, k)
+                words, index, offsets = _words(part_texts)
+                at = _numbers(words, places, p, k)
                 known, to = at >= 0, np.maximum(at, 0)
                 own = np.where(known, symbol[to], -1 - at)
                 logs = np.where(known, log_count[to], 0.0)
@@ -285,7 +308,7 @@ def score(docs: DataFrame, counts: DataFrame, uni: Unigram, model: Gru, p: Param
                 unknown = np.flatnonzero(~known[index])
                 code, times = np.unique((np.searchsorted(offsets, unknown, "right") - 1) * len(words) + index[unknown], return_counts=True)
                 bounds = pa.array(np.searchsorted(code, np.arange(len(n) + 1) * len(words)), pa.int32())
-                rare = pa.array(words, pa.binary()).take(pa.array(code % max(1, len(words))))
+                rare = words.take(pa.array(code % max(1, len(words)))).cast(pa.binary())
                 part = b.slice(first, len(n))
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -11,6 +11,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -698,3 +699,54 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 120)
 """
     got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
     assert float(got.stdout) < 150  # faults for a thousand symbols; some 450 if pages go back at every step
+
+
+def test_words_are_looked_up_by_column(monkeypatch):
+    """Numbers of words are those of a lookup of each; the hash of an end is worked out once, not by word."""
+    p = lm.Params(shapes=4, known_words=3000)
+    known = [b"a", b"xy", "\u00e9t\u00e9".encode()] + [b"w%04dend" % i for i in range(2000)]
+    u = lm.Unigram(9999, 2004, {b"": 0, b"a": 1, b"xy": 2}, dict.fromkeys([b"", *known], 3), np.zeros(4), np.zeros(4))
+    hashed, was = [], lm.shape_of
+    monkeypatch.setattr(lm, "shape_of", lambda w, p: (hashed.append(w), was(w, p))[1])
+    symbol, _, counted = lm._by_place(u, p)
+    assert len(hashed) <= 2 and counted.all()
+    assert symbol.tolist() == [0, 1, 2] + [3 + was(w, p) for w in known[2:]]
+    words = [b"a", b"q", b"xy", b"", b"ab", "\u00e9".encode(), b"\x00\xff", b"w0007end", b"w9999end", b"longer-than-three"]
+    places = list(lm._places(u))
+    want = [places.index(w) if w in places else -1 - 3 - was(w, p) for w in words]
+    assert lm._numbers(pa.array(words, pa.large_binary()), pa.array(places, pa.large_binary()), p, 3).tolist() == want
+    none = pa.array([], pa.large_binary())
+    assert len(lm._numbers(none, none, p, 3)) == 0 and lm._numbers(pa.array([b"q"], pa.large_binary()), none, p, 3).tolist() == [-4 - was(b"q", p)]
+
+
+def test_counts_of_parts_are_added():
+    a = pa.table({"word": pa.array([b"x", b"y"], pa.large_binary()), "n": [1 << 60, 2]})
+    b = pa.table({"word": pa.array([b"z", b"x"], pa.large_binary()), "n": [5, 7]})
+    got = lm._merged([a, b.slice(0, 0), b])
+    assert dict(zip(got["word"].to_pylist(), got["n"].to_pylist())) == {b"x": (1 << 60) + 7, b"y": 2, b"z": 5}
+
+
+def test_adam_is_the_usual_one():
+    rng = np.random.default_rng(23)
+    p, want = (np.linspace(-1, 1, 50).astype(np.float32) for _ in range(2))
+    m, v, a, b = (np.zeros(50, np.float32) for _ in range(4))
+    for step in range(1, 6):
+        g, scale = rng.normal(0, 0.1, 50).astype(np.float32), (1.0, 0.5)[step % 2]
+        a, b = 0.9 * a + 0.1 * scale * g, 0.999 * b + 0.001 * (scale * g) ** 2
+        want = want - 0.01 * a / (np.sqrt(b) + 1e-7)
+        gru._adam(p, g.copy(), m, v, scale, 0.01, 16)
+    assert p == pytest.approx(want, abs=1e-5)
+
+
+def test_logits_beyond_the_bound_are_shifted():
+    m = gru.Gru.start(np.array([9.0, 5, 4, 3, 2, 2, 1, 1]), gru.Shape(6, 2, 3, 4, 3))
+    assert not m._shifted()
+    m.p["Ww"][0] = [50, 0, 0, 0, 0]  # 2 * 50 by Cauchy and Schwarz, but no logit is above 50
+    assert not m._shifted()
+    for name in ("Ww", "Wc"):
+        kept = m.p[name].copy()
+        m.p[name][0] = 61
+        assert m._shifted()
+        m.p[name][:] = kept
+    m.p["Wc"][0, 0] = np.nan
+    assert m._shifted()
