@@ -246,14 +246,19 @@ def dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
     another; else one of each fingerprint stays, by the same rule.
     """
     near = cut(near_duplicates(docs, p).select("doc_id", "fp", "component_id"))
-    firsts = near.where("doc_id = component_id").select("doc_id").distinct()
+    firsts = near.groupBy("doc_id").agg(F.count("*").alias("times"), F.max(F.col("doc_id") == F.col("component_id")).alias("first"))
+    firsts = cut(firsts.where("first").select("doc_id", "times"))
+    # only rows of ids that repeat are compared; texts are sorted and copied for that
+    alone, often = firsts.where("times = 1").select("doc_id"), firsts.where("times > 1").select("doc_id")
+    often = F.broadcast(often) if often.count() <= p.broadcast_keys else often
     nameless = near.where(F.col("component_id").isNull()).select("fp").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rank = F.struct(F.col("text"), *[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in docs.dtypes if c != "text"]).alias("_rank")
     own = F.min_by("_row", "_rank").alias("_row")
-    named = docs.where(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi").select("doc_id", row, rank).groupBy("doc_id").agg(own)
+    once = docs.join(alone, "doc_id", "left_semi").select(row)
+    named = docs.join(often, "doc_id", "left_semi").select("doc_id", row, rank).groupBy("doc_id").agg(own)
     rest = fingerprints(docs.where(F.col("doc_id").isNull()), (row, rank)).join(nameless, "fp", "left_semi").groupBy("fp").agg(own)
-    return named.select("_row").unionByName(rest.select("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return once.unionByName(named.select("_row")).unionByName(rest.select("_row")).select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assaykit.llm import attribution, binary, decontaminate, golay, gru, langid, licences, lm, quality, simhash, tokens, toxicity, vectorpack
+from assaykit.llm import attribution, binary, components, decontaminate, golay, gru, langid, licences, lm, quality, simhash, tokens, toxicity, vectorpack
 from assaykit.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,6 +118,38 @@ def test_components(spark):
     assert connected_components(edges.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("held", [1_000_000, 0])
+def test_few_edges_take_one_task(spark, monkeypatch, held):
+    rng = np.random.default_rng(4)
+    path = rng.permutation(300) + 1000
+    pairs = [*rng.integers(-400, 400, (350, 2)).tolist(), *zip(path.tolist(), path[1:].tolist())]
+    least = {x: x for e in pairs for x in e if e[0] != e[1]}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    rounds = []
+    monkeypatch.setattr(components, "_HELD", held)
+    monkeypatch.setattr(components, "_small_star", lambda e, f=components._small_star: rounds.append(1) or f(e))
+    got = connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert len(got) == len(least) and {r.node: r.component for r in got} == least
+    assert bool(rounds) == (not held)
+    names = connected_components(spark.createDataFrame([("b", "a"), ("c", "b")], "a string, b string"))
+    assert {r.node: r.component for r in names.collect()} == dict.fromkeys("abc", "a")
+
+
+def test_dedup_compares_rows_of_repeated_ids_alone(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[30 * i : 30 * i + 30])) for i in range(1, 9)]
+    rows += [(20, rows[0][1]), (8, "another text of the same id"), (8, "a third"), (None, rows[1][1]), (None, "no id here"), (None, "no id here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.dedup(docs)
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted([(0, "no id here"), *rows[:7], (8, "a third")])
+    # the others are joined alone: an aggregate fewer than branches of the union
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 3 and plan.count("min_by(") == 2
+
+
 # decontamination -----------------------------------------------------------------------------
 
 
