@@ -21,6 +21,15 @@ from assaykit.deploy import shared_folder, ship
 
 #: Bytes of text that one vectorised step works on; longer documents form a step alone.
 CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch that goes to a Python worker, where the session names none of its own: an
+#: executor holds several at once, in the JVM and in its workers, beside what it has for good.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaykit.llm import golay
-from assaykit.llm.common import chunks, cut, offsets_of, spread_join, table, texts, tidy, utf8
+from assaykit.llm.common import chunks, cut, offsets_of, small_batches, spread_join, table, texts, tidy, utf8
 from assaykit.llm.components import connected_components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -262,6 +262,7 @@ def dedup(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     got = near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return got.select("doc_id", digits.alias("fingerprint"), F.col("n_near").cast("long").alias("n_near"), "component_id")

@@ -17,17 +17,8 @@ from pyspark.sql import functions as F
 
 from assaykit.deploy import shared_folder
 from assaykit.llm import decontaminate, quality, simhash, toxicity, vectorpack
-from assaykit.llm.common import id_remainder, table
-
-#: Bytes of an Arrow batch that goes to a Python worker, where the session names none of its own: an
-#: executor holds several at once, in the JVM and in its workers, beside what it has for good.
-BATCH_BYTES = 4 << 20
-
-
-def _small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH_BYTES))
+from assaykit.llm.common import BATCH_BYTES as BATCH_BYTES
+from assaykit.llm.common import id_remainder, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows stay or go together, in their number.  A score that equals the threshold is toxic.
     Without toxic labels nothing goes.
     """
-    _small_batches(spark)
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(id_remainder(F.col("doc_id"), 4) != 2)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
@@ -49,7 +40,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their number.  Measures that equal their limits pass.  References are learned from the
     stage's own input; with no language known only the base rules judge.
     """
-    _small_batches(spark)
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
@@ -60,7 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     one of the least text stays.  Null ids are never the least: such a row stays only if its
     group has no other id, one for each fingerprint.
     """
-    _small_batches(spark)
+    small_batches(spark)
     return simhash.dedup(docs)
 
 
@@ -71,7 +62,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     repeated rows are cut alike and stay in their number.  A document of which just half the
     words lie in passages is cut and stays.  Without items all stay as they are.
     """
-    _small_batches(spark)
+    small_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -81,7 +72,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are one piece of one token.  Repeated rows are packed each.  Equal
     choices of a sequence go to the one opened first.
     """
-    _small_batches(spark)
+    small_batches(spark)
     return vectorpack.best_fit_packing(docs)
 
 

@@ -150,6 +150,26 @@ def test_dedup_compares_rows_of_repeated_ids_alone(spark):
     assert plan.count("LeftSemi") == 3 and plan.count("min_by(") == 2
 
 
+@pytest.mark.parametrize("query", [simhash.op8_simhash])
+def test_queries_bound_batches(spark, monkeypatch, query):
+    class Seen(Exception):
+        pass
+
+    def seen(*_):
+        raise Seen(spark.conf.get(key, None))
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    monkeypatch.setattr(sys.modules[query.__module__], "table", seen)
+    try:
+        for named, expected in ((None, str(4 << 20)), ("9m", "9m")):
+            spark.conf.set(key, named) if named else spark.conf.unset(key)
+            with pytest.raises(Seen, match=f"^{expected}$"):
+                query(spark, "")
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 # decontamination -----------------------------------------------------------------------------
 
 
