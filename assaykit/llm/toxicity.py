@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, offsets_of, split_column, table, texts, tidy, utf8
+from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, offsets_of, small_batches, split_column, table, texts, tidy, utf8
 
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -139,6 +139,12 @@ def _unpacked(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(f"<u{width}")[:, 0].astype(np.int64)
 
 
+def _each(b: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch, of which one is held beside it."""
+    for i in range(len(b)):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
 def _run_starts(x: np.ndarray) -> np.ndarray:
     """Where each run of equal values starts; beside the places, only a byte a value is needed."""
     new = np.ones(len(x), bool)
@@ -146,6 +152,26 @@ def _run_starts(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _block_rows(own: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+    """(block, packed places, packed counts) of the blocks of pairs ``own``, which are sorted in place.
+
+    Blocks are packed one by one: beside the pairs, only one block's are held.
+    """
+    own.sort()
+    out: tuple[list[int], list[bytes], list[bytes]] = ([], [], [])
+    s = 0
+    while s < len(own):
+        block = int(own[s]) >> 2 * _BITS
+        e = s + int(np.searchsorted(own[s:], (block + 1) << 2 * _BITS))
+        first = _run_starts(own[s:e])
+        code = own[s:e][first]
+        code &= _SIDE * _SIDE - 1
+        for held, x in zip(out, (block, _packed(np.diff(code, prepend=0)), _packed(np.diff(first, append=e - s)))):
+            held.append(x)
+        s = e
+    return out
+
+
 def _count_pairs(docs: DataFrame, vocabulary: dict[bytes, int], p: Params) -> DataFrame:
     """(block, part, codes, n): counts of graph terms within ``window`` words of each other, over all documents.
 
@@ -165,18 +191,8 @@ def _count_pairs(docs: DataFrame, vocabulary: dict[bytes, int], p: Params) -> Da
         lesser, greater = (ids >> _BITS) * across << 2 * _BITS | (ids & _SIDE - 1) << _BITS, ids >> _BITS << 2 * _BITS | ids & _SIDE - 1
 
         def rows() -> pa.RecordBatch:
-            own = buffer[:used]
-            own.sort()
-            first = _run_starts(own)
-            code = own[first]
-            cut = _run_starts(code >> 2 * _BITS)
-            block = code[cut] >> 2 * _BITS
-            runs = list(zip(cut.tolist(), [*cut[1:].tolist(), len(code)]))
-            code &= _SIDE * _SIDE - 1
-            return arrow(
-                _BLOCKS, block=block, part=[part] * len(runs), codes=[_packed(np.diff(code[s:e], prepend=0)) for s, e in runs],
-                n=[_packed(np.diff(first[s : e + 1], append=[used] * (e == len(code)))) for s, e in runs],
-            )
+            block, codes, n = _block_rows(buffer[:used])
+            return arrow(_BLOCKS, block=block, part=[part] * len(block), codes=codes, n=n)
 
         for b in batches:
             for _, some in chunks(texts(b.column("_text"))):
@@ -213,7 +229,7 @@ def _count_pairs(docs: DataFrame, vocabulary: dict[bytes, int], p: Params) -> Da
             return out
 
         for b in batches:
-            for r in b.to_pylist():
+            for r in _each(b):
                 if key is not None and key != (r["block"], r["part"]):
                     yield row()
                 key = r["block"], r["part"]
@@ -246,7 +262,7 @@ def _by_block(blocks: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[int, np.ndarray] = {}
         for b in batches:
-            for r in b.to_pylist():
+            for r in _each(b):
                 code, n = np.cumsum(_unpacked(r["codes"])), _unpacked(r["n"])
                 bi, bj = divmod(r["block"], across)
                 i, j = code >> _BITS, code & _SIDE - 1
@@ -410,6 +426,7 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, p: Params = Params()) -> DataF
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     lexicon = fit(docs, labels.where(id_remainder(F.col("doc_id"), 4) != 2))
     return score(docs, lexicon, keep=(F.col("doc_id"), (id_remainder(F.col("doc_id"), 4) == 2).alias("held_out")))

@@ -150,7 +150,7 @@ def test_dedup_compares_rows_of_repeated_ids_alone(spark):
     assert plan.count("LeftSemi") == 3 and plan.count("min_by(") == 2
 
 
-@pytest.mark.parametrize("query", [simhash.op8_simhash])
+@pytest.mark.parametrize("query", [simhash.op8_simhash, toxicity.op7_toxicity])
 def test_queries_bound_batches(spark, monkeypatch, query):
     class Seen(Exception):
         pass
@@ -364,6 +364,25 @@ def test_walks_over_blocks_equal_a_dense_matrix(spark):
     assert toxicity.polarity(pairs, *seeds, p) == pytest.approx(np.log((x[0] + 1e-9) / (x[1] + 1e-9)), abs=1e-4)
 
 
+def test_blocks_of_pairs_are_packed_one_by_one():
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    own = rng.integers(0, 40, 400_000) << 22 | rng.integers(0, 1 << 22, 400_000)
+    own[:3000] = own[5000]
+    expected = Counter(own.tolist())
+    tracemalloc.start()
+    try:
+        block, codes, n = toxicity._block_rows(own)
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * own.nbytes  # packed rows and one block; four arrays of that size before
+    finally:
+        tracemalloc.stop()
+    assert block == list(range(40))
+    got = {b << 22 | c: k for b, x, y in zip(block, codes, n) for c, k in zip(np.cumsum(toxicity._unpacked(x)).tolist(), toxicity._unpacked(y).tolist())}
+    assert got == expected
+    assert toxicity._block_rows(own[:0]) == ([], [], [])
+
+
 def test_packed_counts_round_trip():
     x = np.array([0, 1, 255, 256, 1 << 40])
     assert toxicity._unpacked(toxicity._packed(x)).tolist() == x.tolist()
