@@ -20,8 +20,14 @@ import numpy as np
 
 #: Rows of a softmax worked on at once: they stay in the processor's cache.
 _ROWS = 1024
+#: Rows of a product summed over them: up to a million multiplications are small for BLAS.
+_FEW = 256
 #: Logits known to be within this need no shift before exp.
 _SAFE = 60.0
+#: They are bounded again once training may have moved one by this; exp of both together is far from an overflow.
+_DRIFT = 10.0
+#: Adam moves a weight by at most this many rates, by Cauchy and Schwarz: 0.1 / sqrt(0.001 * (1 - 0.81 / 0.999)).
+_ADAM_STEP = 7.3
 
 
 @dataclass(frozen=True)
@@ -40,6 +46,8 @@ class Gru:
     class_of: np.ndarray
     bounds: np.ndarray
     p: dict[str, np.ndarray]
+    #: What ``_shifted`` would say, while training knows it.
+    shift: bool | None = None
 
     @classmethod
     def start(cls, counts: np.ndarray, shape: Shape, seed: int = 7) -> Gru:
@@ -90,7 +98,10 @@ class Gru:
         # states before the steps and after the last, gates, candidate, its part of the state
         tape = [np.empty((k, streams, w), h.dtype) for k, w in ((steps + 1 if keep else 2, n), (steps if keep else 1, 2 * n), (steps if keep else 1, n), (steps if keep else 1, n))]
         states, gates, candidates, parts = tape
-        to_gates, to_part, bn = np.ascontiguousarray(self.p["U"][:, : 2 * n]), np.ascontiguousarray(self.p["U"][:, 2 * n :]), self.p["bn"]
+        to_gates, to_part = np.ascontiguousarray(self.p["U"][:, : 2 * n]), np.ascontiguousarray(self.p["U"][:, 2 * n :])
+        # as whole arrays: numpy has vector code for these, not for a number or a row
+        none, full = np.zeros((streams, 2 * n), h.dtype), np.ones((streams, 2 * n), h.dtype)
+        bn = np.repeat(self.p["bn"][None], streams, 0)
         some = fresh.any(1)
         states[0] = h
         for t in range(steps):
@@ -101,8 +112,8 @@ class Gru:
             np.matmul(before, to_gates, out=g)
             np.matmul(before, to_part, out=hn)
             g += gates_in[t]
-            np.maximum(g, 0, out=g)
-            np.minimum(g, 1, out=g)
+            np.maximum(g, none, out=g)
+            np.minimum(g, full, out=g)
             hn += bn
             np.multiply(g[:, :n], hn, out=c)
             c += candidate_in[t]
@@ -150,7 +161,7 @@ class Gru:
         """The buffer of logits within classes of rows ``own``."""
         out, w = np.empty(runs[-1][5] if runs else 0, own.dtype), self.p["Ww"]
         for s, e, a, b, i, j in runs:
-            np.matmul(own[s:e], w[a:b].T, out=out[i:j].reshape(e - s, b - a))
+            np.dot(own[s:e], w[a:b].T, out=out[i:j].reshape(e - s, b - a))
         return out
 
     def _shifted(self) -> bool:
@@ -224,16 +235,21 @@ class Gru:
         m, v = np.zeros_like(flat), np.zeros_like(flat)
         streams = max(1, min(streams, symbols // (32 * window)))
         seen = step = 0
+        drift = np.inf
         h = np.zeros((streams, self.shape.hidden), np.float32)
         for x, y, fresh, real, live in windows(docs, streams, window):
             if live is not None:
                 h = h[live]
+            if not drift < _DRIFT:
+                me.shift, drift = me._shifted(), 0.0
             h = me._gradients(x, y, fresh, real, h, grads)
             seen += int(real.sum())
             step += 1
             norm = float(np.sqrt(np.dot(grad, grad)))
             now = rate * (1 - 0.9 * min(1.0, seen / max(1, symbols))) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             _adam(flat, grad, m, v, min(1.0, 1.0 / max(norm, 1e-9)), now)
+            drift += _ADAM_STEP * now * (self.shape.hidden + 1)
+        me.shift = None
         return me, seen
 
     def _gradients(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, real: np.ndarray, h: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
@@ -243,10 +259,13 @@ class Gru:
         # inputs are computed once for each symbol of the window
         ids = x.ravel()
         order = _order(ids, len(p["E"]))
-        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-        symbols = ids[order[first]]
-        number = np.empty(len(ids), np.int64)
-        number[order] = np.repeat(np.arange(len(first)), np.diff(first, append=len(ids)))
+        ordered, new = ids[order], np.ones(len(ids), bool)
+        np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+        first = np.flatnonzero(new)
+        symbols = ordered[first]
+        number = np.empty(len(p["E"]), np.int64)
+        number[symbols] = np.arange(len(symbols))
+        number = number[ids]
         table = self._inputs(symbols)
         hs, (before, gates, c, hn) = self._recur(tuple(np.take(own, number, 0).reshape(*x.shape, -1) for own in table), fresh, h, True)
         flat = hs.reshape(-1, n + 1)
@@ -286,23 +305,22 @@ class Gru:
             if some[i]:
                 dh[fresh[i]] = 0
         d_a = d_a.reshape(-1, 3 * n)
-        np.matmul(before.reshape(-1, n).T, d_a, out=g["U"])
+        _products(before.reshape(-1, n), d_a, g["U"])
         ones = np.ones(len(d_a), kind)
         g["b"][:] = ones @ d_a
         g["bn"][:] = g["b"][2 * n :]
         d_a[:, 2 * n :] = d_c.reshape(-1, n)  # of the inputs; the reset gate acts on the state's part alone
         g["b"][2 * n :] = ones @ d_a[:, 2 * n :]
-        np.matmul(np.take(p["E"], ids, 0).T, d_a, out=g["Wx"])
+        _products(np.take(p["E"], ids, 0), d_a, g["Wx"])
         g["E"][:] = 0
-        g["E"][symbols] = np.column_stack([np.bincount(number, column) for column in p["Wx"] @ d_a.T])
+        g["E"][symbols] = np.add.reduceat(np.take(d_a @ p["Wx"].T, order, 0), first)
         return hs[-1, :, :n].copy()
 
     def _output_gradients(self, out: np.ndarray, t: np.ndarray, w: float, g: dict[str, np.ndarray]) -> np.ndarray:
-        p, n, shift = self.p, self.shape.hidden, self._shifted()
+        p, n, shift = self.p, self.shape.hidden, self._shifted() if self.shift is None else self.shift
         d_out = np.empty((len(out), n), out.dtype)
-        g["Wc"][:] = 0
         g["Ww"][:] = 0
-        target = self._targets(t)
+        target, to_states = self._targets(t), p["Wc"][:n].T.copy()
         for s in range(0, len(t), _ROWS):
             own = out[s : s + _ROWS]
             top = own @ p["Wc"]
@@ -311,11 +329,12 @@ class Gru:
             np.exp(top, out=top)
             top *= (w / (top @ np.ones(top.shape[1], top.dtype)))[:, None]
             top[np.arange(len(own)), target[s : s + _ROWS]] -= w
-            g["Wc"] += own.T @ top
-            np.matmul(top, p["Wc"][:n].T, out=d_out[s : s + _ROWS])
+            _products(own, top, g["Wc"], s > 0)
+            np.matmul(top, to_states, out=d_out[s : s + _ROWS])
         at, begin, place, runs = self._by_class(t)
         if len(at):
-            own, back = out[at], np.empty((len(at), n), out.dtype)
+            own = out[at]
+            back = np.empty_like(own)
             x = self._within(own, runs)
             size = np.diff(begin, append=len(x))
             if shift:
@@ -326,9 +345,9 @@ class Gru:
             weights, grad = p["Ww"], g["Ww"]
             for s, e, a, b, i, j in runs:
                 own_x = x[i:j].reshape(e - s, b - a)
-                np.matmul(own_x.T, own[s:e], out=grad[a:b])
-                np.matmul(own_x, weights[a:b, :n], out=back[s:e])
-            d_out[at] += back
+                np.dot(own_x.T, own[s:e], out=grad[a:b])
+                np.dot(own_x, weights[a:b], out=back[s:e])
+            d_out[at] += back[:, :n]
         return d_out
 
 
@@ -337,7 +356,15 @@ def _order(numbers: np.ndarray, most: int) -> np.ndarray:
     return np.argsort(numbers.astype(np.uint16) if most <= 1 << 16 else numbers, kind="stable")
 
 
-def _adam(p: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, scale: float, rate: float, size: int = 1 << 14) -> None:
+def _products(a: np.ndarray, b: np.ndarray, out: np.ndarray, add: bool = False) -> None:
+    """``a.T @ b`` into ``out``, or added to it, by rows so few that BLAS takes its code for small matrices, twice as fast."""
+    if not add:
+        out[:] = 0
+    for s in range(0, len(a), _FEW):
+        out += a[s : s + _FEW].T @ b[s : s + _FEW]
+
+
+def _adam(p: np.ndarray, g: np.ndarray, m: np.ndarray, v: np.ndarray, scale: float, rate: float, size: int = 1 << 15) -> None:
     """A step of Adam in place, some weights at a time; ``g`` is overwritten.
 
     ``m`` and ``v`` are sums, not means: 10 and 1000 times the usual moments, which saves two passes.

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, keep_heap, split_column, table, texts, tidy, utf8
+from assaykit.llm.common import arrow, chunks, cut, ddl, id_remainder, keep_heap, offsets_of, split_column, table, texts, tidy, utf8
 from assaykit.llm.gru import Gru, Shape
 
 END = b""
@@ -197,6 +197,25 @@ def _numbers(words: pa.Array, places: pa.Array, p: Params, base: int) -> np.ndar
     return out
 
 
+def _placed(texts: list[bytes], places: pa.Array, p: Params) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(place of each word of the texts, offsets of the texts' words, words that have none).
+
+    Words are looked up as they come, which takes less than to code them first.  One without a place
+    has that of its shape, after all others.  The first place is the end's, whose word is empty: so is
+    what lies beside white space at a text's ends, which is no word.
+    """
+    column = pa.array([t.lower() for t in texts], pa.large_binary())
+    split = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.large_string(), len(column), column.buffers()))
+    words, offsets = split.values.view(pa.large_binary()), split.offsets.to_numpy().astype(np.int64)
+    at = _numbers(words, places, p, len(places))
+    none = np.flatnonzero(at < 0)
+    at[none] = -1 - at[none]
+    real = at != 0
+    if not real.all():
+        offsets, at = offsets_of(real)[offsets], at[real]
+    return at, offsets, words.take(pa.array(none))
+
+
 def _with_ends(x: np.ndarray, offsets: np.ndarray, end) -> np.ndarray:
     """Values of all texts' words with ``end`` after each text's."""
     last = offsets[1:] + np.arange(len(offsets) - 1)
@@ -216,12 +235,11 @@ def train(docs: DataFrame, uni: Unigram, p: Params = Params()) -> Gru:
     symbols = spark.sparkContext.broadcast(uni.symbols)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, known, base = TaskContext.get().partitionId() << 33, _column(symbols.value), len(symbols.value)
+        place, known = TaskContext.get().partitionId() << 33, _column(symbols.value)
         for b in batches:
             for _, part in chunks(texts(b.column("_text")), p.block_bytes):
-                words, index, offsets = _words(part)
-                at = _numbers(words, known, p, base)
-                ids = _with_ends(np.where(at < 0, -1 - at, at).astype(np.uint16)[index], offsets, 0).tobytes()
+                at, offsets, _ = _placed(part, known, p)
+                ids = _with_ends(at.astype(np.uint16), offsets, 0).tobytes()
                 ends = (2 * (offsets + np.arange(len(offsets)))).tolist()
                 n = np.diff(offsets) + 1
                 coded = [ids[s:e] for s, e in zip(ends, ends[1:])]
@@ -282,8 +300,10 @@ def score(docs: DataFrame, counts: DataFrame, uni: Unigram, model: Gru, p: Param
         keep_heap()
         u, m = held.value
         places, k = _column(_places(u)), len(u.symbols)
-        symbol, log_count, seen = _by_place(u, p)
+        symbol, log_count, seen = (np.concatenate([x, y]) for x, y in zip(_by_place(u, p), (k + np.arange(p.shapes), np.zeros(p.shapes), np.zeros(p.shapes, bool))))
         log_in = np.log10(u.shape_tokens + extra * (u.shape_distinct + 1))
+        within = np.where(symbol >= k, log_count - log_in[np.maximum(symbol - k, 0)], 0.0)
+        symbol = symbol.astype(np.int32)
         base_all = np.log10(u.tokens + extra * (u.distinct + 1))
         place = TaskContext.get().partitionId() << 33
         for b in batches:
@@ -291,22 +311,19 @@ def score(docs: DataFrame, counts: DataFrame, uni: Unigram, model: Gru, p: Param
             b = b.take(pa.array(np.argsort(pc.binary_length(b.column("_text")).to_numpy(zero_copy_only=False), kind="stable")))
             column = b.column("_text")
             for first, part_texts in chunks(texts(column), p.block_bytes):
-                words, index, offsets = _words(part_texts)
-                at = _numbers(words, places, p, k)
-                known, to = at >= 0, np.maximum(at, 0)
-                own = np.where(known, symbol[to], -1 - at)
-                logs = np.where(known, log_count[to], 0.0)
-                within = np.where(own >= k, logs - log_in[np.maximum(own - k, 0)], 0.0)
-                ids = _with_ends(own.astype(np.int32)[index], offsets, 0)
+                at, offsets, unknown = _placed(part_texts, places, p)
+                ids = _with_ends(symbol[at], offsets, 0)
                 starts = offsets[:-1] + np.arange(len(part_texts))
                 n = np.diff(offsets) + 1
-                base = np.add.reduceat(_with_ends(logs[index], offsets, log_count[0]), starts) - base_all * n
-                inside = np.add.reduceat(_with_ends(within[index], offsets, 0.0), starts)
-                n_known = np.add.reduceat(_with_ends((known & seen[to])[index], offsets, bool(seen[0])), starts, dtype=np.int64)
+                base = np.add.reduceat(_with_ends(log_count[at], offsets, log_count[0]), starts) - base_all * n
+                inside = np.add.reduceat(_with_ends(within[at], offsets, 0.0), starts)
+                n_known = np.add.reduceat(_with_ends(seen[at], offsets, bool(seen[0])), starts, dtype=np.int64)
                 logp = m.score(np.split(ids, starts[1:])) / np.log(10)
                 # rare words of each text, once, with their number
-                unknown = np.flatnonzero(~known[index])
-                code, times = np.unique((np.searchsorted(offsets, unknown, "right") - 1) * len(words) + index[unknown], return_counts=True)
+                coded = unknown.dictionary_encode()
+                words, index = coded.dictionary, coded.indices.to_numpy()
+                owner = np.searchsorted(offsets, np.flatnonzero(at >= len(places)), "right") - 1
+                code, times = np.unique(owner * len(words) + index, return_counts=True)
                 bounds = pa.array(np.searchsorted(code, np.arange(len(n) + 1) * len(words)), pa.int32())
                 rare = words.take(pa.array(code % max(1, len(words)))).cast(pa.binary())
                 part = b.slice(first, len(n))

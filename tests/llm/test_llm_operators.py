@@ -821,3 +821,53 @@ def test_logits_beyond_the_bound_are_shifted():
         m.p[name][:] = kept
     m.p["Wc"][0, 0] = np.nan
     assert m._shifted()
+
+
+@pytest.mark.parametrize("rate", [5e-3, 1.0])
+def test_logits_are_bounded_again_only_when_weights_may_have_moved(monkeypatch, rate):
+    m = gru.Gru.start(np.array([9.0, 5, 4, 3, 2, 2, 1, 1]), gru.Shape(6, 2, 3, 4, 3))
+    doc = np.random.default_rng(24).integers(0, 8, 2400)
+    calls, was = [], gru.Gru._shifted
+    monkeypatch.setattr(gru.Gru, "_shifted", lambda self: calls.append(1) or was(self))
+    fitted, seen = m.train([doc], streams=1, rate=rate)
+    few = len(calls)
+    assert seen == 2400 and fitted.shift is None and (few < 10 if rate < 1 else few > 20)
+    monkeypatch.setattr(gru, "_DRIFT", 0.0)
+    assert np.array_equal(m.train([doc], streams=1, rate=rate)[0].flat(), fitted.flat()) and len(calls) - few == 100
+
+
+def test_adam_moves_a_weight_by_no_more_than_its_bound():
+    """Gradients in proportion to (0.9 / 0.999) ** age move a weight the most."""
+    n = 300
+    grown = np.power(0.999 / 0.9, np.arange(n))
+    rng = np.random.default_rng(25)
+    cases = np.stack([grown / grown[-1], np.eye(n)[n // 2], rng.normal(0, 1, n), np.ones(n)], 1).astype(np.float32)
+    p, m, v = (np.zeros(4, np.float32) for _ in range(3))
+    most = 0.0
+    for g in cases:
+        before = p.copy()
+        gru._adam(p, g.copy(), m, v, 1.0, 0.01)
+        most = max(most, float(np.abs(p - before).max()))
+    assert 0.9 * gru._ADAM_STEP * 0.01 < most <= gru._ADAM_STEP * 0.01
+
+
+@pytest.mark.parametrize("known", [[b""], [b"", b"a", b"xy", b"zz"]])
+def test_words_are_looked_up_as_they_come(known):
+    p = lm.Params(shapes=4)
+    texts = [b"", b" \t", b"a XY a", b" a q\n", b"q", b"end q\x00q \xff", "é a".encode(), b"a" * 500]
+    at, offsets, rest = lm._placed(texts, pa.array(known, pa.large_binary()), p)
+    words = [t.lower().split() for t in texts]
+    assert np.diff(offsets).tolist() == [len(w) for w in words]
+    flat = [w for own in words for w in own]
+    assert at.tolist() == [known.index(w) if w in known else len(known) + lm.shape_of(w, p) for w in flat]
+    assert rest.to_pylist() == [w for w in flat if w not in known]
+
+
+@pytest.mark.parametrize("rows", [1, 255, 256, 257, 700])
+def test_products_by_rows_are_whole(rows):
+    rng = np.random.default_rng(26)
+    a, b, out = rng.normal(0, 1, (rows, 5)), rng.normal(0, 1, (rows, 7)), np.full((5, 7), np.nan)
+    gru._products(a, b, out)
+    assert np.allclose(out, a.T @ b)
+    gru._products(a, b, out, True)
+    assert np.allclose(out, 2 * (a.T @ b))
