@@ -36,9 +36,10 @@ def words(sentence: Column) -> Column:
 def split_token(token: Column, split_oxidation: bool = True) -> Column:
     """"5V" to 5 and V if V is a unit; "Fe(II)" to Fe and (II); else the token alone."""
     unit = F.regexp_extract(token, _NUMBER_UNIT, 2)
-    out = F.when(is_in(unit, UNITS), F.array(F.regexp_extract(token, _NUMBER_UNIT, 1), unit))
+    # long patterns are tried only where they can fit: after a digit, sign or point, and with a parenthesis
+    out = F.when((F.ascii(token) <= ord("9")) & is_in(unit, UNITS), F.array(F.regexp_extract(token, _NUMBER_UNIT, 1), unit))
     if split_oxidation:
-        out = out.when(token.rlike(_VALENCE), F.array(F.regexp_extract(token, _VALENCE, 1), F.regexp_extract(token, _VALENCE, 2)))
+        out = out.when(token.contains("(") & token.rlike(_VALENCE), F.array(F.regexp_extract(token, _VALENCE, 1), F.regexp_extract(token, _VALENCE, 2)))
     return out.otherwise(F.array(token))
 
 
@@ -86,7 +87,7 @@ def remove_accent(token: Column) -> Column:
 
 def _is_lowered(token: Column) -> Column:
     title = token.rlike(r"^\p{Lu}[^\p{Lu}]*$") & (F.lower(F.substring(token, 2, 1 << 20)) == F.substring(token, 2, 1 << 20)) & token.rlike(r"^.\P{L}*\p{Ll}")
-    return ((F.length(token) == 1) | title) & ~is_in(token, ELEMENTS) & ~is_in(token, UNITS) & ~token.rlike(_DIRECTION)
+    return ((F.length(token) == 1) | title) & ~is_in(token, ELEMENTS) & ~is_in(token, UNITS) & ~(token.contains("(") & token.rlike(_DIRECTION))
 
 
 def selective_lower(token: Column) -> Column:
@@ -109,40 +110,62 @@ def process(
     tokens and none beyond their ends; an element's name is lower-cased and a material; a
     simple formula is a material and put in its normal form; else selective lower case.
     """
-    return fm.let(tokens, lambda own: _processed(own, exclude_punct, convert_num, normalize_materials, remove_accents))
+    return fm.let(_rows(tokens, exclude_punct, convert_num, normalize_materials, remove_accents), _processed)
 
 
-def _processed(tokens: Column, exclude_punct: bool, convert_num: bool, normalize_materials: bool, remove_accents: bool) -> Column:
-    symbols = literal_map(NAME_TO_SYMBOL)
+def processed_tokens(tokens: Column, exclude_punct: bool = False, convert_num: bool = True, normalize_materials: bool = True, remove_accents: bool = True) -> Column:
+    """The tokens of ``process`` alone."""
+    return F.transform(_rows(tokens, exclude_punct, convert_num, normalize_materials, remove_accents), lambda r: r["token"])
+
+
+def processed_pairs(tokens: Column) -> Column:
+    """array<struct(tok, raw)>: the tokens of ``process`` with and without numbers converted, in one pass; a number is its own raw form."""
+    return F.transform(_rows(tokens, False, True, True, True), lambda r: F.struct(r["token"].alias("tok"), F.when(r["number"], r["surface"]).otherwise(r["token"]).alias("raw")))
+
 
-    def step(t: Column, i: Column) -> Column:
-        before, after = F.get(tokens, i - 1), F.get(tokens, i + 1)
-        direction = F.coalesce(((before == "(") & (after == ")")) | ((before == "〈") & (after == "〉")), F.lit(False))
-        none = F.lit(None).cast("string")
-        number = is_number(t) if convert_num else F.lit(False)
-        kind = F.when(number, F.lit(1)).when(_is_name(t), F.lit(2)).when(fm.is_simple_formula(t), F.lit(3)).otherwise(F.lit(4))
-
-        def of(k: Column) -> Column:
-            normal = F.when(k == 3, fm.normalized_formula(t))
-
-            def row(formula: Column) -> Column:
-                shown = (
-                    F.when(k == 1, F.when(direction, t).otherwise(F.lit(NUMBER_TOKEN)))
-                    .when(k == 2, F.lower(t))
-                    .when(k == 3, formula if normalize_materials else t)
-                    .otherwise(selective_lower(t))
-                )
-                shown = fm.let(shown, remove_accent) if remove_accents else shown
-                found = F.when(k == 2, symbols[F.lower(t)]).when(k == 3, formula).otherwise(none)
-                return F.struct(shown.alias("token"), t.alias("surface"), found.alias("formula"), is_punctuation(t).alias("punct"))
-
-            return fm.let(normal, row)
-
-        return fm.let(kind, of)
-
-    rows = F.transform(tokens, step)
-    if exclude_punct:
-        rows = F.filter(rows, lambda r: ~r["punct"])
+#: Words of Latin letters, small but for the first, that ``process`` may treat as more than words.
+_MARKED = tuple(sorted({*NAME_TO_SYMBOL, *(n.capitalize() for n in NAME_TO_SYMBOL), *ELEMENTS, *UNITS}))
+
+
+def _rows(tokens: Column, exclude_punct: bool, convert_num: bool, normalize_materials: bool, remove_accents: bool) -> Column:
+    """array<struct(token, surface, formula, punct, number)>, a row for each token that is kept."""
+    symbols = literal_map(NAME_TO_SYMBOL)
+    none, no, yes = F.lit(None).cast("string"), F.lit(False), F.lit(True)
+
+    def row(token: Column, surface: Column, formula: Column, punct: Column, number: Column) -> Column:
+        return F.struct(token.alias("token"), surface.alias("surface"), formula.alias("formula"), punct.alias("punct"), number.alias("number"))
+
+    def of(own: Column) -> Column:
+        def step(t: Column, i: Column) -> Column:
+            def known(k: Column) -> Column:
+                def made(formula: Column) -> Column:
+                    before, after = F.get(own, i - 1), F.get(own, i + 1)
+                    direction = F.coalesce(((before == "(") & (after == ")")) | ((before == "〈") & (after == "〉")), no)
+                    shown = (
+                        F.when(k == 1, F.when(direction, t).otherwise(F.lit(NUMBER_TOKEN)))
+                        .when(k == 2, F.lower(t))
+                        .when(k == 3, formula if normalize_materials else t)
+                        .otherwise(selective_lower(t))
+                    )
+                    shown = fm.let(shown, remove_accent) if remove_accents else shown
+                    found = F.when(k == 2, symbols[F.lower(t)]).when(k == 3, formula).otherwise(none)
+                    return row(shown, t, found, no, k == 1)
+
+                return fm.let(F.when(k == 3, fm.normalized_formula(t)), made)
+
+            number = is_number(t) if convert_num else no
+            kind = F.when(number, F.lit(1)).when(_is_name(t), F.lit(2)).when(fm.is_simple_formula(t), F.lit(3)).otherwise(F.lit(4))
+            # most tokens are plain words or signs, which no rule but lower case changes
+            plain = t.rlike("^[A-Za-z][a-z]*$") & ~is_in(t, _MARKED)
+            return F.when(plain, row(F.lower(t), t, none, no, no)).when(is_punctuation(t), row(t, t, none, yes, no)).otherwise(fm.let(kind, known))
+
+        return F.transform(own, step)
+
+    rows = fm.let(tokens, of)
+    return F.filter(rows, lambda r: ~r["punct"]) if exclude_punct else rows
+
+
+def _processed(rows: Column) -> Column:
     return F.struct(
         F.transform(rows, lambda r: r["token"]).alias("tokens"),
         F.transform(F.filter(rows, lambda r: r["formula"].isNotNull()), lambda r: F.struct(r["surface"].alias("surface"), r["formula"].alias("formula"))).alias("materials"),

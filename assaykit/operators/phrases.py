@@ -54,5 +54,5 @@ def merge_all(sentences: DataFrame, found: DataFrame, tokens: str = "tokens", re
 
 def prepare(phrase: Column, phrases: Column | None = None) -> Column:
     """A search phrase as tokens: tokenised, processed and merged."""
-    tokens = tx.process(tx.tokenize(phrase, keep_sentences=False))["tokens"]
+    tokens = tx.processed_tokens(tx.tokenize(phrase, keep_sentences=False))
     return tokens if phrases is None else tx.merge_phrases(tokens, phrases)

@@ -18,7 +18,7 @@ from assaykit.operators.lookup import lookup_join
 
 def preprocess(text: Column) -> Column:
     """Processed tokens of a text, its sentences joined."""
-    return tx.process(tx.tokenize(text, keep_sentences=False))["tokens"]
+    return tx.processed_tokens(tx.tokenize(text, keep_sentences=False))
 
 
 def tf_idf(tokens: DataFrame, column: str = "tok", stop_words: tuple[str, ...] = ()) -> DataFrame:

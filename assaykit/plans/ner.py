@@ -17,7 +17,10 @@ from assaykit.operators.tagger import TagModel, gazetteer_tags, tag_tokens
 def processed_tokens(docs: DataFrame, process: Callable[..., Column] = tx.process) -> DataFrame:
     """(doc_id, sent_id, pos, tok, raw): tokens as the tagger sees them, and with their numbers as written."""
     sents = docs.select("doc_id", F.posexplode(tx.tokenize(F.col("text"))).alias("sent_id", "_t"))
-    both = F.zip_with(process(F.col("_t"))["tokens"], process(F.col("_t"), convert_num=False)["tokens"], lambda a, b: F.struct(a.alias("tok"), b.alias("raw")))
+    if process is tx.process:
+        both = tx.processed_pairs(F.col("_t"))
+    else:
+        both = F.zip_with(process(F.col("_t"))["tokens"], process(F.col("_t"), convert_num=False)["tokens"], lambda a, b: F.struct(a.alias("tok"), b.alias("raw")))
     return sents.select("doc_id", "sent_id", F.posexplode(both).alias("pos", "_p")).select("doc_id", "sent_id", "pos", "_p.tok", "_p.raw")
 
 

@@ -17,7 +17,7 @@ def write_vocabulary(vocab: DataFrame, path: str) -> None:
 def corpus_lines(docs: DataFrame, line_per_abstract: bool = False, split_years: bool = False, keep: tuple[str, ...] = (), **process) -> DataFrame:
     """(keep..., year?, value): processed sentences of title and abstract as lines of tokens, or a line per document."""
     whole = F.concat_ws(". ", *[F.col(c) for c in ("title", "abstract") if c in docs.columns])
-    lines = F.transform(tx.tokenize(whole), lambda s: F.array_join(tx.process(s, **process)["tokens"], " "))
+    lines = F.transform(tx.tokenize(whole), lambda s: F.array_join(tx.processed_tokens(s, **process), " "))
     value = F.array(F.array_join(lines, " ")) if line_per_abstract else lines
     years = ("year",) if split_years else ()
     return docs.select(*keep, *years, F.explode(value).alias("value")).where("value <> ''")

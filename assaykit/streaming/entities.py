@@ -21,7 +21,7 @@ def gazetteer_column(tokens: Column, gazetteer: dict[str, str]) -> Column:
 
 def entity_stream(docs: DataFrame, gazetteer: dict[str, str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(keep..., entity, type) of a batch or stream with a text column: no state, so any output mode."""
-    sents = docs.select(*keep, F.explode(tx.tokenize(F.col("text"))).alias("_t")).select(*keep, tx.process(F.col("_t"))["tokens"].alias("_t"))
+    sents = docs.select(*keep, F.explode(tx.tokenize(F.col("text"))).alias("_t")).select(*keep, tx.processed_tokens(F.col("_t")).alias("_t"))
     tagged = sents.withColumn("_g", gazetteer_column(F.col("_t"), gazetteer))
     return tagged.select(*keep, F.explode(concatenate_array(F.col("_t"), F.col("_g"))).alias("_e")).select(*keep, "_e.entity", "_e.type").where("type <> 'O'")
 
