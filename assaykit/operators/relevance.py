@@ -51,12 +51,16 @@ def pipeline(vocabulary: int = 1 << 16, regularization: float = 0.01) -> Pipelin
 
 def train(labelled: DataFrame, folds: int | None = None, **options) -> tuple[PipelineModel | CrossValidatorModel, float | None]:
     """The model of (text, label), and the mean area under ROC over ``folds`` if given."""
-    rows = labelled.select(preprocess(F.col("text")).alias("tokens"), F.col("label").cast("double").alias("label"))
-    if folds is None:
-        return pipeline(**options).fit(rows), None
-    cv = CrossValidator(estimator=pipeline(**options), estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=7)
-    model = cv.fit(rows)
-    return model, float(model.avgMetrics[0])
+    # every stage of the pipeline reads the tokens again
+    rows = labelled.select(preprocess(F.col("text")).alias("tokens"), F.col("label").cast("double").alias("label")).persist(StorageLevel.DISK_ONLY)
+    try:
+        if folds is None:
+            return pipeline(**options).fit(rows), None
+        cv = CrossValidator(estimator=pipeline(**options), estimatorParamMaps=ParamGridBuilder().build(), evaluator=BinaryClassificationEvaluator(), numFolds=folds, seed=7)
+        model = cv.fit(rows)
+        return model, float(model.avgMetrics[0])
+    finally:
+        rows.unpersist()
 
 
 def classify(docs: DataFrame, model, decision_boundary: float = 0.5, strict: bool = True) -> DataFrame:

@@ -34,3 +34,104 @@ def test_rules_of_process(spark):
     want = "the the THE a A e iron iron IRON cm K Ca ClNa O O2Ti Fe2O3 IV Si(111) Fe(II) 5V <nUm> <nUm> <nUm> ( ) 〈 〉 - . “ × é ecole naive ø ø x1 heat H2O".split()
     assert row.p.tokens == want and row.q == [w for w in want if w not in ("(", ")", "-", ".", "“", "×")]
     assert [m.surface for m in row.p.materials] == ["iron", "Iron", "NaCl", "O2", "TiO2", "Fe2O3", "H2O"]
+
+
+def random_tagged(spark, n=120):
+    """Token rows of documents with tags at random: I after O, at starts and over sentence ends; empty sentences."""
+    rng, rows = random.Random(5), []
+    for doc in range(n):
+        for sent in range(rng.randrange(5)):
+            for pos in range(rng.randrange(7)):
+                tag = rng.choice(["O", "O", "B-MAT", "I-MAT", "I-PRO", "B-PRO"])
+                rows.append((doc, sent, pos, f"w{rng.randrange(9)}", tag))
+    return rows, spark.createDataFrame(rows, "doc_id long, sent_id int, pos int, tok string, tag string")
+
+
+def by_hand(rows, compat):
+    """Entities as sentences (or documents) are read from the left."""
+    out, groups = [], {}
+    for r in rows:
+        groups.setdefault(r[0] if compat else r[:2], []).append(r)
+    for own in groups.values():
+        held = []
+        for d, s, p, t, g in own:
+            if g[0] == "I" and held:
+                held.append((d, s, p, t, g))
+                continue
+            out.append(held)
+            held = [(d, s, p, t, g)] if g[0] == "B" else []
+            if not held:
+                out.append([(d, s, p, t, g)])
+        if not compat:
+            out.append(held)
+    return sorted((e[0][0], e[-1][1], e[0][2], " ".join(x[3] for x in e), e[0][4][-3:]) for e in out if e)
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_entities_by_all_ways(spark, compat):
+    from assaykit.operators import iob
+
+    rows, df = random_tagged(spark)
+    want = by_hand(rows, compat)
+    assert sorted(map(tuple, iob.concatenate(df, compat).collect())) == want
+    sent = df.groupBy("doc_id", "sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok", "tag"))).alias("t"))
+    each = sent.select("doc_id", "sent_id", F.col("t.tok").alias("tokens"), F.col("t.tag").alias("tags"))
+    if compat:
+        order = F.array_sort(F.collect_list(F.struct("sent_id", "tokens", "tags")))
+        docs = each.groupBy("doc_id").agg(order.alias("s"))
+        lengths = F.transform(F.sequence(F.lit(0), F.array_max("s.sent_id")), lambda i: F.aggregate("s", F.lit(0), lambda n, x: n + F.when(x["sent_id"] == i, F.size(x["tokens"])).otherwise(0)))
+        each = docs.select("doc_id", lengths.alias("lengths"), F.flatten("s.tokens").alias("tokens"), F.flatten("s.tags").alias("tags"))
+    got = iob.concatenate_rows(each, compat)
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_arrays_of_a_long_sentence_are_linear(spark):
+    from assaykit.operators import iob
+
+    def seconds(n):
+        row = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i.cast("string"))).alias("t"))
+        tags = F.transform("t", lambda t, i: F.when(i % 3 == 0, "B-MAT").when(i % 3 == 1, "I-MAT").otherwise("O"))
+        began = datetime.datetime.now()
+        assert row.select(F.size(iob.concatenate_array(F.col("t"), tags))).first()[0] == 2 * n // 3
+        return (datetime.datetime.now() - began).total_seconds()
+
+    seconds(300)
+    assert seconds(120_000) < 20  # the fold copied what it had at every token: minutes
+
+
+@pytest.mark.parametrize("name", ["entities_concatenated", "entities_concatenated_compat", "summary_documents"])
+def test_entities_need_no_shuffle(spark, name):
+    assert "Exchange" not in plan(catalogue.QUERIES[name](spark, DATA))
+
+
+def test_scores_of_sentences_equal_those_of_tokens(spark):
+    from assaykit.operators import evaluate
+
+    rng = random.Random(8)
+    tags = ["O", "B-MAT", "I-MAT", "I-PRO", "B-PRO", "I-DSC"]
+    sents = [(i, [rng.choice(tags) for _ in range(k)], [rng.choice(tags) for _ in range(k)]) for i in range(200) for k in [rng.randrange(9)]]
+    df = spark.createDataFrame(sents, "doc_id long, gold array<string>, predicted array<string>")
+    side = lambda c: df.select("doc_id", F.lit(0).alias("sent_id"), F.posexplode(c).alias("pos", "tag"))
+    assert evaluate.sentence_scores(df).collect() == evaluate.chunk_scores(side("gold"), side("predicted")).collect()
+    assert sorted(evaluate.sentence_scores_by_type(df).collect()) == sorted(evaluate.chunk_scores_by_type(side("gold"), side("predicted")).collect())
+    assert plan(evaluate.sentence_scores(df)).count("Exchange hashpartitioning") <= 1
+
+
+def test_stream_tags_equal_those_of_a_column(spark):
+    from assaykit.operators.iob import concatenate_array
+    from assaykit.streaming import entities
+
+    gaz, rng = {"a": "DSC", "b": "DSC", "c": "MAT"}, random.Random(2)
+    df = spark.createDataFrame([(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9)))) for i in range(200)], "doc_id long, text string")
+    words = F.split("text", " ")
+    want = df.select("doc_id", F.explode(concatenate_array(words, entities.gazetteer_column(words, gaz))).alias("e")).select("doc_id", "e.*").where("type <> 'O'")
+    assert sorted(entities.entity_stream(df, gaz).collect()) == sorted(want.collect())
+
+
+def test_mention_counts_are_a_rollup(spark):
+    from assaykit.operators import iob
+
+    e = spark.createDataFrame([(1, "MAT", "x"), (2, "MAT", "x"), (2, "PRO", "y"), (3, "O", "z")], "doc_id long, type string, entity string")
+    same = lambda df: sorted(map(str, df.select("type", "entity", "mentions").collect()))
+    assert same(iob.mention_counts(e)) == same(iob.mention_rollup(e))
+    assert same(iob.mention_counts(e.limit(0))) == same(iob.mention_rollup(e.limit(0)))
