@@ -135,3 +135,29 @@ def test_mention_counts_are_a_rollup(spark):
     same = lambda df: sorted(map(str, df.select("type", "entity", "mentions").collect()))
     assert same(iob.mention_counts(e)) == same(iob.mention_rollup(e))
     assert same(iob.mention_counts(e.limit(0))) == same(iob.mention_rollup(e.limit(0)))
+
+
+def test_entities_of_a_gazetteer_are_those_of_its_tokens(spark):
+    from assaykit.operators import iob
+    from assaykit.plans.ner import Tagger
+
+    docs = spark.createDataFrame([(1, "The iron (Fe) in a der die der. 12 der 13"), (2, "der\nder"), (3, "nothing"), (4, None)], "doc_id long, text string").where("text IS NOT NULL")
+    t = Tagger(gazetteer=spark.createDataFrame([("der", "MAT"), ("die", "MAT"), ("<nUm>", "PVL"), ("a", "APL"), ("a", "DSC")], "tok string, type string"))
+    got = t.as_concatenated(docs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, iob.concatenate(t.as_iob(docs)).select("doc_id", "sent_id", "ent_pos", "entity", "type").collect()))
+    assert "Exchange" not in plan(got)  # tokens were shuffled by word and by sentence
+
+
+def test_training_reads_texts_once(spark):
+    from assaykit.operators import relevance
+
+    text = [(f"good iron w{i}", 1) if i % 2 else (f"bad tin w{i}", 0) for i in range(20)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    relevance.train(spark.createDataFrame(text, "text string, label int").coalesce(1).mapInArrow(count, "text string, label int"))
+    assert seen.value == 20
