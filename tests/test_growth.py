@@ -161,3 +161,41 @@ def test_training_reads_texts_once(spark):
 
     relevance.train(spark.createDataFrame(text, "text string, label int").coalesce(1).mapInArrow(count, "text string, label int"))
     assert seen.value == 20
+
+
+def test_shards_learn_as_sentence_by_sentence():
+    import numpy as np
+    import pyarrow as pa
+
+    from assaykit.operators import tagger as tg
+
+    rng = random.Random(4)
+    words = ["the", "The", "der", "of", "Fe2O3", "12", "x", "é", "la"]
+    sents = [[rng.choice(words) for _ in range(rng.randrange(1, 12))] for _ in range(300)]
+    gold = [[("B-MAT" if w == "der" else "I-MAT" if i and s[i - 1] == "der" else "O") for i, w in enumerate(s)] for s in sents]
+    tags, n = ("B-MAT", "I-MAT", "O"), 3
+    model = tg.TagModel(tags, np.zeros((tg._FEATURES, n), np.float32), np.zeros((n, n)), np.zeros(n), np.zeros(n))
+    lengths = np.array([len(s) for s in sents])
+    f = tg.feature_table(pa.array([w for s in sents for w in s]), lengths)
+    assert f.tolist() == [x for s in sents for x in tg.features(s)]
+    shard = tg._Shard(model, 0.9)
+    shard.learn(f, np.array([tags.index(t) for g in gold for t in g]), lengths)
+    w, m, a, z = model.weights.copy(), model.moves.copy(), model.start.copy(), model.stop.copy()
+    for s, g in zip(sents, gold):
+        x = tg.features(s)
+        got, _ = tg.viterbi(np.array([w[y].sum(0) for y in x]), m, a, z)
+        want = [tags.index(t) for t in g]
+        if got != want:
+            for y, p, q in zip(x, want, got):
+                if p != q:
+                    w[y, p] += 0.9
+                    w[y, q] -= 0.9
+            for path, sign in ((want, 0.9), (got, -0.9)):
+                a[path[0]] += sign
+                z[path[-1]] += sign
+                for p, q in zip(path, path[1:]):
+                    m[p, q] += sign
+    learned = tg.TagModel(tags, w, m, a, z)
+    assert np.array_equal(shard.w, w) and np.allclose(shard.m, m) and np.array_equal(shard.s, a) and np.array_equal(shard.e, z)
+    batch = pa.array([*sents, [], None], pa.list_(pa.string()))
+    assert learned.tag_all(batch).to_pylist() == [*(learned.tag(s) for s in sents), [], []]
