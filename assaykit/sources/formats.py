@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,21 +32,55 @@ def parse_conll(files: DataFrame, max_sentences: int | None = None, compat: bool
     """
     from pyspark.sql import Window
 
+    # all windows have one partitioning and order, so lines are shuffled and sorted once
     w = Window.partitionBy("file").orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     end = (F.trim("line") == "") | F.col("line").startswith("-DOCSTART-")
-    marked = files.withColumn("_end", end).withColumn("_ended", F.sum(end.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max("at").over(Window.partitionBy("file"))
-    marked = marked.withColumn("_last_run", F.max(F.when(F.col("_end"), F.col("_ended"))).over(Window.partitionBy("file"))).withColumn("_n", last)
-    rows = marked.where(~F.col("_end") & (F.col("line") != ""))
+    rows = files.withColumn("_end", end).withColumn("_ended", F.sum(end.cast("int")).over(upto))
     if compat:
-        rows = rows.where(F.col("_ended") < F.coalesce("_last_run", F.lit(0)))
-    sent = F.dense_rank().over(Window.partitionBy("file").orderBy("_ended")) - 1
-    pos = F.row_number().over(Window.partitionBy("file", "_ended").orderBy("at")) - 1
+        last = F.max(F.when(F.col("_end"), F.col("_ended"))).over(Window.partitionBy("file"))
+        rows = rows.withColumn("_last_run", last).where(F.col("_ended") < F.coalesce("_last_run", F.lit(0)))
+    rows = rows.where(~F.col("_end") & (F.col("line") != ""))
+    rows = rows.withColumns({"_new": ~F.col("_ended").eqNullSafe(F.lag("_ended").over(w)), "_n": F.row_number().over(w)})
+    sent = F.sum(F.col("_new").cast("int")).over(upto).cast("int") - 1
+    pos = F.col("_n") - F.max(F.when(F.col("_new"), F.col("_n"))).over(upto)
     fields = F.split(F.trim("line"), " +")
     out = rows.select("file", sent.alias("sent_id"), pos.alias("pos"), fields[0].alias("tok"), F.element_at(fields, -1).alias("tag"))
     return out if max_sentences is None else out.where(F.col("sent_id") < max_sentences)
 
 
+def _parsed(batches: Iterator[pa.RecordBatch], compat: bool) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = pc.fill_null(pc.list_value_length(b.column("lines")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lines, row = b.column("lines").flatten(), np.repeat(np.arange(len(n)), n)
+        shown = pc.utf8_trim(lines, " ")
+        end = pc.fill_null(pc.or_(pc.equal(shown, ""), pc.starts_with(lines, "-DOCSTART-")), True).to_numpy(zero_copy_only=False)
+        keep = ~end
+        if compat:
+            last = np.full(len(n), -1)
+            np.maximum.at(last, row[end], np.flatnonzero(end))
+            keep &= np.arange(len(row)) < last[row]
+        at = np.flatnonzero(keep)
+        if not len(at):
+            continue
+        row, run = row[at], np.cumsum(end)[at]
+        opens = np.append(True, row[1:] != row[:-1])
+        new = opens | np.append(True, run[1:] != run[:-1])
+        sent = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)[sent]
+        fields = pc.split_pattern(shown.take(pa.array(at)), " ")
+        bounds = fields.offsets.to_numpy()
+        yield pa.RecordBatch.from_arrays(
+            [b.column("file").take(pa.array(row)), pa.array(sent - sent[opens][np.cumsum(opens) - 1], pa.int32()), pa.array(np.arange(len(at)) - begin, pa.int32()), fields.values.take(pa.array(bounds[:-1])), fields.values.take(pa.array(bounds[1:] - 1))],
+            names=["file", "sent_id", "pos", "tok", "tag"],
+        )
+
+
+def parse_conll_files(files: DataFrame, compat: bool = False) -> DataFrame:
+    """``parse_conll`` of (file, lines array), a row for every file: nothing is shuffled or sorted."""
+    return files.select("file", "lines").mapInArrow(lambda batches: _parsed(batches, compat), "file string, sent_id int, pos int, tok string, tag string")
+
+
 def read_conll(spark: SparkSession, path: str, max_sentences: int | None = None, compat: bool = False, word: Column | None = None, tag: Column | None = None) -> DataFrame:
     """A CoNLL file's tokens; ``word`` and ``tag`` are expressions over tok and tag that take their places."""
     out = parse_conll(_lines(spark, path), max_sentences, compat)
