@@ -56,12 +56,11 @@ def encode(tokens: DataFrame, vocab: DataFrame, unknown: int | None = None, lowe
 
 def encode_characters(tokens: DataFrame, chars: DataFrame) -> DataFrame:
     """(doc_id, sent_id, pos, char_ids): ids in the order of the word's characters; those not in (ch, idx) are left out."""
-    words = tokens.select("tok").distinct()  # each word is spelled once
-    own = lookup_join(words.select("tok", F.posexplode(F.split("tok", "")).alias("at", "ch")).where("ch <> ''"), chars, "ch", "inner")
-    ids = own.groupBy("tok").agg(F.array_sort(F.collect_list(F.struct("at", "idx"))).alias("_ids"))
-    spelled = ids.select("tok", F.transform("_ids", lambda x: x["idx"]).alias("char_ids"))
-    none = F.array().cast("array<long>")
-    return lookup_join(tokens.select("doc_id", "sent_id", "pos", "tok"), spelled, "tok").drop("tok").withColumn("char_ids", F.coalesce("char_ids", none))
+    # a vocabulary of characters is bounded: its ids stand at their code points in one literal
+    known = {ord(r.ch): r.idx for r in chars.where(F.char_length("ch") == 1).collect()}
+    table = F.split(F.lit(",".join(str(known.get(i, "")) for i in range(max(known, default=0) + 1))), ",")
+    ids = F.transform(F.split("tok", ""), lambda c: F.when(c != "", F.get(table, F.ascii(c)).try_cast("long")))
+    return tokens.select("doc_id", "sent_id", "pos", F.coalesce(F.filter(ids, lambda i: i.isNotNull()), F.array().cast("array<long>")).alias("char_ids"))
 
 
 def minibatches(rows: DataFrame, order: str, size: int, within: tuple[str, ...] = ()) -> DataFrame:
