@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StopWordsRemover
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaykit.functions import text as tx
@@ -24,16 +24,16 @@ def preprocess(text: Column) -> Column:
 def tf_idf(tokens: DataFrame, column: str = "tok", stop_words: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, tok, tf, df, weight): raw counts times ln((1 + n) / (1 + df)) + 1, each document of length 1.
 
-    Counts are combined before they are shuffled; a document's length is an aggregate
-    joined back, not a window over all its rows.
+    Counts are combined before they are shuffled; a document's length is a window over its
+    distinct words, so weights are computed once.
     """
     own = tokens.where(~F.col(column).isin(*stop_words)) if stop_words else tokens
     tf = own.groupBy("doc_id", F.col(column).alias("tok")).agg(F.count("*").alias("tf")).persist(StorageLevel.DISK_ONLY)
     n = tf.select("doc_id").distinct().count()
     df = tf.groupBy("tok").agg(F.count("*").alias("df"))
     raw = lookup_join(tf, df, "tok", "inner").withColumn("_w", F.col("tf") * (F.log((F.lit(1.0) + n) / (1 + F.col("df"))) + 1))
-    length = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
-    return raw.join(length, "doc_id").select("doc_id", "tok", "tf", "df", (F.col("_w") / F.col("_l")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("doc_id")))
+    return raw.select("doc_id", "tok", "tf", "df", (F.col("_w") / length).alias("weight"))
 
 
 def pipeline(vocabulary: int = 1 << 16, regularization: float = 0.01) -> Pipeline:
