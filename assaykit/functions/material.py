@@ -214,16 +214,15 @@ def extract_formula(text: Column) -> Column:
 
 def string2formula(text: Column) -> Column:
     """struct(formula, method): by dictionary, abbreviation, a formula within, reconstruction of the name, or the string itself."""
-    found = F.array(
-        *[
-            F.struct(f.alias("formula"), F.lit(m).alias("method"))
-            for f, m in (
-                (F.try_element_at(literal_map(compounds()), text), "dictionary"), (F.try_element_at(literal_map(abbreviations()), text), "abbreviation"),
-                (extract_formula(text)["formula"], "formula"), (formula_from_name(text), "name"), (F.nullif(text, F.lit("")), "string"),
-            )
-        ]
+
+    def found(formula: Column, method: str) -> Column:
+        return fm.let(formula, lambda f: F.when(f.isNotNull(), F.struct(f.alias("formula"), F.lit(method).alias("method"))))
+
+    # those after the first that has one are not tried
+    return F.coalesce(
+        found(F.try_element_at(literal_map(compounds()), text), "dictionary"), found(F.try_element_at(literal_map(abbreviations()), text), "abbreviation"),
+        found(extract_formula(text)["formula"], "formula"), found(formula_from_name(text), "name"), found(F.nullif(text, F.lit("")), "string"),
     )
-    return F.get(F.filter(found, lambda x: x["formula"].isNotNull()), F.lit(0))
 
 
 # additives ----------------------------------------------------------------------------
@@ -348,13 +347,21 @@ def stoichiometric_values(variable: Column, sentence: Column, count: int = 10) -
     ]
     low = F.coalesce(*[_value(_extract(s, r, 1)) for r in ranges])
     high = F.coalesce(*[_value(_extract(s, r, 2)) for r in ranges])
-    steps = F.concat(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.round(low + i * (high - low) / count, 4)), F.array(F.round(high, 4)))
-    is_range = low.isNotNull() & high.isNotNull() & ((F.size(values) <= 0) | values.isNull() | s.rlike(r"=\s*[0-9.]+\s*[–-]\s*[0-9.]"))
-    is_list = ~is_range & (F.size(values) > 0)
-    got = F.when(is_range, steps).when(is_list, values).otherwise(F.array().cast("array<double>"))
-    return F.struct(
-        got.alias("values"), F.array_min(got).alias("min"), F.array_max(got).alias("max"), F.when(is_range, F.lit("range")).when(is_list, F.lit("values")).alias("mode")
-    )
+
+    def of(x: Column) -> Column:
+        steps = F.concat(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.round(x["low"] + i * (x["high"] - x["low"]) / count, 4)), F.array(F.round(x["high"], 4)))
+        is_range = x["low"].isNotNull() & x["high"].isNotNull() & ((F.size(x["values"]) <= 0) | x["values"].isNull() | x["ranged"])
+        is_list = ~is_range & (F.size(x["values"]) > 0)
+        mode = F.when(is_range, F.lit("range")).when(is_list, F.lit("values"))
+
+        def made(m: Column) -> Column:
+            got = F.when(m == "range", steps).when(m == "values", x["values"]).otherwise(F.array().cast("array<double>"))
+            return fm.let(got, lambda g: F.struct(g.alias("values"), F.array_min(g).alias("min"), F.array_max(g).alias("max"), m.alias("mode")))
+
+        return fm.let(mode, made)
+
+    # what patterns find is computed once, not at every step of a range
+    return fm.let(F.struct(values.alias("values"), low.alias("low"), high.alias("high"), s.rlike(r"=\s*[0-9.]+\s*[–-]\s*[0-9.]").alias("ranged")), of)
 
 
 def element_values(variable: Column, sentence: Column) -> Column:

@@ -199,3 +199,48 @@ def test_shards_learn_as_sentence_by_sentence():
     assert np.array_equal(shard.w, w) and np.allclose(shard.m, m) and np.array_equal(shard.s, a) and np.array_equal(shard.e, z)
     batch = pa.array([*sents, [], None], pa.list_(pa.string()))
     assert learned.tag_all(batch).to_pylist() == [*(learned.tag(s) for s in sents), [], []]
+
+
+@pytest.mark.parametrize("compat", [False, True])
+def test_conll_by_file_equals_conll_by_line(spark, compat):
+    from assaykit.sources import formats
+
+    rng = random.Random(6)
+    files = [(f"f{i}", [rng.choice(["a O", "b  x B-MAT", " c I-MAT ", "", "  ", "-DOCSTART- O"]) for _ in range(rng.randrange(9))]) for i in range(150)]
+    whole = spark.createDataFrame(files, "file string, lines array<string>")
+    by_line = formats.parse_conll(whole.select("file", F.posexplode("lines").alias("at", "line")), compat=compat)
+    assert sorted(map(tuple, formats.parse_conll_files(whole, compat).collect())) == sorted(map(tuple, by_line.collect()))
+    made = plan(by_line).split("Initial Plan")[0]
+    assert made.count("Exchange") == 1 and made.count(" Sort [") == 1  # several sorts of all lines before
+
+
+def test_rows_of_one_id_are_one_file(spark, tmp_path):
+    spark.createDataFrame([(1, "a b\n\nc"), (1, "d\ne"), (2, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    r = catalogue.conll_round_trip(spark, str(tmp_path)).collect()
+    assert [(x.file, x.n_tokens, x.n_sentences) for x in r] == [("1", 5, 3)]
+
+
+def test_character_ids_need_no_shuffle(spark):
+    from assaykit.operators import tokens as tk
+
+    words = spark.createDataFrame([(1, 0, 0, "aé😀z"), (1, 0, 1, ""), (1, 0, 2, "zz?"), (1, 0, 3, None)], "doc_id long, sent_id int, pos int, tok string")
+    chars = spark.createDataFrame([("a", 3), ("z", 0), ("😀", 7), ("é", 1 << 40)], "ch string, idx long")
+    got = tk.encode_characters(words, chars)
+    assert [r.char_ids for r in got.orderBy("pos").collect()] == [[3, 1 << 40, 7, 0], [], [0, 0], []] and "Exchange" not in plan(got)
+    assert [r.char_ids for r in tk.encode_characters(words, chars.limit(0)).collect()] == [[]] * 4
+
+
+def test_rows_of_part_are_spread(spark, tmp_path):
+    from assaykit.plans import inputs
+
+    spark.range(25_000).selectExpr("id AS p_partkey", "1 + id % 50 AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("names_to_formulas", "variable_values"):
+        assert catalogue.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    assert inputs.materials(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_weights_are_made_once(spark):
+    from assaykit.operators import relevance
+
+    p = plan(relevance.tf_idf(spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "c")], "doc_id long, tok string")))
+    assert "Window" in p and p.count("Join") == 1  # the length was joined to weights made again
