@@ -206,17 +206,36 @@ def unemojify(formula: Column) -> Column:
 def merge_phrases(tokens: Column, phrases: Column, reps: int = 2) -> Column:
     """Adjacent tokens joined by _ where the pair is in ``phrases`` (array of a_b), greedily from the left, ``reps`` times."""
 
+    none = F.array().cast("array<int>")
+
+    def joined_at(own: Column) -> Column:
+        """Places whose token is joined to the next: of each run of pairs the first, third, ..."""
+        pair = lambda i: F.array_contains(phrases, F.concat_ws("_", F.get(own, i), F.get(own, i + 1)))
+        pairs = F.when(F.size(own) > 1, F.filter(F.sequence(F.lit(0), F.size(own) - 2), pair)).otherwise(none)
+
+        def every_second(at: Column) -> Column:
+            def runs(first: Column) -> Column:
+                last = lambda j: F.get(at, F.coalesce(F.get(first, j + 1), F.size(at)) - 1)
+                return F.flatten(F.transform(first, lambda f, j: F.sequence(F.get(at, f), last(j), F.lit(2))))
+
+            starts = F.filter(F.transform(at, lambda x, j: F.when((j == 0) | (F.get(at, j - 1) != x - 1), j)), lambda j: j.isNotNull())
+            return fm.let(starts, runs)
+
+        return fm.let(pairs, every_second)
+
     def once(ts: Column) -> Column:
-        start = F.struct(F.lit(None).cast("string").alias("held"), F.array().cast("array<string>").alias("out"))
+        def of(own: Column) -> Column:
+            def put(at: Column) -> Column:
+                def piece(m: Column, j: Column) -> Column:
+                    begin = F.coalesce(F.get(at, j - 1) + 2, F.lit(0))
+                    return F.concat(F.slice(own, begin + 1, m - begin), F.array(F.concat_ws("_", F.get(own, m), F.get(own, m + 1))))
+
+                done = F.get(at, F.size(at) - 1) + 2
+                return F.when(F.size(at) == 0, own).otherwise(F.concat(F.flatten(F.transform(at, piece)), F.slice(own, done + 1, F.size(own) - done)))
 
-        def step(acc: Column, t: Column) -> Column:
-            joined = F.concat_ws("_", acc["held"], t)
-            is_pair = acc["held"].isNotNull() & F.array_contains(phrases, joined)
-            held = F.when(is_pair, F.lit(None).cast("string")).otherwise(t)
-            added = F.when(is_pair, F.array(joined)).when(acc["held"].isNull(), F.array().cast("array<string>")).otherwise(F.array(acc["held"]))
-            return F.struct(held.alias("held"), F.concat(acc["out"], added).alias("out"))
+            return fm.let(joined_at(own), put)
 
-        return F.aggregate(ts, start, step, lambda acc: F.concat(acc["out"], F.when(acc["held"].isNull(), F.array().cast("array<string>")).otherwise(F.array(acc["held"]))))
+        return fm.let(ts, of)
 
     for _ in range(reps):
         tokens = once(tokens)

@@ -244,3 +244,32 @@ def test_weights_are_made_once(spark):
 
     p = plan(relevance.tf_idf(spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (None, "c")], "doc_id long, tok string")))
     assert "Window" in p and p.count("Join") == 1  # the length was joined to weights made again
+
+
+def test_phrases_are_merged_from_the_left(spark):
+    rng = random.Random(9)
+    found = ["a_b", "b_a", "a_a", "a_b_c", "c_c_c_c", "b_c"]
+    rows = [[rng.choice("abc") for _ in range(rng.randrange(10))] for _ in range(300)]
+
+    def once(ts):
+        out, held = [], None
+        for t in ts:
+            if held is not None and f"{held}_{t}" in found:
+                out.append(f"{held}_{t}")
+                held = None
+            else:
+                out += [held] if held is not None else []
+                held = t
+        return out + ([held] if held is not None else [])
+
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id long, t array<string>")
+    got = df.orderBy("id").select(tx.merge_phrases(F.col("t"), F.lit(found)).alias("m")).collect()
+    assert [r.m for r in got] == [once(once(r)) for r in rows]
+
+
+def test_merging_a_long_sentence_is_linear(spark):
+    n = 120_000
+    row = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), (i % 7).cast("string"))).alias("t"))
+    began = datetime.datetime.now()
+    assert row.select(F.size(tx.merge_phrases(F.col("t"), F.lit(["w1_w2", "w2_w3"])))).first()[0] > n // 2
+    assert (datetime.datetime.now() - began).total_seconds() < 20  # the fold copied what it had at every token
